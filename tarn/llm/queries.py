@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tarn.llm.decontamination import leak_report
 from tarn.llm.exact_dedup import exact_dedup
+from tarn.llm.substring_dedup import repeated_passages
 from tarn.llm.token_counts import token_counts
 from tarn.llm.token_output import token_output
 
@@ -27,6 +29,14 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(documents(spark, sf_dir), window=20).drop("spans")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -36,7 +46,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_output, op9_exact_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op4_token_output, op5_decontamination, op8_substring_dedup, op9_exact_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
