@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarn.llm.decontamination import leak_report
 from tarn.llm.exact_dedup import exact_dedup
+from tarn.llm.language_id import language_id
+from tarn.llm.license_scan import license_scan
 from tarn.llm.substring_dedup import repeated_passages
 from tarn.llm.token_counts import token_counts
 from tarn.llm.token_output import token_output
@@ -25,6 +27,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(documents(spark, sf_dir), modulus=4, remainder=2)
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=2)
 
@@ -33,6 +39,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(documents(spark, sf_dir), window=20).drop("spans")
 
@@ -46,7 +56,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_output, op5_decontamination, op8_substring_dedup, op9_exact_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op4_token_output, op5_decontamination, op7_license_scan, op8_substring_dedup, op9_exact_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
