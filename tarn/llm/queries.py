@@ -11,6 +11,7 @@ from tarn.llm.decontamination import leak_report
 from tarn.llm.exact_dedup import exact_dedup
 from tarn.llm.language_id import language_id
 from tarn.llm.license_scan import license_scan
+from tarn.llm.lm_scoring import lm_scores
 from tarn.llm.substring_dedup import repeated_passages
 from tarn.llm.token_counts import token_counts
 from tarn.llm.token_output import token_output
@@ -39,6 +40,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(documents(spark, sf_dir), modulus=5, remainder=1)
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
 
@@ -56,7 +61,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op4_token_output, op5_decontamination, op7_license_scan, op8_substring_dedup, op9_exact_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op4_token_output, op5_decontamination, op6_lm_scoring, op7_license_scan, op8_substring_dedup, op9_exact_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
