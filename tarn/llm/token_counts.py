@@ -3,7 +3,8 @@
 Offline, on the driver, every vocabulary string is encoded by the library, and
 those that come out alone as one token are proved to be whole tokens. On the
 executors a text's strings that match one count 1 without the tokenizer; only
-the rest are pre-tokenized and merged, each distinct string once for a unit.
+the rest are pre-tokenized and merged, a string once for as long as a worker's
+table holds it.
 
 Null and empty texts have 0 bytes and 0 tokens. Special strings inside a text
 are handled as the library does by default. Extra columns are ignored; repeated
@@ -32,9 +33,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
     proven = docs.sparkSession.sparkContext.broadcast(whole_tokens(tokenizer))  # at most the vocabulary
 
     def work(rest, texts):
-        parts = [t.split() for t in texts]
-        get = _table(tokenizer, proven.value).learn(parts).__getitem__
-        n = [sum(map(get, p)) for p in parts]
+        get = _table(tokenizer, proven.value).lookup()
+        n = [sum(map(get, t.split())) for t in texts]
         return {"doc_id": rest["doc_id"], "n_bytes": [len(t) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
 
     return map_units(pick(docs, "doc_id", "text"), "doc_id long, n_bytes long, n_tokens long, over_limit boolean", work)

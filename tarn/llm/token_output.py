@@ -47,7 +47,7 @@ ROW = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("null"
 #: Bound of the dictionary's sample, and of the dictionary.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 512, 8192, 65536
 #: Input for one file, and the frames of a shard after which another begins.
-FILE_BYTES, SHARD_BYTES = 16 << 20, 32 << 20
+FILE_BYTES, SHARD_BYTES = 8 << 20, 32 << 20
 LEVEL = 3
 
 _TABLES: dict = {}
@@ -60,10 +60,9 @@ def _ids(tokenizer: str, kind: str) -> WordTable:
 
 
 def _serialized(texts: list[bytes], tokenizer: str, kind: str, end_id: int) -> list[bytes]:
-    parts = [t.split() for t in texts]
-    get = _ids(tokenizer, kind).learn(parts).__getitem__
+    get = _ids(tokenizer, kind).lookup()
     end = np.array([end_id], kind).tobytes()
-    return [b"".join(map(get, p)) + end for p in parts]
+    return [b"".join(map(get, t.split())) + end for t in texts]
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, kind: str, end_id: int) -> bytes:

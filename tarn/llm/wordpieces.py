@@ -60,9 +60,9 @@ PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 class WordTable:
     """String -> count of its ids, or its ids as bytes of ``kind`` (little-endian, as every machine that Spark runs on is).
 
-    What is missing is added for a unit of texts at once: a plain string is cut
-    into pre-tokens, proven whole tokens count as they are and the model merges
-    the others; any other string goes to the library whole.
+    What is missing is added when it is met: a plain string is cut into
+    pre-tokens, proven whole tokens count as they are and the model merges the
+    others; any other string goes to the library whole.
     """
 
     def __init__(self, path: str, proven: dict[bytes, int], kind: str | None = None):
@@ -80,7 +80,7 @@ class WordTable:
         self._empty()
 
     def _empty(self) -> None:
-        self.table, self.known = dict(self.start), dict(self.whole)
+        self.table, self.known = _Table(self.start, self._encoded), dict(self.whole)
 
     def _value(self, ids: list[int]):
         return array.array(self.code, ids).tobytes() if self.kind else len(ids)
@@ -91,27 +91,33 @@ class WordTable:
         self.known[p] = v = self._value([t.id for t in found]) if self.kind else len(found)
         return v
 
-    def _plain(self, s: bytes):
-        get, merged = self.known.get, self._merged
-        return self.join([get(p) or merged(p) for p in self.pieces(s.decode().lower())])
-
-    def learn(self, parts: list[list[bytes]]) -> dict:
-        """The table, with every string of ``parts`` in it."""
+    def _encoded(self, s: bytes):
+        """A string's value; letters alone, or with one mark after them, are pre-tokens as they stand."""
+        if s.isalpha():
+            p = s.decode().lower()
+            return self.known.get(p) or self._merged(p)
+        if s[:-1].isalpha() and s[-1] in b".,;:!?|":
+            p, mark = s[:-1].decode().lower(), chr(s[-1])
+            return (self.known.get(p) or self._merged(p)) + (self.known.get(mark) or self._merged(mark))
+        if PLAIN(s) and not self.special(s):
+            get, merged = self.known.get, self._merged
+            return self.join([get(p) or merged(p) for p in self.pieces(s.decode().lower())])
+        return self._value(self.tok.encode(s.decode(), add_special_tokens=False).ids)
+
+    def lookup(self):
+        """string -> value, for a unit of texts."""
         if len(self.table) > TABLE_ENTRIES + len(self.start):
             self._empty()
-        table = self.table
-        new: set[bytes] = set()
-        for p in parts:
-            new.update(p)
-        new.difference_update(table.keys())
-        rest = []
-        for s in new:
-            if PLAIN(s) and not self.special(s):
-                table[s] = self._plain(s)
-            else:
-                rest.append(s)
-        for k in range(0, len(rest), 1024):
-            some = rest[k : k + 1024]
-            for s, e in zip(some, self.tok.encode_batch([x.decode() for x in some], add_special_tokens=False)):
-                table[s] = self._value(e.ids)
-        return table
+        return self.table.__getitem__
+
+
+class _Table(dict):
+    """A dict that encodes what it lacks."""
+
+    def __init__(self, start: dict, encoded):
+        super().__init__(start)
+        self.encoded = encoded
+
+    def __missing__(self, s: bytes):
+        self[s] = v = self.encoded(s)
+        return v
