@@ -57,9 +57,9 @@ def blocks(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(frame.mapInArrow(run, BLOCK_ROWS), "blocks", codec="none")
 
 
-def bucket_bits(docs: DataFrame) -> int:
-    """log2 of the number of buckets: it follows the input."""
-    return max(4, int(np.ceil(np.log2(max(1, input_bytes(docs) / BUCKET_BYTES)))))
+def bucket_bits(table: DataFrame) -> int:
+    """log2 of the number of buckets: it follows the size of the table of blocks."""
+    return min(31, max(4, int(np.ceil(np.log2(max(1, input_bytes(table) / BUCKET_BYTES))))))
 
 
 def cuts(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -80,7 +80,7 @@ def asked(table: DataFrame, send: Callable[[tuple, dict], Iterable[tuple[int, by
     schema = arrow_schema(BLOCK_ROWS)
 
     def run(batches):
-        for block, content, got in _with_replies(batches):
+        for block, content, got in with_replies(batches):
             for bucket, raw in send(content, got):
                 yield batch(schema, {"block": [block], "kind": [0], "bucket": [bucket], "payload": [raw]})
 
@@ -104,7 +104,7 @@ def told(table: DataFrame, replies: list[DataFrame], ddl: str, work: Callable[[t
     schema = arrow_schema(ddl)
 
     def run(batches):
-        for _, content, got in _with_replies(batches):
+        for _, content, got in with_replies(batches):
             yield batch(schema, work(content, got))
 
     return _beside(table, replies).mapInArrow(run, ddl)
@@ -120,7 +120,7 @@ def _beside(table: DataFrame, replies: list[DataFrame]) -> DataFrame:
     return rows.repartition("block").sortWithinPartitions("block", "kind", "bucket")
 
 
-def _with_replies(batches) -> Iterator[tuple[int, tuple, dict]]:
+def with_replies(batches) -> Iterator[tuple[int, tuple, dict]]:
     rows = (r for b in batches for k in range(b.num_rows) for r in b.slice(k, 1).to_pylist())
     got: dict[int, dict[int, bytes]] = {}
     for r in rows:

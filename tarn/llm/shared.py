@@ -80,9 +80,11 @@ class Scratch:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a frame (the files' size for a scan)."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+    """Catalyst's size estimate of a frame (the files' size for a scan); where it has none, the texts' bytes, counted."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        size = int(df.agg(F.coalesce(F.sum(F.octet_length(F.col("`text`"))), F.lit(0))).first()[0])
+    return size
 
 
 def pick(docs: DataFrame, *names: str) -> DataFrame:

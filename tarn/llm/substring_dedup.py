@@ -102,8 +102,8 @@ def repeated_passages(docs: DataFrame, window: int = 20) -> DataFrame:
     if window < PERIOD + 1:
         raise ValueError(f"a window has more than {PERIOD} words")
     scratch = Scratch(docs.sparkSession, "passages")
-    bits = bucket_bits(docs)
     table = blocks(docs, scratch)
+    bits = bucket_bits(table)
 
     def send_anchors(content, got):
         _, keys, _, n = _first_question(words_of(content[1], KIND), window, bits)
