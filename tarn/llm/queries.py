@@ -13,6 +13,7 @@ from tarn.llm.jaccard_join import jaccard_components
 from tarn.llm.language_id import language_id
 from tarn.llm.license_scan import license_scan
 from tarn.llm.lm_scoring import lm_scores
+from tarn.llm.sentencepiece_codec import encode
 from tarn.llm.substring_dedup import repeated_passages
 from tarn.llm.token_counts import token_counts
 from tarn.llm.token_output import token_output
@@ -33,6 +34,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir), modulus=4, remainder=2)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model")).drop("ids")
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir), size=5, num=75, den=100)
 
@@ -66,7 +71,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_ngram_jaccard, op4_token_output, op5_decontamination, op6_lm_scoring, op7_license_scan, op8_substring_dedup, op9_exact_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_ngram_jaccard, op4_token_output, op5_decontamination, op6_lm_scoring, op7_license_scan, op8_substring_dedup, op9_exact_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
