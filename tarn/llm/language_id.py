@@ -257,7 +257,7 @@ def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
             out["spans"] = [_spans(labels[a:b], names) if h else [] for a, b, h in zip(bounds[:-1], bounds[1:], has)]
         return out
 
-    return map_units(pick(docs, "doc_id", "text"), ddl, work, limit=max(1 << 20, 4 * UNIT // max(4, len(model.languages))))
+    return map_units(pick(docs, "doc_id", "text"), ddl, work, limit=max(1 << 19, UNIT // max(4, len(model.languages))))
 
 
 def _spans(labels: np.ndarray, names: list[str]) -> list[str]:
