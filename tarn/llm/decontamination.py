@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.fm_index import FMIndex, ranges
-from tarn.llm.shared import arrow_schema, batch, pick, ship, units
+from tarn.llm.shared import arrow_schema, batch, filter_units, pick, ship, units
 from tarn.llm.words import Vocabulary, Words, runs, words_of
 
 #: Benchmark text searched at once.
@@ -175,3 +175,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
             yield batch(schema, {"doc_id": rest["doc_id"], "text": out})
 
     return find_leaks(docs, benchmark, window).mapInArrow(run, ddl)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """The documents in which no window occurs, all columns as they are."""
+    for block in blocks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(Phrases([(r[0], r[1].encode()) for r in block.collect()], window))  # one block
+
+        def keep(texts, shared=shared):
+            w = words_of(texts, KIND)
+            found = np.zeros(len(texts), bool)
+            found[np.searchsorted(w.bounds, shared.value.find(w)[0], "right") - 1] = True
+            return ~found
+
+        docs = filter_units(docs, keep)
+    return docs

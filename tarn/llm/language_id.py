@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.shared import arrow_schema, batch, map_units, pick, ship, units
+from tarn.llm.shared import arrow_schema, batch, filter_units, map_units, pick, ship, units
 
 #: Labelled documents that a language is learned from, in expectation at most.
 PER_LANGUAGE = 4000
@@ -230,34 +230,51 @@ def _has_letter(text: str) -> bool:
     return _LETTER(text) is not None
 
 
+def predict(m: Model, texts: list[bytes], spans: bool = False) -> dict:
+    """lang_pred, score and, if asked for, spans of texts."""
+    names, n = [*m.languages, "und"], len(texts)
+    if not m.languages:
+        return {"lang_pred": ["und"] * n, "score": [0.0] * n, "spans": [[]] * n}
+    said = [t.decode() for t in texts]
+    scores, lettered, bounds = m.words(said)
+    labels = m.label(scores, bounds)
+    doc = np.repeat(np.arange(n), np.diff(bounds))
+    votes = np.bincount(doc[lettered] * len(m.languages) + labels[lettered], minlength=n * len(m.languages)).reshape(n, -1)
+    all_ = votes.sum(1)
+    # a text whose letters are all outside the known scripts still has one: its words' labels decide
+    every = np.bincount(doc * len(m.languages) + labels, minlength=n * len(m.languages)).reshape(n, -1)
+    best = np.where(all_ > 0, votes.argmax(1), every.argmax(1))
+    has = np.array([_has_letter(t) for t in said], bool)
+    score = np.where(has & (all_ > 0), votes.max(1) / np.maximum(1, all_), 0.0)
+    out = {"lang_pred": [names[b] if h else "und" for b, h in zip(best, has)], "score": score}
+    if spans:
+        out["spans"] = [_spans(labels[a:b], names) if h else [] for a, b, h in zip(bounds[:-1], bounds[1:], has)]
+    return out
+
+
+def _limit(model: Model) -> int:
+    return max(1 << 19, UNIT // max(4, len(model.languages)))
+
+
 def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     """doc_id, lang_pred, score of every document; with ``spans``, also the labelled spans of each text as "first:end:language" over its words."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # 512 KB a language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 512 KB a language
     ddl = "doc_id long, lang_pred string, score double" + ", spans array<string>" * spans
 
     def work(rest, texts):
-        m = shared.value
-        names, n = [*m.languages, "und"], len(texts)
-        if not m.languages:
-            return {"doc_id": rest["doc_id"], "lang_pred": ["und"] * n, "score": [0.0] * n, "spans": [[]] * n}
-        said = [t.decode() for t in texts]
-        scores, lettered, bounds = m.words(said)
-        labels = m.label(scores, bounds)
-        doc = np.repeat(np.arange(n), np.diff(bounds))
-        votes = np.bincount(doc[lettered] * len(m.languages) + labels[lettered], minlength=n * len(m.languages)).reshape(n, -1)
-        best, all_ = votes.argmax(1), votes.sum(1)
-        # a text whose letters are all outside the known scripts still has one: its words' labels decide
-        every = np.bincount(doc * len(m.languages) + labels, minlength=n * len(m.languages)).reshape(n, -1)
-        best = np.where(all_ > 0, best, every.argmax(1))
-        has = np.array([_has_letter(t) for t in said], bool)
-        score = np.where(has & (all_ > 0), votes.max(1) / np.maximum(1, all_), 0.0)
-        out = {"doc_id": rest["doc_id"], "lang_pred": [names[b] if h else "und" for b, h in zip(best, has)], "score": score}
-        if spans:
-            out["spans"] = [_spans(labels[a:b], names) if h else [] for a, b, h in zip(bounds[:-1], bounds[1:], has)]
-        return out
-
-    return map_units(pick(docs, "doc_id", "text"), ddl, work, limit=max(1 << 19, UNIT // max(4, len(model.languages))))
+        return {"doc_id": rest["doc_id"]} | predict(shared.value, texts, spans)
+
+    return map_units(pick(docs, "doc_id", "text"), ddl, work, limit=_limit(model))
+
+
+def recognised(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents whose language is not ``und``, all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 512 KB a language
+
+    def keep(texts):
+        return [x != "und" for x in predict(shared.value, texts)["lang_pred"]]
+
+    return filter_units(docs, keep, limit=_limit(model))
 
 
 def _spans(labels: np.ndarray, names: list[str]) -> list[str]:
@@ -267,7 +284,12 @@ def _spans(labels: np.ndarray, names: list[str]) -> list[str]:
     return [f"{a}:{b}:{names[labels[a]]}" for a, b in zip(new, [*new[1:], len(labels)])]
 
 
+def learn(docs: DataFrame, modulus: int = 4, remainder: int = 2) -> Model:
+    """A model from the documents that are not held out."""
+    return fit(docs.where(~_held_out(modulus, remainder)))
+
+
 def language_id(docs: DataFrame, modulus: int = 4, remainder: int = 2) -> DataFrame:
     """Learn from documents whose crc32(doc_id) modulo ``modulus`` is not ``remainder``; doc_id, held_out, lang_pred, score of all."""
-    model = fit(docs.where(~_held_out(modulus, remainder)))
+    model = learn(docs, modulus, remainder)
     return identify(docs, model).select("doc_id", F.coalesce(_held_out(modulus, remainder), F.lit(False)).alias("held_out"), "lang_pred", "score")

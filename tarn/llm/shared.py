@@ -92,24 +92,40 @@ def pick(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*(F.col(f"`{n}`") for n in names))
 
 
-def units(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = UNIT_BYTES) -> Iterator[tuple[dict, list[bytes]]]:
-    """(other columns as lists, texts as UTF-8 bytes; null is empty) in units of about ``limit`` bytes, whole documents always."""
+def parts(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = UNIT_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """(rows, their texts as UTF-8 bytes; null is empty) in units of about ``limit`` bytes, whole documents always."""
     for b in batches:
         if not b.num_rows:
             continue
-        col = b.column(b.schema.get_field_index(text))
+        at_text = b.schema.get_field_index(text)
+        col = b.column(at_text)
         lengths = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
         at = size = 0
         for i, n in enumerate(lengths):
             size += int(n)
             if size >= limit or i + 1 == len(lengths):
                 part = b.slice(at, i + 1 - at)
-                rest = {f.name: part.column(k).to_pylist() for k, f in enumerate(b.schema) if f.name != text}
-                texts = [t or b"" for t in part.column(b.schema.get_field_index(text)).cast(_binary(col.type)).to_pylist()]
-                yield rest, texts
+                yield part, [t or b"" for t in part.column(at_text).cast(_binary(col.type)).to_pylist()]
                 at, size = i + 1, 0
 
 
+def units(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = UNIT_BYTES) -> Iterator[tuple[dict, list[bytes]]]:
+    """As ``parts``, the other columns as lists by name."""
+    for part, texts in parts(batches, text, limit):
+        yield {f.name: part.column(k).to_pylist() for k, f in enumerate(part.schema) if f.name != text}, texts
+
+
+def filter_units(docs: DataFrame, keep: Callable[[list[bytes]], list], limit: int = UNIT_BYTES) -> DataFrame:
+    """The rows of ``docs`` for whose texts ``keep`` is true, all columns as they are."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        for part, texts in parts(batches, limit=limit):
+            yield part.filter(pa.array([bool(x) for x in keep(texts)]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _binary(kind: pa.DataType) -> pa.DataType:
     return pa.large_binary() if pa.types.is_large_string(kind) or pa.types.is_large_binary(kind) else pa.binary()
 
