@@ -10,14 +10,17 @@ both. The number of subclasses follows the set's size class, so the pairs stay i
 proportion to the size; a set near the next size class signs for that one too.
 
 Sets with a signature in common are candidates. Groups of up to ``SMALL`` sets
-give their pairs of fitting sizes. A larger group gives the pairs with its first
-set only; when these have been verified and joined to components, the group's
-remaining pairs of different components are tested inside the tasks, in chunks.
-No group is cut off.
+give their pairs of fitting sizes. A larger group gives the pairs with its most
+central set only, the one with the greatest share of frequent shingles, which an
+edited copy has less of than what it was copied from. When these have been
+verified and joined to components, the groups of one centre are taken together
+and their remaining pairs of different components are tested inside the tasks,
+in chunks. No group is cut off.
 
 A candidate pair is first held against a lower bound of the symmetric difference
-from parity bitmaps, then verified on the sets. Equal sets are one from the
-start. Shingles are 64-bit hashes throughout; verification sends 48 bits.
+from parity bitmaps (finer ones in the last step), then verified on the sets.
+Equal sets are one from the start. Shingles are 64-bit hashes throughout;
+verification sends 48 bits.
 
 Texts without words have an empty set and link with nothing; null counts as
 empty. Repeated rows are equal sets. Empty tables give no rows; extra columns
@@ -46,6 +49,8 @@ LOCAL, TOTAL, MOST = 3, 48, 1 << 17
 SMALL, CHUNK = 64, 4096
 #: Base of the size code: sizes that can link differ by FITS codes at most.
 STEP = 1.06
+#: Bits a shingle in the bitmaps of the last step.
+FINE = 8
 
 
 class Join:
@@ -78,15 +83,10 @@ class Join:
                 out.append(np.zeros(0, np.uint64))
         return out
 
-    def signatures(self, s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-        """A set's signatures: rare shingles of the prefix, and pairs of frequent ones of a subclass."""
+    def signatures(self, s: np.ndarray, often: np.ndarray) -> np.ndarray:
+        """A set's signatures: rare shingles of the prefix, and pairs of frequent ones (where ``often``) of a subclass."""
         n = len(s)
         need = self.kills(n)
-        often = np.zeros(n, bool)
-        if len(frequent):
-            k = np.searchsorted(frequent, s)
-            k[k == len(frequent)] = 0
-            often = frequent[k] == s
         rare = s[~often]
         if len(rare) >= need:
             return rare[:need]
@@ -110,9 +110,18 @@ class Join:
         return np.unique(np.concatenate(out))
 
 
-def parity(s: np.ndarray) -> bytes:
-    """Bitmap of about one bit a shingle: whether an odd number fell on it."""
-    bits = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+def among(s: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``s`` are in the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(s), bool)
+    k = np.searchsorted(known, s)
+    k[k == len(known)] = 0
+    return known[k] == s
+
+
+def parity(s: np.ndarray, each: int = 1) -> bytes:
+    """Bitmap of about ``each`` bits a shingle: whether an odd number fell on it."""
+    bits = each * (max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64)
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -156,6 +165,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
         return {
             "doc_id": ids, "at": list(range(len(ids))), "n": [len(s) for s in found],
             "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], "sketch": [parity(s) for s in found],
+            "fine": [parity(s, FINE) for s in found],
         }
 
     def numbered(batches):
@@ -167,7 +177,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
     rows = scratch.table(table.mapInArrow(numbered, SETS), "sets")
     reps = rows.where("n > 0").groupBy("digest", "n").agg(F.min("gid").alias("rep"))
     member = scratch.table(rows.select("gid", "doc_id", "digest", "n").join(reps, ["digest", "n"], "left").select("gid", "doc_id", "n", F.coalesce("rep", "gid").alias("rep")), "members")
-    sketches = scratch.table(rows.join(member.where("n > 0").select("gid", "rep"), "gid").select("gid", "rep", "n", "sketch"), "sketches")
+    sketches = scratch.table(rows.drop("fine").join(member.where("n > 0").select("gid", "rep"), "gid").select("gid", "rep", "n", "sketch"), "sketches")
 
     def distinct(content):
         """(number in block, set) of each distinct set of a block that can have a partner."""
@@ -190,27 +200,30 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64)))  # at most MOST
 
     def sign(content, got):
-        sig, at, code = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        sig, at, code, share = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
         for k, s in distinct(content):
-            g = join.signatures(s, frequent.value)
+            often = among(s, frequent.value)
+            g = join.signatures(s, often)
             sig.append(g)
             at.append(np.full(len(g), k))
             code.append(np.full(len(g), len(s)))
-        sig, at, code = (np.concatenate(x) for x in (sig, at, code))
+            share.append(np.full(len(g), int(255 * often.mean()), np.uint8))
+        sig, at, code, share = (np.concatenate(x) for x in (sig, at, code, share))
         sig = mix(sig)  # the prefix has the smallest shingles: spread them over the buckets
         order = np.argsort(sig, kind="stable")
-        sig, at, code = sig[order], at[order].astype(np.uint16), size_code(code[order])
+        sig, at, code, share = sig[order], at[order].astype(np.uint16), size_code(code[order]), share[order]
         low = (sig >> np.uint64(32 - bits)).astype(np.uint32)
         for bucket, (a, b) in enumerate(itertools.pairwise(cuts(sig, bits))):
             if a < b:
-                yield bucket, low[a:b].tobytes() + at[a:b].tobytes() + code[a:b].tobytes()
+                yield bucket, low[a:b].tobytes() + at[a:b].tobytes() + code[a:b].tobytes() + share[a:b].tobytes()
 
     def gather(bucket, of, payloads):
-        sizes = [len(p) // 7 for p in payloads]
+        sizes = [len(p) // 8 for p in payloads]
         low = np.concatenate([np.frombuffer(p, np.uint32, k) for p, k in zip(payloads, sizes)])
         gid = np.concatenate([np.frombuffer(p, np.uint16, k, 4 * k).astype(np.int64) | (block << 16) for p, k, block in zip(payloads, sizes, of)])
         code = np.concatenate([np.frombuffer(p, np.uint8, k, 6 * k) for p, k in zip(payloads, sizes)]).astype(np.int16)
-        order = np.argsort(low, kind="stable")
+        share = np.concatenate([np.frombuffer(p, np.uint8, k, 7 * k) for p, k in zip(payloads, sizes)]).astype(np.int16)
+        order = np.lexsort((gid, -share, low))  # a group's most central set is its first
         low, gid, code = low[order], gid[order], code[order]
         edge = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1], [True])))
         n = np.diff(edge)
@@ -218,17 +231,16 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
         yield 0, np.stack((a, b)).tobytes()
         large = np.flatnonzero(n > SMALL)
         if len(large):
-            key = np.repeat((np.int64(bucket) << 32) | low[edge[:-1][large]].astype(np.int64), n[large])
-            rows_ = np.concatenate([gid[edge[k] : edge[k + 1]] for k in large])
-            yield 1, np.stack((key, rows_, np.repeat(n[large], n[large]))).tobytes()
+            members = np.concatenate([gid[edge[k] : edge[k + 1]] for k in large])
+            yield 1, np.unique(np.stack((np.repeat(gid[edge[:-1][large]], n[large]), members)), axis=1).tobytes()
 
     groups = scratch.table(answered(asked(table, sign), gather), "groups", codec="zstd")
     pairs = groups.where("block = 0").select("payload").mapInArrow(_flat("a long, b long"), "a long, b long").distinct()
     verified = _verify(pairs, sketches, table, join, scratch, "first")
-    large = scratch.table(groups.where("block = 1").select("payload").mapInArrow(_flat("sig long, gid long, size long"), "sig long, gid long, size long"), "large")
+    large = scratch.table(groups.where("block = 1").select("payload").mapInArrow(_flat("centre long, gid long"), "centre long, gid long").distinct(), "large")
     scratch.drop("groups")
     labels = components(verified, scratch, "first")
-    rest = _cross(large, labels, sketches, join, scratch)
+    rest = _cross(large, labels, sketches, rows, join, scratch)
     if rest is not None:
         more = _verify(rest, sketches, table, join, scratch, "second", screened=True)
         verified = verified.unionByName(more).distinct()
@@ -242,7 +254,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
     return result
 
 
-SETS = "gid long, doc_id long, n long, digest binary, sketch binary"
+SETS = "gid long, doc_id long, n long, digest binary, sketch binary, fine binary"
 
 
 def _each(batches):
@@ -354,30 +366,31 @@ def _verify(pairs: DataFrame, sketches: DataFrame, table: DataFrame, join: Join,
 REPLY = "block long, kind int, bucket int, payload binary"
 
 
-def _cross(large: DataFrame, labels: DataFrame, sketches: DataFrame, join: Join, scratch: Scratch) -> DataFrame | None:
+def _cross(large: DataFrame, labels: DataFrame, sketches: DataFrame, rows: DataFrame, join: Join, scratch: Scratch) -> DataFrame | None:
     """Pairs of different components in large groups that the bitmaps don't rule out; None where there is none to test."""
     rep = sketches.select("gid", "rep")
-    own = large.join(rep, "gid").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("label", "rep").alias("label"))
+    own = large.join(rep, "gid").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("centre", "rep", F.coalesce("label", "rep").alias("label"))
     own = scratch.table(own.distinct(), "large-labels")
-    mixed = own.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("sig", "size")
+    mixed = own.groupBy("centre").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("centre", "size")
     if not mixed.limit(1).count():
         scratch.drop("large-labels")
         return None
-    some = own.join(mixed, "sig").join(sketches.where("gid = rep").select("rep", "n", "sketch"), "rep")
+    fine = rows.select(F.col("gid").alias("rep"), "n", F.col("fine").alias("sketch"))
+    some = own.join(mixed, "centre").join(fine, "rep")
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     some = some.withColumn("k", F.pmod(F.xxhash64("rep"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    some = some.withColumn("lo", F.least("k", "other")).withColumn("hi", F.greatest("k", "other")).select("sig", "lo", "hi", "k", "rep", "label", "n", "sketch")
+    some = some.withColumn("lo", F.least("k", "other")).withColumn("hi", F.greatest("k", "other")).select("centre", "lo", "hi", "k", "rep", "label", "n", "sketch")
 
     def test(batches):
         schema = arrow_schema("a long, b long")
         keyed = (r for b in batches for r in b.to_pylist())
-        for (_, lo, hi), found in itertools.groupby(keyed, key=lambda r: (r["sig"], r["lo"], r["hi"])):
+        for (_, lo, hi), found in itertools.groupby(keyed, key=lambda r: (r["centre"], r["lo"], r["hi"])):
             rows = list(found)
             a, b = _screen([r for r in rows if r["k"] == lo], [r for r in rows if r["k"] == hi], lo == hi, join)
             if len(a):
                 yield batch(schema, {"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    pairs = some.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").mapInArrow(test, "a long, b long").distinct()
+    pairs = some.repartition("centre", "lo", "hi").sortWithinPartitions("centre", "lo", "hi").mapInArrow(test, "a long, b long").distinct()
     pairs = scratch.table(pairs, "cross")
     scratch.drop("large-labels")
     return pairs
