@@ -82,12 +82,12 @@ class Phrases:
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spans with those that overlap or touch joined."""
+    """Spans with those that overlap joined; spans of different documents never do."""
     if not len(start):
         return start, end
     order = np.argsort(start, kind="stable")
     s, e = start[order], np.maximum.accumulate(end[order])
-    new = np.concatenate(([True], s[1:] > e[:-1]))
+    new = np.concatenate(([True], s[1:] >= e[:-1]))
     return s[new], e[np.concatenate((new[1:], [True]))]
 
 
