@@ -1,6 +1,52 @@
 """DuckDB SQL for the operators that SQL can express."""
 
 WHITE = r"[\x20\x09-\x0D]"
+SPACED = r"[^\x20\x09-\x0D]+"
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER}, '{SPACED}') AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+l AS (SELECT doc_id, list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS x FROM t),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(x, ' ') AS x FROM l WHERE len(x) = 5
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM both_ JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 75 * (na.n + nb.n - k)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+c AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.b, d.doc_id)) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id
+"""
+
+OP5 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '{ALNUM}') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all({LOWER}, '{ALNUM}') AS w FROM benchmark),
+dt AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+it AS (SELECT item_id, least(10, len(w)) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM i),
+iw AS (SELECT item_id, n, list(word) OVER (PARTITION BY item_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS l FROM it),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(l[1:n], ' ') AS x FROM iw WHERE len(l) >= n),
+sizes AS (SELECT DISTINCT n FROM windows),
+dw AS (SELECT doc_id, pos, list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS l FROM dt),
+at_ AS (SELECT doc_id, pos, n, array_to_string(l[1:n], ' ') AS x FROM dw, sizes WHERE len(l) >= n),
+occ AS (SELECT doc_id, pos, at_.n AS n, item_id FROM at_ JOIN windows USING (n, x)),
+hit AS (SELECT doc_id, count(DISTINCT pos + k) AS n_hit FROM occ, range(10) r(k) WHERE k < n GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names FROM occ GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
+"""
+
+OP8 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+l AS (SELECT doc_id, pos, list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS x FROM t),
+r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY array_to_string(x, ' ') ORDER BY doc_id, pos) AS r FROM l WHERE len(x) = 20),
+gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM r, range(20) o(k) WHERE r > 1),
+kept AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.pos) AS x, count(*) AS n FROM t ANTI JOIN gone g ON g.doc_id = t.doc_id AND g.pos = t.pos GROUP BY t.doc_id)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(x, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
 
 OP9 = rf"""
 WITH t AS (
@@ -14,4 +60,4 @@ WITH t AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM w
 """
 
-SQL = {"op9_exact_dedup": OP9}
+SQL = {"op3_ngram_jaccard": OP3, "op5_decontamination": OP5, "op8_substring_dedup": OP8, "op9_exact_dedup": OP9}

@@ -39,7 +39,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(documents(spark, sf_dir), size=5, num=75, den=100)
+    return jaccard_components(documents(spark, sf_dir), size=5, num=75, den=100).drop("n_links")
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
