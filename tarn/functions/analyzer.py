@@ -14,7 +14,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tarn.functions.text import spaced_cjk, tokens
+from tarn.functions.text import tokens
 
 
 def folded(word: str) -> str:
@@ -101,7 +101,7 @@ def term(word: str, analyzer: str) -> str:
 
 def terms(text: Column, analyzer: str = "simple") -> Column:
     """The terms of a text, in order."""
-    found = tokens(spaced_cjk(F.coalesce(text, F.lit(""))))
+    found = tokens(F.coalesce(text, F.lit("")))
     if analyzer == "simple":
         return found
     if analyzer != "porter":

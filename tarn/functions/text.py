@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Scripts whose characters are tokens of their own (Java names).
 CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
-#: What a token is: letters and digits.
-TOKEN = r"[\p{L}\p{N}]+"
+#: What a token is: letters and digits, and one character of these scripts.
+TOKEN = rf"[{CJK[1:-1]}&&[\p{{L}}\p{{N}}]]|[\p{{L}}\p{{N}}&&[^{CJK[1:-1]}]]+"
 
 #: Words that say nothing of an intent (fixed values).
 INTENT_STOP_WORDS = """
@@ -20,7 +20,7 @@ about looking notes search where which
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits, in order."""
+    """Lower-cased runs of letters and digits, in order; CJK characters stand alone."""
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 

@@ -2,14 +2,14 @@
 
 A query's phrases each give (doc_id, f), f being the weighted occurrences in the
 fields. They come either from an inverted index (``Postings``: selective reads of
-a table bucketed and sorted by term) or from one pass over the token arrays
-(``TokenArrays``: no shuffle, for frames that were never indexed). Scoring on top
-of them is the same. Okapi BM25 (Robertson and Zaragoza, 2009), with document
+a table sorted by term) or from a pass over the texts (``Scan``: no shuffle, for
+frames that were never indexed). Scoring on top of them is the same. Okapi BM25 (Robertson and Zaragoza, 2009), with document
 frequencies of whole phrases over the whole index.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions.analyzer import terms
+from tarn.functions.text import TOKEN
 from tarn.plans.lexquery import LexPlan, Phrase
 
 #: Weights of the fields, and BM25's parameters (fixed values).
@@ -24,36 +25,42 @@ WEIGHTS = {"filepath": 1.5, "title": 4.0, "body": 1.0}
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
+def _texts() -> dict[str, Column]:
+    return {"filepath": F.concat_ws("/", "collection", "path"), "title": F.col("title"), "body": F.col("body")}
+
+
 def fields(docs: DataFrame, analyzer: str = "simple") -> DataFrame:
     """doc_id, and each field's terms as an array. ``docs``: doc_id, collection, path, title, body."""
-    return docs.select(
-        "doc_id",
-        terms(F.concat_ws("/", "collection", "path"), analyzer).alias("filepath"),
-        terms(F.col("title"), analyzer).alias("title"),
-        terms(F.col("body"), analyzer).alias("body"),
-    )
+    return docs.select("doc_id", *(terms(x, analyzer).alias(f) for f, x in _texts().items()))
 
 
 @dataclass
-class TokenArrays:
-    """Documents as arrays of terms (see ``fields``)."""
+class Scan:
+    """Documents that were never indexed. Lengths are counts of matches; only documents whose lower-cased text holds every wanted word somewhere are cut into terms."""
 
-    arrays: DataFrame
+    docs: DataFrame
+    analyzer: str = "simple"
 
     def lengths(self) -> DataFrame:
-        return self.arrays.select("doc_id", sum((F.size(f) for f in WEIGHTS), F.lit(0)).alias("dl"))
+        n = sum((F.regexp_count(F.coalesce(x, F.lit("")), F.lit(TOKEN)) for x in _texts().values()), F.lit(0))
+        return self.docs.select("doc_id", n.alias("dl"))
+
+    def corpus(self) -> DataFrame:
+        """One row: n and avgdl."""
+        return self.lengths().agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
     def hits(self, phrases: list[Phrase]) -> DataFrame:
-        """phrase, doc_id, f, dl: one row for each phrase and document that has it; a single pass over the documents."""
+        """phrase, doc_id, f, dl: one row for each phrase and document that has it; one pass, no shuffle."""
+        some = self.docs
+        if self.analyzer == "simple":
+            held = lambda w: reduce(lambda a, b: a | b, (F.lower(F.coalesce(x, F.lit(""))).contains(w) for x in _texts().values()))
+            some = some.where(reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, map(held, p.tokens)) for p in phrases)))
+        arrays = fields(some, self.analyzer)
         weight = lambda p: sum((F.lit(w) * occurrences(F.col(f), p) for f, w in WEIGHTS.items()), F.lit(0.0))
         found = F.array(*(F.struct(F.lit(k).alias("phrase"), weight(p).alias("f")) for k, p in enumerate(phrases)))
-        each = self.arrays.select("doc_id", sum((F.size(f) for f in WEIGHTS), F.lit(0)).alias("dl"), F.explode(F.filter(found, lambda x: x["f"] > 0)).alias("x"))
+        each = arrays.select("doc_id", sum((F.size(f) for f in WEIGHTS), F.lit(0)).alias("dl"), F.explode(F.filter(found, lambda x: x["f"] > 0)).alias("x"))
         return each.select(F.col("x.phrase").alias("phrase"), "doc_id", F.col("x.f").alias("f"), "dl")
 
-    def corpus(self) -> DataFrame:
-        """One row: n and avgdl."""
-        return self.lengths().agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-
 
 def _fits(x: Column, p: Phrase, slot: int) -> Column:
     word = p.tokens[slot]
@@ -86,7 +93,7 @@ class Postings:
         each = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("terms")) for f in WEIGHTS))
         long = arrays.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.field", F.posexplode("x.terms").alias("pos", "term"))
         postings = long.groupBy("term", "doc_id", "field").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-        return cls(postings, TokenArrays(arrays).lengths())
+        return cls(postings, Scan(docs).lengths())
 
     def lengths(self) -> DataFrame:
         return self.doc_lengths
@@ -114,32 +121,32 @@ class Postings:
         return self.postings.groupBy("term").agg(F.count_distinct("doc_id").alias("df"), F.sum("tf").alias("cf"))
 
 
-def matches(index: TokenArrays | Postings, plan: LexPlan) -> DataFrame:
-    """doc_id, raw BM25 and score x / (1 + x) of the documents with every positive phrase and no negative group."""
+def matches(index: Scan | Postings, plan: LexPlan) -> DataFrame:
+    """doc_id, raw BM25 and score x / (1 + x) of the documents with every positive phrase and no negative group.
+
+    The corpus' two numbers and a frequency for each phrase are read first, so that scoring is an expression over the hits.
+    """
     phrases = [*plan.positive, *(p for group in plan.negative for p in group)]
-    hits = index.hits(phrases)
-    size = len(plan.positive)
-    frequency = hits.where(F.col("phrase") < size).groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))  # a row a phrase
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
-    weights = F.broadcast(frequency.crossJoin(index.corpus()).select("phrase", idf.alias("idf"), "avgdl"))  # as many rows as the query has phrases
+    hits, size = index.hits(phrases), len(plan.positive)
+    corpus = index.corpus().first()
+    frequency = dict(hits.where(F.col("phrase") < size).groupBy("phrase").count().collect())  # a row a phrase
+    n, avgdl = corpus["n"], corpus["avgdl"] or 1.0
+    idfs = [math.log((n - df + 0.5) / (df + 0.5)) for df in (frequency.get(k, 0) for k in range(size))]
+    idf = F.element_at(F.array(*(F.lit(x if x > 0 else LEAST_IDF) for x in idfs)), F.col("phrase") + 1)
     f = F.col("f")
-    part = F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.join(weights, "phrase", "left")
+    part = F.when(F.col("phrase") < size, idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
     held = lambda k: F.max(F.when(F.col("phrase") == k, 1).otherwise(0))
     at, unwanted = size, []
     for group in plan.negative:
-        unwanted.append(reduce(lambda a, b: F.least(a, b), (held(at + k) for k in range(len(group)))))
+        unwanted.append(reduce(F.least, [held(at + k) for k in range(len(group))]))
         at += len(group)
-    no = reduce(lambda a, b: F.greatest(a, b), unwanted, F.lit(0))
-    per_doc = scored.groupBy("doc_id").agg(
-        F.sum(F.when(F.col("phrase") < size, part)).alias("bm25"), F.count(F.when(F.col("phrase") < size, 1)).alias("got"), no.alias("no")
-    )
+    no = reduce(F.greatest, unwanted, F.lit(0))
+    per_doc = hits.groupBy("doc_id").agg(F.sum(part).alias("bm25"), F.count(F.when(F.col("phrase") < size, 1)).alias("got"), no.alias("no"))
     raw = F.abs(F.col("bm25"))
     return per_doc.where((F.col("got") == size) & (F.col("no") == 0)).select("doc_id", "bm25", (raw / (1 + raw)).alias("score"))
 
 
-def search(index: TokenArrays | Postings, docs: DataFrame, plan: LexPlan | None, limit: int = 20, collections: list[str] | None = None) -> DataFrame:
+def search(index: Scan | Postings, docs: DataFrame, plan: LexPlan | None, limit: int = 20, collections: list[str] | None = None) -> DataFrame:
     """The best ``limit`` documents of a plan, exactly: with collections, document frequencies are still the whole index'."""
     wanted = docs.select("doc_id", "collection", "path", "title", "hash")
     if plan is None:
@@ -150,7 +157,7 @@ def search(index: TokenArrays | Postings, docs: DataFrame, plan: LexPlan | None,
     return found.orderBy(F.desc(F.round("score", 12)), "doc_id").limit(limit).select("doc_id", "collection", "path", "title", "hash", "score")
 
 
-def search_each(index: TokenArrays | Postings, docs: DataFrame, plan: LexPlan | None, limit: int, collections: list[str]) -> DataFrame:
+def search_each(index: Scan | Postings, docs: DataFrame, plan: LexPlan | None, limit: int, collections: list[str]) -> DataFrame:
     """Every collection's own best ``limit``, so that a large one doesn't starve a small one; the best score of a file, then the best ``limit`` of all."""
     from tarn.operators.ranking import best_of_file, top_of_each
 

@@ -30,7 +30,7 @@ class Index:
 
     docs: DataFrame
     content: DataFrame
-    terms: bm25.TokenArrays | bm25.Postings
+    terms: bm25.Scan | bm25.Postings
     vectors: DataFrame | None = None
     analyzer: str = "simple"
 

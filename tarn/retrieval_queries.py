@@ -67,8 +67,8 @@ DOCS = """docs AS (
   FROM documents)"""
 
 
-def arrays(spark: SparkSession, d: str) -> bm25.TokenArrays:
-    return bm25.TokenArrays(bm25.fields(documents(spark, d)))
+def scan(spark: SparkSession, d: str) -> bm25.Scan:
+    return bm25.Scan(documents(spark, d))
 
 
 ARRAYS = DOCS + r""",
@@ -117,7 +117,7 @@ TOP = "SELECT doc_id, collection, path, round(score, 6) AS score FROM found JOIN
 
 def _lex(name: str, text: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return _shown(bm25.search(arrays(spark, d), documents(spark, d), parse(text), 20))
+        return _shown(bm25.search(scan(spark, d), documents(spark, d), parse(text), 20))
 
     run.__name__ = name
     query(lex_sql(text, TOP))(run)
@@ -134,7 +134,7 @@ SCOPE = ["src1", "src2", "src3"]
 
 @query(lex_sql("license", "SELECT doc_id, collection, path, round(score, 6) AS score FROM found JOIN docs USING (doc_id) WHERE collection IN ('src1', 'src2', 'src3') ORDER BY round(found.score, 12) DESC, doc_id LIMIT 20"))
 def bm25_scoped(spark, d):
-    return _shown(bm25.search(arrays(spark, d), documents(spark, d), parse("license"), 20, SCOPE))
+    return _shown(bm25.search(scan(spark, d), documents(spark, d), parse("license"), 20, SCOPE))
 
 
 @query(lex_sql("the", """, own AS (
@@ -142,7 +142,7 @@ def bm25_scoped(spark, d):
   FROM found JOIN docs USING (doc_id) WHERE collection IN ('src1', 'src2', 'src3'))
 SELECT doc_id, collection, path, round(score, 6) AS score FROM own WHERE r <= 5 ORDER BY round(own.score, 12) DESC, doc_id LIMIT 5"""))
 def bm25_multi_collection_merge(spark, d):
-    return _shown(bm25.search_each(arrays(spark, d), documents(spark, d), parse("the"), 5, SCOPE))
+    return _shown(bm25.search_each(scan(spark, d), documents(spark, d), parse("the"), 5, SCOPE))
 
 
 @query(lex_sql('"licensed under" version', TOP))
@@ -152,7 +152,7 @@ def bm25_inverted_index(spark, d):
 
 @query(f"WITH {ARRAYS} SELECT n AS n_docs, round(avgdl, 6) AS avgdl, CAST((SELECT sum(dl) FROM dls) AS BIGINT) AS n_tokens FROM corpus")
 def corpus_stats(spark, d):
-    return arrays(spark, d).lengths().agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("dl"), 6).alias("avgdl"), F.sum("dl").alias("n_tokens"))
+    return scan(spark, d).lengths().agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("dl"), 6).alias("avgdl"), F.sum("dl").alias("n_tokens"))
 
 
 @query(f"WITH {ARRAYS} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM toks GROUP BY term")
@@ -163,7 +163,7 @@ def postings_df(spark, d):
 @query()
 def porter_search(spark, d):
     docs = documents(spark, d)
-    index = bm25.TokenArrays(bm25.fields(docs, "porter"))
+    index = bm25.Scan(docs, "porter")
     return _shown(bm25.search(index, docs, parse("licensing versions", "porter"), 20))
 
 
@@ -781,7 +781,7 @@ def embed_documents(spark, d):
 
 
 def _index(spark, d) -> search.Index:
-    return search.Index(maintenance.active(documents(spark, d)), content(spark, d), arrays(spark, d), chunks(spark, d))
+    return search.Index(maintenance.active(documents(spark, d)), content(spark, d), scan(spark, d), chunks(spark, d))
 
 
 def _models() -> search.Models:

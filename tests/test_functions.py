@@ -87,7 +87,8 @@ def test_readable(one):
 
 
 def test_cjk(one):
-    assert one(T.tokens(T.spaced_cjk(F.lit("検索abc テスト")))) == ["検", "索", "abc", "テ", "ス", "ト"]
+    assert one(T.spaced_cjk(F.lit("a検b"))) == "a 検 b"
+    assert one(T.tokens(F.lit("検索ABC テスト"))) == ["検", "索", "abc", "テ", "ス", "ト"]
     assert one(T.contains_cjk(F.lit("a検"))) and not one(T.contains_cjk(F.lit("abc")))
 
 

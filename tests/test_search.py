@@ -33,7 +33,7 @@ def test_bm25_equals_fts5(corpus, text, indexed):
     db.execute("create virtual table t using fts5(filepath, title, body, tokenize='porter unicode61')")
     db.executemany("insert into t(rowid, filepath, title, body) values (?, ?, ?, ?)", [(k, f"{c}/{p}", t, b) for k, c, p, t, b in rows])
     want = {k: -s / (1 - s) for k, s in db.execute("select rowid, bm25(t, 1.5, 4.0, 1.0) from t where t match ?", (QUERIES[text],))}
-    index = bm25.Postings.build(docs, "porter") if indexed else bm25.TokenArrays(bm25.fields(docs, "porter"))
+    index = bm25.Postings.build(docs, "porter") if indexed else bm25.Scan(docs, "porter")
     got = {r.doc_id: r.score for r in bm25.matches(index, parse(text, "porter")).collect()}
     assert got.keys() == want.keys() and want
     assert all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
@@ -41,7 +41,7 @@ def test_bm25_equals_fts5(corpus, text, indexed):
 
 def test_only_excluded_finds_nothing(corpus):
     _, docs = corpus
-    assert bm25.search(bm25.TokenArrays(bm25.fields(docs)), docs, parse("-a")).count() == 0
+    assert bm25.search(bm25.Scan(docs), docs, parse("-a")).count() == 0
 
 
 def test_vectors(spark):
