@@ -18,27 +18,44 @@ from tarn.llm.queries import documents, vocabulary
 from tarn.llm.sentencepiece_codec import encode
 from tarn.llm.shared import Scratch
 
+#: Ids (8 bytes each) that are broadcast at most.
+BROADCAST_IDS = 4_000_000
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those without a letter, or without text, go."""
     return recognised(docs, learn(docs))
 
 
+def without(docs: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows whose doc_id isn't in ``gone`` (one column of ids, no nulls). Up to BROADCAST_IDS ids are sent to the documents; more are joined by a shuffle."""
+    gone = scratch.table(gone.distinct().toDF("gone_id"), "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col("`doc_id`") == F.col("gone_id"), "left_anti")
+
+
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the longest original, then the smallest doc_id."""
-    kept = exact_dedup(docs).where("kept").groupBy(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")).agg(F.count(F.lit(1)).alias("n_alike"))
-    kept = Scratch(spark, "kept").table(kept, "kept")
+    scratch = Scratch(spark, "equal")
+    rows = scratch.table(exact_dedup(docs).select("doc_id", "kept", "text_sha256"), "rows")
+    by_id = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("kept").alias("kept"))
+    several = by_id.where("n > 1 OR doc_id IS NULL").select("doc_id")
+    gone = by_id.where("n = 1 AND NOT kept AND doc_id IS NOT NULL").select("doc_id")
+    if not several.limit(1).count():
+        return without(docs, gone, scratch)
+    # ids that stand for several rows, or none: these rows are told apart by their texts
+    clear = without(docs, gone.unionByName(several.where("doc_id IS NOT NULL")), scratch).where("doc_id IS NOT NULL")
+    kept = rows.where("kept").join(several, "doc_id", "left_semi").unionByName(rows.where("kept AND doc_id IS NULL")).select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
     sha = F.sha2(F.translate(F.coalesce(F.col("`text`"), F.lit("")), WHITE, ""), 256)
-    found = docs.withColumn("sha_here", sha).join(kept, F.col("sha_here").eqNullSafe(F.col("kept_sha")) & F.col("`doc_id`").eqNullSafe(F.col("kept_id")), "left_semi")
-    if kept.where("n_alike > 1").limit(1).count():
-        found = found.dropDuplicates(["doc_id", "sha_here"])
-    return found.drop("sha_here")
+    same = F.col("sha_here").eqNullSafe(F.col("kept_sha")) & F.col("`doc_id`").eqNullSafe(F.col("kept_id"))
+    unclear = docs.withColumn("sha_here", sha).join(kept, same, "left_semi").dropDuplicates(["doc_id", "sha_here"]).drop("sha_here")
+    return clear.unionByName(unclear)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates: the smallest doc_id."""
-    gone = jaccard_components(docs).where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("`doc_id`") == F.col("gone_id"), "left_anti")
+    return without(docs, jaccard_components(docs).where("doc_id != component_id").select("doc_id"), Scratch(spark, "near"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
