@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import json
 import re
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tarn import providers
 from tarn.functions import paths as P
-from tarn.operators import bm25, lookup, maintenance
+from tarn.operators import bm25, lookup, maintenance, vectors
 from tarn.operators.chunking import chunk_rows
 from tarn.operators.snippets import Snippet, snippet
 from tarn.plans import search as plans
@@ -132,7 +133,7 @@ class Engine:
         for name in collections or list(found):
             c = found[name]
             new = files.scan(self.spark, c["path"], c["pattern"] or files.PATTERN, c["ignore"]).withColumn("collection", F.lit(name))
-            own = old.where(F.col("collection") == name)
+            own = maintenance.with_adopted_paths(old.where(F.col("collection") == name), new)
             counts = maintenance.change_counts(maintenance.changes(own, new)).first().asDict()
             total = {k: total[k] + counts[k] for k in total}
             docs = old.where(F.col("collection") != name).unionByName(maintenance.refreshed(own, new, now)) if new.limit(1).count() else old.withColumn("active", F.col("active") & (F.col("collection") != name))
@@ -153,9 +154,9 @@ class Engine:
     def _searched(self) -> plans.Index:
         docs = maintenance.active(self.tables.read("documents")).withColumn("doc_id", F.xxhash64("collection", "path"))
         chunks, stored = self.tables.read("chunks"), self.tables.read("vectors")
-        vectors = stored.join(chunks.select("hash", "seq", "pos"), ["hash", "seq"])
+        placed = stored.join(chunks.select("hash", "seq", "pos"), ["hash", "seq"])
         terms = bm25.Postings(self.tables.read("postings"), self.tables.read("lengths"))
-        return plans.Index(docs, self.tables.read("content"), terms, vectors, self.analyzer)
+        return plans.Index(docs, self.tables.read("content"), terms, placed, self.analyzer)
 
     def pending(self) -> DataFrame:
         e = self.models.embedder
@@ -244,6 +245,28 @@ class Engine:
     def expand_query(self, query: str) -> list[tuple[str, str]]:
         return self.models.expanded(query)
 
+    def save_cache(self) -> None:
+        """Keep the providers' answers, the newest thousand, for other sessions."""
+        now = datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
+        rows = self._frame("cache", [(k, json.dumps(v), now) for k, v in self.models.cache.items()])
+        self.tables.commit(cache=maintenance.newest(maintenance.upsert(self.tables.read("cache"), rows, ["cache_key"])))
+
+    def load_cache(self) -> int:
+        kept = {r["cache_key"]: json.loads(r["result"]) for r in maintenance.newest(self.tables.read("cache")).collect()}
+        self.models.cache.update({k: [tuple(x) for x in v] if isinstance(v, list) else v for k, v in kept.items()})
+        return len(kept)
+
+    def check_embeddings(self, n: int = 20) -> DataFrame:
+        """A sample of stored vectors against vectors made anew."""
+        some = vectors.sample(self.tables.read("vectors"), n)
+        chunks = chunk_rows(self.tables.read("content").join(some.select("hash").distinct(), "hash", "left_semi").select("hash", "doc"))
+        titles = maintenance.active(self.tables.read("documents")).groupBy("hash").agg(F.min("title").alias("title"))
+        rows = chunks.join(some.select("hash", "seq"), ["hash", "seq"]).join(titles, "hash").collect()  # n at most
+        e = self.models.embedder
+        again = e.embed([providers.document_prompt(r["text"], r["title"], e.name) for r in rows])
+        fresh = self.spark.createDataFrame([(r["hash"], r["seq"], v) for r, v in zip(rows, again)], "hash string, seq int, embedding array<double>")
+        return vectors.check_samples(some, fresh)
+
     def snippet_of(self, found: plans.Found, query: str, most: int = 500, intent: str | None = None) -> Snippet:
         return snippet(found.body, query, most, found.best_chunk_pos, len(found.best_chunk) or None, intent)
 
@@ -264,6 +287,9 @@ class Engine:
         return {"error": r["status"], "ignored_by": hidden[0] if hidden else None, "similar": [x["path"] for x in near.collect()]}
 
     def get_body(self, name: str, first: int | None = None, count: int | None = None) -> str | None:
+        """A document's text; a range can also follow its name ("a.md:120:40")."""
+        name, given, most = lookup.split_range(name)
+        first, count = first or given, count or most
         found = self.get(name)
         if "error" in found:
             return None

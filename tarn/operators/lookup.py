@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,13 @@ from tarn.functions.text import line_slice
 NEAR, SIMILAR, MOST_BYTES = 5, 5, 64 * 1024
 
 
+def split_range(name: str) -> tuple[str, int | None, int | None]:
+    """A name and the line range after it: "a.md:120" from a line on, "a.md:120:40" so many lines."""
+    m = re.fullmatch(r"(.+?)(?::(\d+))?(?::(\d+))?", name, re.DOTALL)
+    number = lambda x: None if x is None else max(1, int(x))
+    return m[1], number(m[2]), number(m[3])
+
+
 def by_docid(docs: DataFrame, given: str) -> DataFrame:
     """The first document (by collection and path) whose hash begins so; none where ``given`` is no document id."""
     digits = P.parse_docid(given)

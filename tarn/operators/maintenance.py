@@ -172,3 +172,25 @@ def top_folders(docs: DataFrame, collection: str, covered: list[str] = ()) -> Da
     top = some.select(F.split("path", "/")[0].alias("folder")).distinct()
     clean = [p.strip("/") for p in covered]
     return (top.where(~F.col("folder").isin(clean)) if clean else top).orderBy("folder")
+
+
+def adopted_paths(old: DataFrame, new: DataFrame) -> DataFrame:
+    """collection, old_path, path: active rows stored under a slug whose file is now known by its literal path.
+
+    Several literal paths can have one slug, so a row is adopted only where no live file has the slug itself as its path and the literal path
+    isn't stored yet; of several literal paths the first is taken.
+    """
+    from tarn.functions.paths import slug
+
+    live = new.select("collection", "path")
+    unknown = live.join(active(old).select("collection", "path"), ["collection", "path"], "left_anti")
+    slugged = unknown.withColumn("old_path", slug(F.col("path"))).where("old_path IS NOT NULL AND old_path != path")
+    stale = active(old).select("collection", F.col("path").alias("old_path")).join(live.withColumnRenamed("path", "old_path"), ["collection", "old_path"], "left_anti")
+    return slugged.join(stale, ["collection", "old_path"]).groupBy("collection", "old_path").agg(F.min("path").alias("path"))
+
+
+def with_adopted_paths(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The documents before a refresh, adopted rows under their literal paths."""
+    found = adopted_paths(old, new).withColumnRenamed("path", "new_path")
+    both = old.join(found, (old["collection"] == found["collection"]) & (old["path"] == found["old_path"]) & old["active"], "left")
+    return both.select(*(F.coalesce(found["new_path"], old["path"]).alias("path") if c == "path" else old[c] for c in old.columns))

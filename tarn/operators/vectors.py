@@ -113,3 +113,15 @@ def search_vectors_each(vectors: DataFrame, docs: DataFrame, query: list[float],
     found = best.join(wanted.select("doc_id", "collection", "path", "title", "hash"), "hash").select("doc_id", "collection", "path", "title", "hash", "seq", "pos", "score")
     found = best_of_file(top_of_each(found, ["collection"], limit), ["collection", "path"])
     return found.orderBy(F.desc(F.round("score", 12)), "doc_id").limit(limit)
+
+
+def check_samples(stored: DataFrame, fresh: DataFrame, tolerance: float = 1e-4) -> DataFrame:
+    """hash, seq, distance, ok: stored vectors against vectors made again from the same chunks (hash, seq, embedding)."""
+    again = fresh.select("hash", "seq", F.col("embedding").alias("again"))
+    d = cosine_distance(F.col("embedding"), F.col("again"))
+    return stored.join(again, ["hash", "seq"]).select("hash", "seq", d.alias("distance"), (d <= tolerance).alias("ok"))
+
+
+def sample(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """n rows in an order that only the seed and the rows' keys (hash, seq) decide."""
+    return rows.orderBy(F.xxhash64("hash", "seq", F.lit(seed))).limit(n)

@@ -51,6 +51,12 @@ class Models:
             self.cache[key] = [(t, q) for t, q in self.expander.expand(query) if q.strip().lower() != query.strip().lower()]
         return self.cache[key]
 
+    def forget(self, query: str) -> None:
+        """Drop an expansion that led to nothing, so that it is made again."""
+        from tarn.providers import cache_key
+
+        self.cache.pop(cache_key("expand", self.expander.name, query), None)
+
     def reranked(self, query: str, texts: list[str], intent: str | None = None) -> list[float]:
         """Scores of texts; equal texts are scored once, and what was scored before isn't again."""
         from tarn.providers import cache_key
@@ -117,6 +123,8 @@ def hybrid(spark: SparkSession, index: Index, models: Models, query: str, *, lim
     lists += [("fts", "lex", q, rows) for t, q in more if t == "lex" and (rows := _keyword(index, q, LIST, collections))]
     meant = [("original", query), *((t, q) for t, q in more if t in ("vec", "hyde"))]
     lists += [("vec", t, q, rows) for (t, q), rows in zip(meant, _meaning(index, models, [q for _, q in meant], LIST, collections)) if rows]
+    if more and not any(x[1] != "original" for x in lists):
+        models.forget(query)
     weighted = [(*x, 2.0 if x[1] == "original" else 1.0) for x in lists]
     return _finish(spark, index, models, query, query, weighted, limit, least, candidates, intent, rerank, explain)
 

@@ -23,6 +23,7 @@ from tarn.operators import bm25, evaluation, expansion, formatters, fusion, look
 from tarn.operators.chunking import chunk_rows
 from tarn.operators.snippets import snippets
 from tarn.plans import search
+from tarn.plans.benchmark import Fixture, FixtureQuery, run_fixture
 from tarn.plans.lexquery import parse
 from tarn.plans.querydoc import TypedQuery
 
@@ -349,9 +350,25 @@ def collections_without_context(spark, d):
     return maintenance.without_contexts(_names(spark).withColumn("context", some), documents(spark, d))
 
 
+@query(f"""WITH {DOCS} SELECT collection, lang || '/a-b-' || doc_id || '.md' AS old_path, lang || '/a b (' || doc_id || ').md' AS path
+FROM docs JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) WHERE doc_id % 3 = 0 AND active""")
+def legacy_path_adoption(spark, d):
+    docs = documents(spark, d).withColumn("folder", F.split("path", "/")[0])
+    old = docs.where("doc_id % 3 = 0").withColumn("path", F.concat("folder", F.lit("/a-b-"), F.col("title"), F.lit(".md")))
+    new = docs.withColumn("path", F.concat("folder", F.lit("/a b ("), F.col("title"), F.lit(").md")))
+    return maintenance.adopted_paths(old, new)
+
+
 # vector search
 
 
+@query(f"WITH {CHUNKS}, f AS (SELECT hash, seq, CASE WHEN doc_id % 2 = 0 THEN embedding ELSE list_reverse(embedding) END AS again FROM chunks) SELECT c.hash, c.seq, 1 - list_cosine_similarity(embedding, again) <= 1e-4 AS ok FROM chunks c JOIN f USING (hash, seq)")
+def embedding_samples(spark, d):
+    c = chunks(spark, d)
+    fresh = c.withColumn("embedding", F.when(F.col("doc_id") % 2 == 0, F.col("embedding")).otherwise(F.reverse("embedding")))
+    return vectors.check_samples(c, fresh).select("hash", "seq", "ok")
+
+
 def query_vector(spark: SparkSession, d: str, vec_id: int = 0) -> list[float]:
     return table(spark, d, "embeddings").where(F.col("vec_id") == vec_id).first()["embedding"]
 
@@ -582,11 +599,11 @@ def multi_get_sizes(spark, d):
 
 def _results(spark, d):
     docs = documents(spark, d)
-    return docs.select("doc_id", P.docid(F.col("hash")).alias("docid"), (F.col("doc_id") % 100 / 100).alias("score"), F.concat_ws("/", "collection", "path").alias("file"), F.concat(F.lit('a "title", '), F.col("title")).alias("title"), F.when(F.col("doc_id") % 2 == 0, 'say "x" & <y>').alias("context"), F.lit(3).alias("line"), F.substring("body", 1, 60).alias("snippet"))
+    return docs.select("doc_id", P.docid(F.col("hash")).alias("docid"), (F.col("doc_id") % 100 / 100).alias("score"), F.concat_ws("/", "collection", "path").alias("file"), F.concat(F.lit('a "title", '), F.col("title")).alias("title"), F.when(F.col("doc_id") % 2 == 0, 'say "x" & <y>').alias("context"), F.lit(3).alias("line"), F.col("body").alias("snippet"))
 
 
 RESULTS = DOCS + """, res AS (SELECT doc_id, substr(hash, 1, 6) AS docid, (doc_id % 100) / 100.0 AS score, collection || '/' || path AS file, 'a "title", ' || title AS title,
-  CASE WHEN doc_id % 2 = 0 THEN 'say "x" & <y>' END AS context, 3 AS line, substr(body, 1, 60) AS snippet FROM docs)"""
+  CASE WHEN doc_id % 2 = 0 THEN 'say "x" & <y>' END AS context, 3 AS line, body AS snippet FROM docs)"""
 
 
 def _csv(x: str) -> str:
@@ -797,6 +814,13 @@ def hybrid_search(spark, d):
     return _found(spark, search.hybrid(spark, _index(spark, d), _models(), "apache license version"))
 
 
+@query()
+def retrieval_benchmark(spark, d):
+    """Four backends on three queries of a fixture."""
+    fixture = Fixture([FixtureQuery("phrase", '"mit license"', ["en/1.md"], 5), FixtureQuery("typed", 'lex: apache\nvec: works under a license', ["md"], 5), FixtureQuery("plain", "general public license", ["nowhere.md"], 3)])
+    return run_fixture(spark, _index(spark, d), _models(), fixture).drop("latency_ms")
+
+
 @query()
 def structured_search(spark, d):
     typed = [TypedQuery("vec", "works under a license"), TypedQuery("lex", '"mit license"'), TypedQuery("hyde", "released under the MIT license")]

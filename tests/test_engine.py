@@ -124,3 +124,44 @@ def test_commits_are_whole(spark, tmp_path):
     before = w.read("config")
     w.commit(config=w.read("config").unionByName(spark.createDataFrame([("b", "2")], "key string, value string")))
     assert before.count() == 1 and w.read("config").count() == 2 and w.vacuum() == 1 and w.read("config").count() == 2
+
+
+def test_benchmark_fixture(spark, notes, tmp_path):
+    import json
+
+    from tarn.plans.benchmark import FixtureError, load_fixture, run_fixture
+
+    e = Engine(spark, f"{tmp_path}/index")
+    e.add_collection("notes", str(notes), "**/*.md", ignore=["skip/**"])
+    e.update()
+    e.embed()
+    fixture = {"description": "d", "version": 1, "collection": "notes", "queries": [{"id": "q1", "query": "databases performance", "type": "exact", "description": "", "expected_files": ["sub/b.md"], "expected_in_top_k": 3}]}
+    (tmp_path / "f.json").write_text(json.dumps(fixture))
+    f = load_fixture(spark, f"{tmp_path}/f.json")
+    rows = {r.backend: r for r in run_fixture(spark, e._searched(), e.models, f).collect()}
+    assert set(rows) == {"bm25", "vector", "hybrid", "full"} and rows["bm25"].mrr == 1 and rows["full"].precision_at_k == 1
+    f.collection = "none"
+    with pytest.raises(FixtureError):
+        run_fixture(spark, e._searched(), e.models, f)
+    assert e.check_embeddings().where("NOT ok").count() == 0
+    e.search("databases")
+    e.save_cache()
+    n = len(e.models.cache)
+    e.models.cache.clear()
+    assert e.load_cache() == n == len(e.models.cache) and e.expand_query("databases") == [("hyde", "Information about databases")]
+    assert e.get_body("a.md:1:1") == "# Alpha"
+
+
+def test_legacy_paths(spark):
+    from tarn.operators import maintenance
+
+    old = spark.createDataFrame([("c", "a-b.md", True), ("c", "x-y.md", True), ("c", "p-q.md", False)], "collection string, path string, active boolean")
+    new = spark.createDataFrame([("c", "a b.md"), ("c", "a_b.md"), ("c", "x y.md"), ("c", "x-y.md"), ("c", "p q.md")], "collection string, path string")
+    assert [tuple(r) for r in maintenance.adopted_paths(old, new).collect()] == [("c", "a-b.md", "a b.md")]
+    assert sorted(r.path for r in maintenance.with_adopted_paths(old, new).collect()) == ["a b.md", "p-q.md", "x-y.md"]
+
+
+def test_ranges():
+    from tarn.operators.lookup import split_range
+
+    assert split_range("a.md") == ("a.md", None, None) and split_range("tarn://c/a.md:5") == ("tarn://c/a.md", 5, None) and split_range("a:b.md:0:3") == ("a:b.md", 1, 3)
