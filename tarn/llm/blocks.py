@@ -5,7 +5,9 @@ learn something about keys that many blocks share (how often a word occurs, who
 holds a window first) a block sends each bucket one array of its own distinct
 keys; the bucket joins what all blocks sent and answers each of them with an
 array in the order it asked. A key that a third of all rows hold is thus sent
-once a block, never once a row, and arrays travel where rows would otherwise.
+once a block, never once a row, and arrays travel where rows would otherwise. As
+buckets follow the input and blocks don't, arrays get shorter with the input, and
+at the extreme an array is one key: no more rows than a plain shuffle of the keys.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from tarn.llm.shared import Scratch, arrow_schema, batch, input_bytes, pick, shi
 #: Text of a block.
 BLOCK_BYTES = 8 << 20
 #: Input for one bucket.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 32 << 20
 
 BLOCK_ROWS = "block long, kind int, bucket int, payload binary"
 
@@ -62,10 +64,24 @@ def bucket_bits(table: DataFrame) -> int:
     return min(31, max(4, int(np.ceil(np.log2(max(1, input_bytes(table) / BUCKET_BYTES))))))
 
 
-def cuts(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Bounds of the buckets (by a key's highest bits) in sorted 64-bit keys."""
-    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-    return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
+def pieces(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, first, end) of the buckets (by a key's highest bits) that sorted 64-bit keys are in; the others cost nothing."""
+    if len(keys):
+        own = (keys >> np.uint64(64 - bits)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        yield from zip(own[first].tolist(), first.tolist(), [*first[1:].tolist(), len(keys)])
+
+
+def filled(out: np.ndarray, keys: np.ndarray, bits: int, replies: dict[int, bytes], read: Callable[[bytes, int], np.ndarray]) -> np.ndarray:
+    """``out`` with each bucket's reply, read as so many values, in the places of its keys."""
+    for bucket, a, b in pieces(keys, bits):
+        if bucket in replies:
+            out[a:b] = read(replies[bucket], b - a)
+    return out
+
+
+def bits_of(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
 
 
 def groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.blocks import answered, asked, blocks, bucket_bits, cuts, unpack, with_replies
+from tarn.llm.blocks import answered, asked, blocks, bucket_bits, pieces, unpack, with_replies
 from tarn.llm.components import components
 from tarn.llm.shared import Scratch, arrow_schema, batch
 from tarn.llm.words import mix, shingles, words_of
@@ -213,9 +213,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
         order = np.argsort(sig, kind="stable")
         sig, at, code, share = sig[order], at[order].astype(np.uint16), size_code(code[order]), share[order]
         low = (sig >> np.uint64(32 - bits)).astype(np.uint32)
-        for bucket, (a, b) in enumerate(itertools.pairwise(cuts(sig, bits))):
-            if a < b:
-                yield bucket, low[a:b].tobytes() + at[a:b].tobytes() + code[a:b].tobytes() + share[a:b].tobytes()
+        for bucket, a, b in pieces(sig, bits):
+            yield bucket, low[a:b].tobytes() + at[a:b].tobytes() + code[a:b].tobytes() + share[a:b].tobytes()
 
     def gather(bucket, of, payloads):
         sizes = [len(p) // 8 for p in payloads]

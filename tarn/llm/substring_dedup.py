@@ -27,7 +27,7 @@ import itertools
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tarn.llm.blocks import answered, asked, blocks, bucket_bits, cuts, told
+from tarn.llm.blocks import answered, asked, bits_of, blocks, bucket_bits, filled, pieces, told
 from tarn.llm.shared import Scratch
 from tarn.llm.words import Words, shingles, words_of
 
@@ -80,11 +80,7 @@ def _second_question(content: tuple, got: dict, window: int, bits: int):
     ids, texts = content
     w = words_of(texts, KIND)
     at, keys, inverse, _ = _first_question(w, window, bits)
-    seen = np.zeros(len(keys), bool)
-    edge = cuts(keys, bits)
-    for bucket, raw in got.get(1, {}).items():
-        a, b = edge[bucket], edge[bucket + 1]
-        seen[a:b] = np.unpackbits(np.frombuffer(raw, np.uint8), count=b - a).astype(bool)
+    seen = filled(np.zeros(len(keys), bool), keys, bits, got.get(1, {}), bits_of)
     start, h = _windows(w, window, at[seen[inverse]] if len(at) else at)
     doc = np.searchsorted(w.bounds, start, "right") - 1
     number = np.array([NULL_FIRST if d is None else d for d in ids], np.int64)
@@ -108,10 +104,8 @@ def repeated_passages(docs: DataFrame, window: int = 20) -> DataFrame:
     def send_anchors(content, got):
         _, keys, _, n = _first_question(words_of(content[1], KIND), window, bits)
         low = (keys >> np.uint64(32 - bits)).astype(np.uint32)
-        edge = cuts(keys, bits)
-        for bucket, (a, b) in enumerate(itertools.pairwise(edge)):
-            if a < b:
-                yield bucket, low[a:b].tobytes() + np.packbits(n[a:b] > 1).tobytes()
+        for bucket, a, b in pieces(keys, bits):
+            yield bucket, low[a:b].tobytes() + np.packbits(n[a:b] > 1).tobytes()
 
     def seen_twice(bucket, of, payloads):
         sizes = [(8 * len(p) + 32) // 33 for p in payloads]
@@ -132,14 +126,12 @@ def repeated_passages(docs: DataFrame, window: int = 20) -> DataFrame:
 
     def send_windows(content, got):
         _, _, _, h, first, number = _second_question(content, got, window, bits)
-        edge = cuts(h, bits)
-        for bucket, (a, b) in enumerate(itertools.pairwise(edge)):
-            if a < b:
-                doc = number[first[a:b]]
-                base = int(doc.min())
-                narrow = int(doc.max()) - base < 1 << 32
-                rest = (doc - base).astype(np.uint32) if narrow else doc
-                yield bucket, np.array([b - a, base, narrow], np.int64).tobytes() + h[a:b].tobytes() + rest.tobytes()
+        for bucket, a, b in pieces(h, bits):
+            doc = number[first[a:b]]
+            base = int(doc.min())
+            narrow = int(doc.max()) - base < 1 << 32
+            rest = (doc - base).astype(np.uint32) if narrow else doc
+            yield bucket, np.array([b - a, base, narrow], np.int64).tobytes() + h[a:b].tobytes() + rest.tobytes()
 
     def first_holder(bucket, of, payloads):
         hs, docs_, sizes = [], [], []
@@ -160,11 +152,7 @@ def repeated_passages(docs: DataFrame, window: int = 20) -> DataFrame:
 
     def remove(content, got):
         w, start, which, h, first, _ = _second_question(content, got, window, bits)
-        own = np.zeros(len(h), bool)
-        edge = cuts(h, bits)
-        for bucket, raw in got.get(2, {}).items():
-            a, b = edge[bucket], edge[bucket + 1]
-            own[a:b] = np.unpackbits(np.frombuffer(raw, np.uint8), count=b - a).astype(bool)
+        own = filled(np.zeros(len(h), bool), h, bits, got.get(2, {}), bits_of)
         stays = np.zeros(len(start), bool)
         stays[first] = own
         gone = start[~stays]

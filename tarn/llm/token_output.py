@@ -49,6 +49,8 @@ SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 512, 8192, 65536
 #: Input for one file, and the frames of a shard after which another begins.
 FILE_BYTES, SHARD_BYTES = 8 << 20, 32 << 20
 LEVEL = 3
+#: Files whose token counts are first added up in parallel.
+GROUP = 1000
 
 _TABLES: dict = {}
 
@@ -204,10 +206,12 @@ def read_tokens(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     files = spark.read.format("binaryFile").load(f"{path}/shards/part-*")
     number = F.regexp_extract("path", r"part-(\d+)", 1).cast("int")
     docs = Scratch(spark, "ids").table(files.select(number.alias("file"), "content").mapInArrow(run, ddl), "docs")
-    # one row a file; the running total over files is the only global order
-    totals = docs.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    w = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("file", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("first"))
+    # a row a file, then a row for GROUP files: the running total over these is the only global order
+    group = F.floor(F.col("file") / GROUP)
+    totals = docs.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumn("group", group)
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = totals.groupBy("group").agg(F.sum("n").alias("n")).select("group", before(Window.orderBy("group")).alias("group_first"))
+    starts = totals.select("file", "group", before(Window.partitionBy("group").orderBy("file")).alias("inside")).join(firsts, "group").select("file", (F.col("group_first") + F.col("inside")).alias("first"))
     return docs.join(starts, "file").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
