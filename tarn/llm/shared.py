@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Documents are worked on in units of about this many bytes of text.
 UNIT_BYTES = 4 << 20
+#: And of so many documents at most.
+UNIT_ROWS = 50_000
 
 _SHIPPED: set[str] = set()
 
@@ -103,7 +105,7 @@ def parts(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = UN
         at = size = 0
         for i, n in enumerate(lengths):
             size += int(n)
-            if size >= limit or i + 1 == len(lengths):
+            if size >= limit or i + 1 - at >= UNIT_ROWS or i + 1 == len(lengths):
                 part = b.slice(at, i + 1 - at)
                 yield part, [t or b"" for t in part.column(at_text).cast(_binary(col.type)).to_pylist()]
                 at, size = i + 1, 0
