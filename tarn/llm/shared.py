@@ -26,6 +26,8 @@ UNIT_BYTES = 4 << 20
 UNIT_ROWS = 50_000
 
 _SHIPPED: set[str] = set()
+#: Folders of applications without a setting.
+_OWN_DIRS: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -47,8 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tarn-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _OWN_DIRS.setdefault(sc.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="tarn-shared-")
+        _OWN_DIRS[sc.applicationId] = found
     return found.rstrip("/")
 
 

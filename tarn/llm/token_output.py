@@ -177,7 +177,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> byt
     return dictionary
 
 
-def read_tokens(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, read from the files below ``path``."""
     ship(spark)
     dictionary = bytes(spark.read.parquet(f"{path}/dictionary").first()[0])
