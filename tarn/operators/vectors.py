@@ -12,6 +12,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,24 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (norms == 0), F.lit(float("inf"))).otherwise(1 - product(a, b) / norms)
 
 
+def similarity(embedding: Column, query: list[float]) -> Column:
+    """Cosine with one vector, in Arrow batches: the numbers of a batch are one matrix. Minus infinity where a norm is 0 or the size differs."""
+    q = np.array(query, np.float64)
+    norm = np.sqrt(q @ q)
+
+    @F.arrow_udf("double")
+    def run(x: pa.Array) -> pa.Array:
+        right = pc.fill_null(pc.equal(pc.list_value_length(x), len(q)), False)
+        v = x.filter(right).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, max(1, len(q)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            s = v @ q / (np.sqrt((v * v).sum(1)) * norm) if len(q) else np.zeros(0)
+        out = np.full(len(x), -np.inf)
+        out[right.to_numpy(zero_copy_only=False)] = np.where(np.isfinite(s), s, -np.inf)
+        return pa.array(out)
+
+    return run(embedding)
+
+
 def check_dimensions(vectors: DataFrame, dims: int) -> None:
     """Raise where any vector has another size."""
     odd = vectors.where(F.size("embedding") != dims).limit(1).collect()
@@ -89,27 +109,29 @@ def _nearest(vectors: DataFrame, queries: list[tuple], k: int, keys: list[str])
     return near.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_rank")
 
 
+def _best_chunks(vectors: DataFrame, query: list[float]) -> DataFrame:
+    """hash, seq, pos, score of each body's nearest chunk, the first of equals."""
+    scored = vectors.select("hash", "seq", "pos", similarity(F.col("embedding"), query).alias("score"))
+    order = F.struct(F.round("score", 12).alias("s"), (-F.col("seq")).alias("q"))
+    return scored.groupBy("hash").agg(F.max_by(F.struct("seq", "pos", "score"), order).alias("b")).select("hash", "b.*")
+
+
 def search_vectors(vectors: DataFrame, docs: DataFrame, query: list[float], limit: int = 20, collections: list[str] | None = None) -> DataFrame:
     """The documents whose best chunk is nearest, with score 1 - distance; exact, also within collections.
 
-    ``vectors``: hash, seq, pos, embedding. A chunk stands for every document with its hash. Distances and the best of a file are JVM
-    expressions; the shuffle carries a row a file and task.
+    ``vectors``: hash, seq, pos, embedding. A chunk stands for every document with its hash. Only the best chunk of a body leaves a task.
     """
     wanted = docs.select("doc_id", "collection", "path", "title", "hash")
     if collections:
         wanted = wanted.where(F.col("collection").isin(collections))
-    literal = F.array(*(F.lit(float(x)) for x in query))
-    scored = vectors.select("hash", "seq", "pos", (1 - cosine_distance(F.col("embedding"), literal)).alias("score"))
-    best = scored.groupBy("hash").agg(F.max_by(F.struct("seq", "pos", "score"), F.struct("score", -F.col("seq"))).alias("b")).select("hash", "b.*")
+    best = _best_chunks(vectors, query)
     return best.join(wanted, "hash").orderBy(F.desc(F.round("score", 12)), "doc_id").limit(limit).select("doc_id", "collection", "path", "title", "hash", "seq", "pos", "score")
 
 
 def search_vectors_each(vectors: DataFrame, docs: DataFrame, query: list[float], limit: int, collections: list[str]) -> DataFrame:
     """Every collection's best ``limit``, merged by the best score of a file, then the best ``limit``."""
     wanted = docs.where(F.col("collection").isin(collections))
-    literal = F.array(*(F.lit(float(x)) for x in query))
-    scored = vectors.select("hash", "seq", "pos", (1 - cosine_distance(F.col("embedding"), literal)).alias("score"))
-    best = scored.groupBy("hash").agg(F.max_by(F.struct("seq", "pos", "score"), F.struct("score", -F.col("seq"))).alias("b")).select("hash", "b.*")
+    best = _best_chunks(vectors, query)
     found = best.join(wanted.select("doc_id", "collection", "path", "title", "hash"), "hash").select("doc_id", "collection", "path", "title", "hash", "seq", "pos", "score")
     found = best_of_file(top_of_each(found, ["collection"], limit), ["collection", "path"])
     return found.orderBy(F.desc(F.round("score", 12)), "doc_id").limit(limit)
