@@ -7,7 +7,7 @@ near another, and of rows that are alike in doc_id and text one stays.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.decontamination import without_leaks
@@ -27,12 +27,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return recognised(docs, learn(docs))
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows whose doc_id isn't in ``gone`` (one column of ids, no nulls). Up to BROADCAST_IDS ids are sent to the documents; more are joined by a shuffle."""
-    gone = scratch.table(gone.distinct().toDF("gone_id"), "gone")
+    name = fresh(docs, "gone_id")
+    gone = scratch.table(gone.distinct().toDF(name), "gone")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("`doc_id`") == F.col("gone_id"), "left_anti")
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +54,13 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         return without(docs, gone, scratch)
     # ids that stand for several rows, or none: these rows are told apart by their texts
     clear = without(docs, gone.unionByName(several.where("doc_id IS NOT NULL")), scratch).where("doc_id IS NOT NULL")
-    kept = rows.where("kept").join(several, "doc_id", "left_semi").unionByName(rows.where("kept AND doc_id IS NULL")).select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    sha = F.sha2(F.translate(F.coalesce(F.col("`text`"), F.lit("")), WHITE, ""), 256)
-    same = F.col("sha_here").eqNullSafe(F.col("kept_sha")) & F.col("`doc_id`").eqNullSafe(F.col("kept_id"))
-    unclear = docs.withColumn("sha_here", sha).join(kept, same, "left_semi").dropDuplicates(["doc_id", "sha_here"]).drop("sha_here")
+    id_, sha, own = (fresh(docs, x) for x in ("kept_id", "kept_sha", "own_sha"))
+    kept = rows.where("kept").join(several, "doc_id", "left_semi").unionByName(rows.where("kept AND doc_id IS NULL")).select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha))
+    bare = F.sha2(F.translate(F.coalesce("text", F.lit("")), WHITE, ""), 256)
+    same = F.col(own).eqNullSafe(F.col(sha)) & F.col("doc_id").eqNullSafe(F.col(id_))
+    longest = Window.partitionBy("doc_id", own).orderBy(F.desc(F.char_length("text")), "text")
+    place = fresh(docs, "place")
+    unclear = docs.withColumn(own, bare).join(kept, same, "left_semi").withColumn(place, F.row_number().over(longest)).where(F.col(place) == 1).drop(own, place)
     return clear.unionByName(unclear)
 
 
