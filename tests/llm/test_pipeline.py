@@ -34,6 +34,23 @@ def test_stages(spark, rows, folder):
     assert sorted(r.doc_id for r in c.run(spark, folder).collect()) == sorted(seen["sentencepiece"])
 
 
+def test_clashing_columns_and_missing_ids(spark, docs, folder):
+    import corpus_pipeline as c
+    from pyspark.sql import functions as F
+
+    names = ("gone_id", "kept_id", "kept_sha", "own_sha", "place", "h")
+    more = spark.createDataFrame([(None, "some text of one", "en", None, None), (None, "some text of one", "en", None, None), (500, "some text  of one", "en", None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = docs.unionByName(more, allowMissingColumns=True).withColumns({n: F.lit(n) for n in names})
+    for name, stage in c.STAGES:
+        out = c.Scratch(spark, "test").table(stage(spark, rows, folder), name)
+        if name != "sentencepiece":
+            assert out.columns == rows.columns
+            assert out.count() == out.where("gone_id = 'gone_id' AND place = 'place'").count() > 0
+        rows = out
+    ids = [r.doc_id for r in rows.collect()]
+    assert 500 in ids and None not in ids and len(set(ids)) == len(ids)
+
+
 def test_empty(spark, folder):
     import corpus_pipeline as c
 
