@@ -462,7 +462,7 @@ def rrf_weighted(spark, d):
     return fusion.fused_rank(fusion.fuse(weighted)).select("query_id", "file", F.round("score", 6).alias("score"), "fused_rank")
 
 
-@query(f"WITH {_fused_sql('(CASE list_idx WHEN 0 THEN 2.0 ELSE 1.0 END)')} SELECT query_id, file, round(base, 6) AS base, bonus + 0.0 AS bonus FROM ranked")
+@query(f"WITH {_fused_sql('(CASE list_idx WHEN 0 THEN 2.0 ELSE 1.0 END)')} SELECT query_id, file, round(base, 6) AS base, CAST(bonus AS DOUBLE) AS bonus FROM ranked")
 def rrf_bonus(spark, d):
     weighted = lists(spark, d).withColumn("weight", fusion.structured_weight(F.col("list_idx")))
     return fusion.fuse(weighted).select("query_id", "file", F.round("base", 6).alias("base"), "bonus")
