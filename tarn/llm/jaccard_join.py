@@ -159,22 +159,17 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
     table = blocks(docs, scratch)
     bits = bucket_bits(table)
 
-    def describe(content, got):
-        ids, texts = content
-        found = join.sets(texts)
-        return {
-            "doc_id": ids, "at": list(range(len(ids))), "n": [len(s) for s in found],
-            "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], "sketch": [parity(s) for s in found],
-            "fine": [parity(s, FINE) for s in found],
-        }
-
-    def numbered(batches):
-        for block, content, got in _each(batches):
-            d = describe(content, got)
-            d["gid"] = [block << 16 | k for k in d.pop("at")]
-            yield batch(arrow_schema(SETS), d)
-
-    rows = scratch.table(table.mapInArrow(numbered, SETS), "sets")
+    def describe(batches):
+        schema = arrow_schema(SETS)
+        for block, (ids, texts) in _each(batches):
+            found = join.sets(texts)
+            yield batch(schema, {
+                "gid": [block << 16 | k for k in range(len(ids))], "doc_id": ids, "n": [len(s) for s in found],
+                "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found],
+                "sketch": [parity(s) for s in found], "fine": [parity(s, FINE) for s in found],
+            })
+
+    rows = scratch.table(table.mapInArrow(describe, SETS), "sets")
     reps = rows.where("n > 0").groupBy("digest", "n").agg(F.min("gid").alias("rep"))
     member = scratch.table(rows.select("gid", "doc_id", "digest", "n").join(reps, ["digest", "n"], "left").select("gid", "doc_id", "n", F.coalesce("rep", "gid").alias("rep")), "members")
     sketches = scratch.table(rows.drop("fine").join(member.where("n > 0").select("gid", "rep"), "gid").select("gid", "rep", "n", "sketch"), "sketches")
@@ -189,7 +184,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
 
     def local_counts(batches):
         schema = arrow_schema("shingle long, n long")
-        for _, content, _ in _each(batches):
+        for _, content in _each(batches):
             own = [s for _, s in distinct(content)]
             if own:
                 keys, n = np.unique(np.concatenate(own), return_counts=True)
@@ -257,10 +252,11 @@ SETS = "gid long, doc_id long, n long, digest binary, sketch binary, fine binary
 
 
 def _each(batches):
+    """(block, content) of every block."""
     for b in batches:
         for k in range(b.num_rows):
             r = b.slice(k, 1).to_pylist()[0]
-            yield r["block"], unpack(r["payload"]), {}
+            yield r["block"], unpack(r["payload"])
 
 
 def _flat(ddl: str):
@@ -328,17 +324,13 @@ def _verify(pairs: DataFrame, sketches: DataFrame, table: DataFrame, join: Join,
             for block, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 yield batch(arrow_schema(REPLY), {"block": [block], "kind": [1], "bucket": [0], "payload": [np.array(at, np.uint16).tobytes()]})
 
-    def give(content, got):
-        at = np.sort(np.frombuffer(got[1][0], np.uint16)).tolist() if 1 in got else []
-        found = join.sets([content[1][k] for k in at])
-        return {"at": at, "n": [len(s) for s in found], "set": [_narrow(s) for s in found]}
-
     def sets_of(batches):
-        for block, content, got in with_replies(batches):
+        schema = arrow_schema("gid long, n long, set binary")
+        for block, (_, texts), got in with_replies(batches):
             if 1 in got:
-                d = give(content, got)
-                d["gid"] = [block << 16 | k for k in d.pop("at")]
-                yield batch(arrow_schema("gid long, n long, set binary"), d)
+                at = np.sort(np.frombuffer(got[1][0], np.uint16)).tolist()
+                found = join.sets([texts[k] for k in at])
+                yield batch(schema, {"gid": [block << 16 | k for k in at], "n": [len(s) for s in found], "set": [_narrow(s) for s in found]})
 
     beside = table.unionByName(wanted.mapInArrow(packed, REPLY)).repartition("block").sortWithinPartitions("block", "kind", "bucket")
     sets = scratch.table(beside.mapInArrow(sets_of, "gid long, n long, set binary"), f"{name}-sets")
