@@ -295,6 +295,31 @@ def test_lm_scores(docs, rows):
         assert r.score < 0
 
 
+def test_lm_learns_from_every_document(spark, monkeypatch):
+    """More tokens than one shard has: each training document is in one lesson, whole."""
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 50, 20_000))) for k in range(44)] + [(k, f"w{k % 7} end") for k in range(44, 2500)]
+    found = []
+    train = lm_scoring._train
+
+    def spy(model, lessons, *rest):
+        for r in lessons.collect():
+            symbols, sizes = lm_scoring.unpack(r.payload)
+            assert len(symbols) == sizes.sum() == r.tokens
+            assert (symbols[np.cumsum(sizes) - 1] == len(model.mass) - 1).all()
+            found.extend(sizes.tolist())
+        before = model.weights()
+        train(model, lessons, *rest)
+        assert (model.weights() != before).any()
+
+    monkeypatch.setattr(lm_scoring, "_train", spy)
+    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", 300_000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    scores = {r.doc_id: r for r in lm_scoring.lm_scores(docs).collect()}
+    assert sorted(found) == sorted(r.n_tokens for r in scores.values() if not r.held_out)
+    assert sum(found) == scores[0].train_tokens > 600_000
+
+
 def test_gru_is_a_distribution_and_learns():
     from tarn.llm.gru import GRU
 
