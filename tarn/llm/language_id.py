@@ -4,7 +4,8 @@ Fitting counts hashed byte 3- and 4-grams of words and the scripts of letters in
 each language, over a sample of at most about ``PER_LANGUAGE`` labelled documents
 a language (chosen by a hash of doc_id; the only bound in this operator).
 
-A word's script narrows the languages it may belong to. Its score in each of
+A word's script narrows the languages it may belong to; letters outside SCRIPTS
+have a script bit of their own. Its score in each of
 these is the smoothed log-probability of its n-grams, and a Viterbi pass with a
 penalty for switching labels the words of the whole text, all documents of a
 unit in step. A text's language is the one that most of its lettered words are
@@ -57,6 +58,8 @@ SCRIPTS = {
     "katakana": [(0x30A0, 0x30FF)],
     "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF)],
 }
+#: Script bit of letters that none of SCRIPTS has, and the number of script bits.
+OTHER, N_SCRIPTS = len(SCRIPTS), len(SCRIPTS) + 1
 
 
 def _script_table() -> np.ndarray:
@@ -91,6 +94,10 @@ def _grams(piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     bits = _TABLE[(m << np.uint32(8)) | pad[2:-1]]
     script = np.bitwise_or.reduceat(bits, start) if len(start) else np.zeros(0, np.uint32)
     # reduceat runs to the next word's start; bytes between words are blanks without a script
+    if len(start):
+        for k in np.flatnonzero((script == 0) & (np.maximum.reduceat(m, start) > 127)):
+            if _has_letter(piece[start[k] : end[k]].tobytes().decode()):
+                script[k] = 1 << OTHER
     return start, end, three[on], four[on], script
 
 
@@ -178,7 +185,7 @@ def fit(labelled: DataFrame) -> Model:
     languages = sorted(count)
     number = {x: k for k, x in enumerate(languages)}
     share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, PER_LANGUAGE / count[lang])))) if languages else None
-    size, n_scripts = 1 << BITS, len(SCRIPTS)
+    size, n_scripts = 1 << BITS, N_SCRIPTS
     ddl = "lang string, three binary, four binary, scripts binary"
     schema = arrow_schema(ddl)
 
@@ -241,9 +248,7 @@ def predict(m: Model, texts: list[bytes], spans: bool = False) -> dict:
     doc = np.repeat(np.arange(n), np.diff(bounds))
     votes = np.bincount(doc[lettered] * len(m.languages) + labels[lettered], minlength=n * len(m.languages)).reshape(n, -1)
     all_ = votes.sum(1)
-    # a text whose letters are all outside the known scripts still has one: its words' labels decide
-    every = np.bincount(doc * len(m.languages) + labels, minlength=n * len(m.languages)).reshape(n, -1)
-    best = np.where(all_ > 0, votes.argmax(1), every.argmax(1))
+    best = votes.argmax(1)
     has = np.array([_has_letter(t) for t in said], bool)
     score = np.where(has & (all_ > 0), votes.max(1) / np.maximum(1, all_), 0.0)
     out = {"lang_pred": [names[b] if h else "und" for b, h in zip(best, has)], "score": score}

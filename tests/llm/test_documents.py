@@ -153,6 +153,15 @@ def test_scripts_narrow(spark):
     assert language_id.predict(model, ["другое слово".encode(), b"other words"])["lang_pred"] == ["ru", "en"]
 
 
+def test_letters_outside_the_table_vote(spark):
+    te, am, en = "తెలుగు భాష చాలా అందమైన భాష", "አማርኛ ቋንቋ በጣም ቆንጆ ነው", "a house with a garden"
+    rows = [(k, (te, am, en)[k % 3], ("te", "am", "en")[k % 3]) for k in range(60)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = language_id.predict(model, [t.encode() for t in (te, am, en, te + " house", "12 \u2014\u2014 \u20ac")])
+    assert got["lang_pred"] == ["te", "am", "en", "te", "und"]
+    assert got["score"][:3].tolist() == [1, 1, 1] and 0.7 < got["score"][3] < 1 and got["score"][4] == 0
+
+
 # decontamination
 
 
