@@ -152,7 +152,7 @@ def _wide(raw: bytes) -> np.ndarray:
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (verified links of the document's set with other sets on record) of every row."""
+    """doc_id, n_shingles, component_id of every row. The links that components rest on are verified; not all links inside a component are, so their number isn't told."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     join = Join(size, num, den)
@@ -241,8 +241,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
         labels = components(verified, scratch, "all")
     named = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("gid", "doc_id", "n", "rep", F.coalesce("label", "rep").alias("label"))
     names = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    links = verified.select(F.col("a").alias("rep")).unionByName(verified.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    result = named.join(names, "label").join(links, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    result = named.join(names, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     result = scratch.table(result, "result")
     scratch.drop("blocks", "sets", "members", "sketches", "large")
     return result

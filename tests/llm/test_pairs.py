@@ -50,6 +50,11 @@ def test_components(docs, rows, monkeypatch, small, local, total):
     assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got)
 
 
+def test_join_tells_only_what_it_verified(docs):
+    """Not all links inside a component are tested, so no number of links is given."""
+    assert jaccard_join.jaccard_components(docs).columns == ["doc_id", "n_shingles", "component_id"]
+
+
 def test_signatures_meet_whatever_is_missing():
     join, rng = jaccard_join.Join(5, 75, 100), np.random.default_rng(4)
     for trial in range(300):
