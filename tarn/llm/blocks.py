@@ -8,12 +8,14 @@ array in the order it asked. A key that a third of all rows hold is thus sent
 once a block, never once a row, and arrays travel where rows would otherwise. As
 buckets follow the input and blocks don't, arrays get shorter with the input, and
 at the extreme an array is one key: no more rows than a plain shuffle of the keys.
+The number of tasks of an exchange follows the table of blocks too, so that a
+task's share stays the same whatever the input.
 """
 
 from __future__ import annotations
 
+import io
 import itertools
-import pickle
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -25,26 +27,61 @@ from tarn.llm.shared import Scratch, arrow_schema, batch, input_bytes, pick, shi
 
 #: Text of a block.
 BLOCK_BYTES = 8 << 20
-#: Input for one bucket.
-BUCKET_BYTES = 32 << 20
+#: Of the table of blocks (compressed): bytes for one bucket, and for one task of an exchange.
+BUCKET_BYTES, TASK_BYTES = 4 << 20, 16 << 20
 
 BLOCK_ROWS = "block long, kind int, bucket int, payload binary"
 
 
-def pack(value) -> bytes:
+def pack(*arrays) -> bytes:
+    """Arrays (or numbers) as compressed bytes."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(value, 5))
+    out = io.BytesIO()
+    for a in arrays:
+        np.save(out, np.asarray(a), allow_pickle=False)
+    return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
 
 
-def unpack(raw: bytes):
+def unpack(raw: bytes) -> list[np.ndarray]:
     import zstandard
 
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(raw))
+    data = zstandard.ZstdDecompressor().decompress(raw)
+    held, found = io.BytesIO(data), []
+    while held.tell() < len(data):
+        found.append(np.load(held, allow_pickle=False))
+    return found
+
+
+def pack_block(doc_ids: list, texts: list[bytes]) -> bytes:
+    """A block's documents as compressed bytes."""
+    import zstandard
+
+    rows = pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(texts, pa.large_binary())], names=["doc_id", "text"])
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema) as w:
+        w.write_batch(rows)
+    return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
+
+
+def unpack_block(raw: bytes) -> tuple[list, list[bytes]]:
+    """(doc_ids, texts) of a block."""
+    import zstandard
+
+    rows = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(raw)).read_all()
+    return rows.column(0).to_pylist(), rows.column(1).to_pylist()
+
+
+def dealt(df: DataFrame, key: str, like: DataFrame) -> DataFrame:
+    """Dealt out by ``key`` into as many tasks as the table ``like`` asks for, the session's number at least (which Spark may then lower again)."""
+    n = -(-input_bytes(like) // TASK_BYTES)
+    if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df.repartition(n, key)
+    return df.repartition(key)
 
 
 def blocks(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The documents as a written table of blocks; a payload unpacks to (doc_ids, texts)."""
+    """The documents as a written table of blocks; ``unpack_block`` reads a payload."""
     ship(docs.sparkSession)
     schema = arrow_schema(BLOCK_ROWS)
 
@@ -53,7 +90,7 @@ def blocks(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
         base = TaskContext.get().partitionId() << 20
         for k, (rest, texts) in enumerate(units(batches, limit=BLOCK_BYTES)):
-            yield batch(schema, {"block": [base + k], "kind": [9], "bucket": [0], "payload": [pack((rest["doc_id"], texts))]})
+            yield batch(schema, {"block": [base + k], "kind": [9], "bucket": [0], "payload": [pack_block(rest["doc_id"], texts)]})
 
     frame = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return scratch.table(frame.mapInArrow(run, BLOCK_ROWS), "blocks", codec="none")
@@ -103,8 +140,8 @@ def asked(table: DataFrame, send: Callable[[tuple, dict], Iterable[tuple[int, by
     return _beside(table, replies).mapInArrow(run, BLOCK_ROWS)
 
 
-def answered(questions: DataFrame, answer: Callable[[int, list[int], list[bytes]], Iterable[tuple[int, bytes]]], kind: int = 0) -> DataFrame:
-    """``answer(bucket, blocks, payloads)`` of every bucket: (block, reply) rows."""
+def answered(table: DataFrame, questions: DataFrame, answer: Callable[[int, list[int], list[bytes]], Iterable[tuple[int, bytes]]], kind: int = 0) -> DataFrame:
+    """``answer(bucket, blocks, payloads)`` of every bucket that the blocks of ``table`` have sent ``questions`` to: (block, reply) rows."""
     schema = arrow_schema(BLOCK_ROWS)
 
     def run(batches):
@@ -112,7 +149,7 @@ def answered(questions: DataFrame, answer: Callable[[int, list[int], list[bytes]
             for block, raw in answer(bucket, [r["block"] for r in rows], [r["payload"] for r in rows]):
                 yield batch(schema, {"block": [block], "kind": [kind], "bucket": [bucket], "payload": [raw]})
 
-    return questions.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, BLOCK_ROWS)
+    return dealt(questions, "bucket", table).sortWithinPartitions("bucket", "block").mapInArrow(run, BLOCK_ROWS)
 
 
 def told(table: DataFrame, replies: list[DataFrame], ddl: str, work: Callable[[tuple, dict], dict]) -> DataFrame:
@@ -133,7 +170,7 @@ def _beside(table: DataFrame, replies: list[DataFrame]) -> DataFrame:
     rows = table
     for r in replies:
         rows = rows.unionByName(r)
-    return rows.repartition("block").sortWithinPartitions("block", "kind", "bucket")
+    return dealt(rows, "block", table).sortWithinPartitions("block", "kind", "bucket")
 
 
 def with_replies(batches) -> Iterator[tuple[int, tuple, dict]]:
@@ -141,7 +178,7 @@ def with_replies(batches) -> Iterator[tuple[int, tuple, dict]]:
     got: dict[int, dict[int, bytes]] = {}
     for r in rows:
         if r["kind"] == 9:
-            yield r["block"], unpack(r["payload"]), got
+            yield r["block"], unpack_block(r["payload"]), got
             got = {}
         else:
             got.setdefault(r["kind"], {})[r["bucket"]] = r["payload"]

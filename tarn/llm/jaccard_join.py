@@ -1,6 +1,7 @@
 """Exact Jaccard self-join on word shingles, by token-combination prefixes, and its components.
 
-Order a set's shingles with rare ones first. Of two sets that link, all but a
+How often a shingle occurs is counted over all blocks of documents, by its hash's
+first bits. Order a set's shingles with rare ones first. Of two sets that link, all but a
 quarter of either are shared, so among enough of the first ones a shared one
 must be left. Rare shingles serve as signatures alone. Frequent ones (a global
 class) would gather too many sets, so they are split into subclasses by hash and
@@ -13,9 +14,11 @@ Sets with a signature in common are candidates. Groups of up to ``SMALL`` sets
 give their pairs of fitting sizes. A larger group gives the pairs with its most
 central set only, the one with the greatest share of frequent shingles, which an
 edited copy has less of than what it was copied from. When these have been
-verified and joined to components, the groups of one centre are taken together
-and their remaining pairs of different components are tested inside the tasks,
-in chunks. No group is cut off.
+verified and joined to components, the groups of one centre are taken together.
+What lies outside their largest component is tested against that and against
+itself, chunk by chunk, a task for each two chunks: nothing is left to do where
+all are in one component, and no group, however large, is one task's work. No
+group is cut off.
 
 A candidate pair is first held against a lower bound of the symmetric difference
 from parity bitmaps (finer ones in the last step), then verified on the sets.
@@ -23,8 +26,8 @@ Equal sets are one from the start. Shingles are 64-bit hashes throughout;
 verification sends 48 bits.
 
 Texts without words have an empty set and link with nothing; null counts as
-empty. Repeated rows are equal sets. Empty tables give no rows; extra columns
-are ignored. A component is named by its smallest doc_id, null ids ignored.
+empty. A very long text is one set, held whole by one task. Repeated rows are
+equal sets. Empty tables give no rows; extra columns are ignored. A component is named by its smallest doc_id, null ids ignored.
 """
 
 from __future__ import annotations
@@ -37,16 +40,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.blocks import answered, asked, blocks, bucket_bits, pieces, unpack, with_replies
+from tarn.llm.blocks import answered, asked, blocks, bucket_bits, dealt, pieces, unpack_block, with_replies
 from tarn.llm.components import components
 from tarn.llm.shared import Scratch, arrow_schema, batch
 from tarn.llm.words import mix, shingles, words_of
 
 KIND = "spaced_lower"
-#: Frequent: at least so many sets of a block, and so many of all blocks' such counts; the MOST most frequent are told to all.
-LOCAL, TOTAL, MOST = 3, 48, 1 << 17
-#: Sets of a group that gives all its pairs of fitting sizes, and of a chunk of a larger group.
-SMALL, CHUNK = 64, 4096
+#: Frequent: in at least so many of all blocks' distinct sets; the MOST most frequent are told to all, the others sign as rare ones do.
+TOTAL, MOST = 48, 1 << 17
+#: Bits of a shingle, after its bucket's, by which it is counted.
+COUNTED = 24
+#: Sets of a group that gives all its pairs of fitting sizes. A larger group's chunks: a CHUNKS-th of it, but no fewer and no more sets than this.
+SMALL, CHUNKS, LEAST_CHUNK, MOST_CHUNK = 64, 8, 128, 4096
+#: Pairs that a task holds at once.
+PAIRS = 1 << 21
+#: Parts that a component's documents are dealt into when they get its name.
+SALTS = 64
 #: Base of the size code: sizes that can link differ by FITS codes at most.
 STEP = 1.06
 #: Bits a shingle in the bitmaps of the last step.
@@ -182,22 +191,42 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
                 seen.add(key)
                 yield k, s
 
-    def local_counts(batches):
-        schema = arrow_schema("shingle long, n long")
-        for _, content in _each(batches):
-            own = [s for _, s in distinct(content)]
-            if own:
-                keys, n = np.unique(np.concatenate(own), return_counts=True)
-                yield batch(schema, {"shingle": keys[n >= LOCAL].view(np.int64), "n": n[n >= LOCAL]})
-
-    counts = table.mapInArrow(local_counts, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= TOTAL)
+    shift = np.uint64(64 - bits - COUNTED)
+
+    def occurring(content, got):
+        """To each bucket: the first bits of the block's distinct sets' shingles, and how many more sets have those that several have."""
+        own = [s for _, s in distinct(content)]
+        keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]), return_counts=True)
+        low = ((keys >> shift) & np.uint64((1 << COUNTED) - 1)).astype("<u4")
+        for bucket, a, b in pieces(keys, bits):
+            x, more = low[a:b], np.flatnonzero(n[a:b] > 1)
+            yield bucket, np.int64(b - a).tobytes() + x.view(np.uint8).reshape(-1, 4)[:, :3].tobytes() + x[more].tobytes() + (n[a:b][more] - 1).astype("<u4").tobytes()
+
+    def added(bucket, of, payloads):
+        low, n = [], []
+        for p in payloads:
+            k = int(np.frombuffer(p, np.int64, 1)[0])
+            x = np.zeros((k, 4), np.uint8)
+            x[:, :3] = np.frombuffer(p, np.uint8, 3 * k, 8).reshape(-1, 3)
+            rest = np.frombuffer(p[8 + 3 * k :], "<u4").reshape(2, -1)
+            low += [x.view("<u4")[:, 0], rest[0]]
+            n += [np.ones(k, np.uint32), rest[1]]
+        low, n = np.concatenate(low), np.concatenate(n)
+        order = np.argsort(low, kind="stable")
+        low, n = low[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+        total = np.add.reduceat(n.astype(np.int64), first)
+        often = total >= TOTAL
+        yield -1, np.stack((low[first][often].astype(np.int64) | (bucket << COUNTED), total[often])).tobytes()
+
+    counts = answered(table, asked(table, occurring), added).select("payload").mapInArrow(_flat("shingle long, n long"), "shingle long, n long")
     top = counts.orderBy(F.desc("n"), "shingle").limit(MOST).select("shingle").collect()
-    frequent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64)))  # at most MOST
+    frequent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in top], np.int64).astype(np.uint64)))  # at most MOST
 
     def sign(content, got):
         sig, at, code, share = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
         for k, s in distinct(content):
-            often = among(s, frequent.value)
+            often = among(s >> shift, frequent.value)
             g = join.signatures(s, often)
             sig.append(g)
             at.append(np.full(len(g), k))
@@ -220,33 +249,46 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
         order = np.lexsort((gid, -share, low))  # a group's most central set is its first
         low, gid, code = low[order], gid[order], code[order]
         edge = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1], [True])))
-        n = np.diff(edge)
-        a, b = _pairs(edge[:-1], n, gid, code, join.fits)
-        yield 0, np.stack((a, b)).tobytes()
-        large = np.flatnonzero(n > SMALL)
-        if len(large):
-            members = np.concatenate([gid[edge[k] : edge[k + 1]] for k in large])
-            yield 1, np.unique(np.stack((np.repeat(gid[edge[:-1][large]], n[large]), members)), axis=1).tobytes()
-
-    groups = scratch.table(answered(asked(table, sign), gather), "groups", codec="zstd")
+        names, own = np.unique(gid, return_inverse=True)
+        first, n = edge[:-1], np.diff(edge)
+        for keys in _pairs(first, n, own, code, join.fits, len(names)):
+            yield 0, np.stack((names[keys // len(names)], names[keys % len(names)])).tobytes()
+        for keys in _members(first, n, own, len(names)):
+            yield 1, np.stack((names[keys // len(names)], names[keys % len(names)])).tobytes()
+
+    groups = scratch.table(answered(table, asked(table, sign), gather), "groups")
     pairs = groups.where("block = 0").select("payload").mapInArrow(_flat("a long, b long"), "a long, b long").distinct()
     verified = _verify(pairs, sketches, table, join, scratch, "first")
     large = scratch.table(groups.where("block = 1").select("payload").mapInArrow(_flat("centre long, gid long"), "centre long, gid long").distinct(), "large")
     scratch.drop("groups")
     labels = components(verified, scratch, "first")
+    named = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("gid", "doc_id", "n", F.coalesce("label", "rep").alias("label"))
     rest = _cross(large, labels, sketches, rows, join, scratch)
     if rest is not None:
         more = _verify(rest, sketches, table, join, scratch, "second", screened=True)
-        verified = verified.unionByName(more).distinct()
-        labels = components(verified, scratch, "all")
-    named = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("gid", "doc_id", "n", "rep", F.coalesce("label", "rep").alias("label"))
-    names = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    result = named.join(names, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    result = scratch.table(result, "result")
+        edges = scratch.table(_of_labels(more, labels), "label-edges")
+        further = components(edges, scratch, "second").select(F.col("node").alias("label"), F.col("label").alias("further"))
+        named = named.join(further, "label", "left").withColumn("label", F.coalesce("further", "label")).drop("further")
+    result = scratch.table(_named(named), "result")
     scratch.drop("blocks", "sets", "members", "sketches", "large")
     return result
 
 
+def _of_labels(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """The links as distinct edges between the components that their ends are in so far."""
+    for end in ("a", "b"):
+        links = links.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}")), end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+    return links.where("of_a != of_b").select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct()
+
+
+def _named(named: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id. A label's rows are dealt into SALTS parts, so that a component of any size is no single task's."""
+    named = named.withColumn("salt", F.pmod(F.xxhash64("gid"), F.lit(SALTS)).cast("int"))
+    parts = named.groupBy("label", "salt").agg(F.min("doc_id").alias("least"))
+    names = parts.join(parts.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("label", "salt", "component_id")
+    return named.join(names, ["label", "salt"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
 SETS = "gid long, doc_id long, n long, digest binary, sketch binary, fine binary"
 
 
@@ -255,7 +297,7 @@ def _each(batches):
     for b in batches:
         for k in range(b.num_rows):
             r = b.slice(k, 1).to_pylist()[0]
-            yield r["block"], unpack(r["payload"])
+            yield r["block"], unpack_block(r["payload"])
 
 
 def _flat(ddl: str):
@@ -272,30 +314,51 @@ def _flat(ddl: str):
     return run
 
 
-def _pairs(first: np.ndarray, n: np.ndarray, gid: np.ndarray, code: np.ndarray, fits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct candidate pairs of sets whose sizes fit: all of a small group, a large group's with its first set."""
-    found = [np.zeros((2, 0), np.int64)]
-    for step in range(1, SMALL):  # members so far apart
-        of = np.flatnonzero((n > step) & (n <= SMALL))
-        if not len(of):
-            break
-        count = n[of] - step
-        at = np.repeat(first[of] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        ok = np.abs(code[at] - code[at + step]) <= fits
-        x, y = gid[at[ok]], gid[at[ok] + step]
-        found.append(np.stack((np.minimum(x, y), np.maximum(x, y))))
-    for k in np.flatnonzero(n > SMALL):
-        a, b = first[k], first[k] + n[k]
-        x, y = np.full(n[k] - 1, gid[a]), gid[a + 1 : b]
-        ok = np.abs(code[a + 1 : b] - code[a]) <= fits
-        found.append(np.stack((np.minimum(x, y), np.maximum(x, y)))[:, ok])
-    both = np.concatenate(found, 1)
-    order = np.lexsort((both[1], both[0]))
-    both = both[:, order]
-    keep = np.ones(both.shape[1], bool)
-    keep[1:] = (both[0, 1:] != both[0, :-1]) | (both[1, 1:] != both[1, :-1])
-    keep &= both[0] != both[1]
-    return both[0, keep], both[1, keep]
+def _pairs(first: np.ndarray, n: np.ndarray, own: np.ndarray, code: np.ndarray, fits: int, total: int):
+    """Candidate pairs of sets whose sizes fit, as keys smaller * total + larger: all pairs of a small group, a large group's with its first set. Distinct among the keys given at once."""
+    pairs = np.where(n <= SMALL, n * (n - 1) // 2, n - 1)
+    held = np.zeros(0, np.int64)
+    for groups in _slices(pairs):
+        small, large = groups[n[groups] <= SMALL], groups[n[groups] > SMALL]
+        at, rank = _places(first[small], n[small])
+        hi = np.repeat(at, rank)  # each with all before it in its group
+        lo = np.repeat(at - rank, rank) + np.arange(len(hi)) - np.repeat(np.cumsum(rank) - rank, rank)
+        at, rank = _places(first[large], n[large])
+        hi, lo = np.concatenate((hi, at[rank > 0])), np.concatenate((lo, (at - rank)[rank > 0]))
+        ok = np.abs(code[hi] - code[lo]) <= fits
+        x, y = own[hi[ok]], own[lo[ok]]
+        keys = np.minimum(x, y) * total + np.maximum(x, y)
+        held = np.unique(np.concatenate((held, keys[x != y])))
+        if len(held) >= PAIRS:
+            yield held
+            held = held[:0]
+    yield held
+
+
+def _members(first: np.ndarray, n: np.ndarray, own: np.ndarray, total: int):
+    """(first set, member) of the large groups, as keys first * total + member."""
+    large = np.flatnonzero(n > SMALL)
+    held = np.zeros(0, np.int64)
+    for groups in _slices(n[large]):
+        at, rank = _places(first[large[groups]], n[large[groups]])
+        held = np.unique(np.concatenate((held, own[at - rank] * total + own[at])))
+        if len(held) >= PAIRS:
+            yield held
+            held = held[:0]
+    yield held
+
+
+def _slices(weight: np.ndarray) -> list[np.ndarray]:
+    """Numbers of the groups, in runs of about PAIRS in weight; groups of no weight are left out."""
+    some = np.flatnonzero(weight)
+    of = np.cumsum(weight[some]) // PAIRS
+    return np.split(some, np.flatnonzero(np.diff(of)) + 1) if len(some) else []
+
+
+def _places(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all members of groups, and each one's rank in its group."""
+    rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(first, n) + rank, rank
 
 
 def _verify(pairs: DataFrame, sketches: DataFrame, table: DataFrame, join: Join, scratch: Scratch, name: str, screened: bool = False) -> DataFrame:
@@ -331,7 +394,7 @@ def _verify(pairs: DataFrame, sketches: DataFrame, table: DataFrame, join: Join,
                 found = join.sets([texts[k] for k in at])
                 yield batch(schema, {"gid": [block << 16 | k for k in at], "n": [len(s) for s in found], "set": [_narrow(s) for s in found]})
 
-    beside = table.unionByName(wanted.mapInArrow(packed, REPLY)).repartition("block").sortWithinPartitions("block", "kind", "bucket")
+    beside = dealt(table.unionByName(wanted.mapInArrow(packed, REPLY)), "block", table).sortWithinPartitions("block", "kind", "bucket")
     sets = scratch.table(beside.mapInArrow(sets_of, "gid long, n long, set binary"), f"{name}-sets")
     left = sets.select(F.col("gid").alias("a"), F.col("n").alias("n_a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("gid").alias("b"), F.col("n").alias("n_b"), F.col("set").alias("set_b"))
@@ -361,14 +424,21 @@ def _cross(large: DataFrame, labels: DataFrame, sketches: DataFrame, rows: DataF
     rep = sketches.select("gid", "rep")
     own = large.join(rep, "gid").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("centre", "rep", F.coalesce("label", "rep").alias("label"))
     own = scratch.table(own.distinct(), "large-labels")
-    mixed = own.groupBy("centre").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("centre", "size")
-    if not mixed.limit(1).count():
-        scratch.drop("large-labels")
+    by_label = own.groupBy("centre", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = by_label.groupBy("centre").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("size")).where("size > main.n")
+    chunks = lambda n: F.ceil(n / F.greatest(F.lit(LEAST_CHUNK), F.least(F.lit(MOST_CHUNK), F.ceil(n / CHUNKS)))).cast("int")
+    mixed = mixed.select("centre", F.col("main.label").alias("main"), chunks(F.col("size") - F.col("main.n")).alias("others"), chunks(F.col("main.n")).alias("mains"), "size")
+    mixed = scratch.table(mixed, "mixed")
+    sent = mixed.agg(F.sum(F.col("size") * (F.col("others") + F.col("mains")))).first()[0]
+    if not sent:
+        scratch.drop("large-labels", "mixed")
         return None
     fine = rows.select(F.col("gid").alias("rep"), "n", F.col("fine").alias("sketch"))
     some = own.join(mixed, "centre").join(fine, "rep")
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    some = some.withColumn("k", F.pmod(F.xxhash64("rep"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    # chunks of what is outside the largest component come first, then its own
+    inside, others, mains = F.col("label") == F.col("main"), F.col("others"), F.col("mains")
+    some = some.withColumn("k", F.when(inside, others + F.pmod(F.xxhash64("rep"), mains)).otherwise(F.pmod(F.xxhash64("rep"), others)).cast("int"))
+    some = some.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, others - 1).otherwise(others + mains - 1))))
     some = some.withColumn("lo", F.least("k", "other")).withColumn("hi", F.greatest("k", "other")).select("centre", "lo", "hi", "k", "rep", "label", "n", "sketch")
 
     def test(batches):
@@ -380,9 +450,10 @@ def _cross(large: DataFrame, labels: DataFrame, sketches: DataFrame, rows: DataF
             if len(a):
                 yield batch(schema, {"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    pairs = some.repartition("centre", "lo", "hi").sortWithinPartitions("centre", "lo", "hi").mapInArrow(test, "a long, b long").distinct()
+    tasks = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), sent // MOST_CHUNK)
+    pairs = some.repartition(tasks, "centre", "lo", "hi").sortWithinPartitions("centre", "lo", "hi").mapInArrow(test, "a long, b long").distinct()
     pairs = scratch.table(pairs, "cross")
-    scratch.drop("large-labels")
+    scratch.drop("large-labels", "mixed")
     return pairs
 
 

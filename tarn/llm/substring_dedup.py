@@ -174,8 +174,8 @@ def repeated_passages(docs: DataFrame, window: int = 20) -> DataFrame:
             spans.append(span)
         return {"doc_id": content[0], "n_words": n, "n_removed": removed, "kept_sha256": shas, "spans": spans}
 
-    once = scratch.table(answered(asked(table, send_anchors), seen_twice, kind=1), "seen", codec="none")
-    firsts = scratch.table(answered(asked(table, send_windows, [once]), first_holder, kind=2), "first", codec="none")
+    once = scratch.table(answered(table, asked(table, send_anchors), seen_twice, kind=1), "seen", codec="none")
+    firsts = scratch.table(answered(table, asked(table, send_windows, [once]), first_holder, kind=2), "first", codec="none")
     result = told(table, [once, firsts], "doc_id long, n_words long, n_removed long, kept_sha256 string, spans binary", remove)
     result = scratch.table(result, "result")
     scratch.drop("blocks", "seen", "first")

@@ -40,10 +40,11 @@ def brute_components(rows):
     return {d: (len(s[d]), find(d)) for d in s}
 
 
-@pytest.mark.parametrize("small,local,total", [(64, 3, 48), (4, 2, 2), (2, 1, 1)])
-def test_components(docs, rows, monkeypatch, small, local, total):
-    for k, v in {"SMALL": small, "LOCAL": local, "TOTAL": total, "CHUNK": 20}.items():
+@pytest.mark.parametrize("small,total,pairs,block", [(64, 48, 1 << 21, 8 << 20), (4, 2, 50, 4000), (2, 1, 7, 4000)])
+def test_components(docs, rows, monkeypatch, small, total, pairs, block):
+    for k, v in {"SMALL": small, "TOTAL": total, "LEAST_CHUNK": 3, "MOST_CHUNK": 10, "CHUNKS": 2, "PAIRS": pairs}.items():
         monkeypatch.setattr(jaccard_join, k, v)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", block)
     want = brute_components([(d, t) for d, t, *_ in rows])
     got = jaccard_join.jaccard_components(docs).collect()
     assert len(got) == len(rows)
@@ -131,3 +132,20 @@ def test_cover_has_every_difference():
 def test_empty_and_without_ids(empty, no_ids):
     assert jaccard_join.jaccard_components(empty).count() == 0 and substring_dedup.repeated_passages(empty).count() == 0
     assert jaccard_join.jaccard_components(no_ids).count() == 3 and substring_dedup.repeated_passages(no_ids).count() == 3
+
+
+def test_a_group_of_many_components(spark, monkeypatch):
+    """A passage that all share makes one large group of sets that are no copies of one another, besides families that are."""
+    monkeypatch.setattr(jaccard_join, "LEAST_CHUNK", 16)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 6000)
+    rng = random.Random(9)
+    shared = [f"s{k}" for k in range(70)]
+    rows = []
+    for k in range(240):
+        own = [f"u{rng.randrange(10 ** 6)}" for _ in range(12)] if k % 3 else [f"f{k % 4}-{j}" for j in range(12)]
+        w = shared[rng.randrange(6) :] + own
+        rows.append((k, " ".join(w)))
+    want = brute_components(rows)
+    assert len({c for _, c in want.values()}) > 1
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
