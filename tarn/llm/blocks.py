@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.shared import Scratch, arrow_schema, batch, input_bytes, pick, ship, units
+from tarn.llm.shared import Scratch, arrow_schema, batch, input_bytes, pick, ship, trim, units
 
 #: Text of a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Of the table of blocks (compressed): bytes for one bucket, and for one task of an exchange.
 BUCKET_BYTES, TASK_BYTES = 4 << 20, 16 << 20
 
@@ -126,6 +126,7 @@ def groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[int, l
     rows = (r for b in batches for k in range(b.num_rows) for r in b.slice(k, 1).to_pylist())
     for k, found in itertools.groupby(rows, key=lambda r: r[key]):
         yield k, list(found)
+    trim()
 
 
 def asked(table: DataFrame, send: Callable[[tuple, dict], Iterable[tuple[int, bytes]]], replies: list[DataFrame] = ()) -> DataFrame:
@@ -182,3 +183,4 @@ def with_replies(batches) -> Iterator[tuple[int, tuple, dict]]:
             got = {}
         else:
             got.setdefault(r["kind"], {})[r["bucket"]] = r["payload"]
+    trim()

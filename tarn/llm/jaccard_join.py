@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm.blocks import answered, asked, blocks, bucket_bits, dealt, pieces, unpack_block, with_replies
 from tarn.llm.components import components
-from tarn.llm.shared import Scratch, arrow_schema, batch
+from tarn.llm.shared import Scratch, arrow_schema, batch, trim
 from tarn.llm.words import mix, shingles, words_of
 
 KIND = "spaced_lower"
@@ -298,6 +298,7 @@ def _each(batches):
         for k in range(b.num_rows):
             r = b.slice(k, 1).to_pylist()[0]
             yield r["block"], unpack_block(r["payload"])
+    trim()
 
 
 def _flat(ddl: str):
@@ -310,6 +311,7 @@ def _flat(ddl: str):
                 columns = np.frombuffer(raw, np.int64).reshape(len(schema), -1)
                 for at in range(0, columns.shape[1], 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], schema=schema)
+        trim()
 
     return run
 
@@ -409,6 +411,7 @@ def _verify(pairs: DataFrame, sketches: DataFrame, table: DataFrame, join: Join,
                 if join.den * both >= join.num * (m + n - both):
                     ok.append((p, q))
             yield batch(schema, {"a": [p for p, _ in ok], "b": [q for _, q in ok]})
+        trim()
 
     linked = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "set_a", "set_b").mapInArrow(exact, "a long, b long")
     linked = scratch.table(linked, f"{name}-links")
@@ -449,6 +452,7 @@ def _cross(large: DataFrame, labels: DataFrame, sketches: DataFrame, rows: DataF
             a, b = _screen([r for r in rows if r["k"] == lo], [r for r in rows if r["k"] == hi], lo == hi, join)
             if len(a):
                 yield batch(schema, {"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        trim()
 
     tasks = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), sent // MOST_CHUNK)
     pairs = some.repartition(tasks, "centre", "lo", "hi").sortWithinPartitions("centre", "lo", "hi").mapInArrow(test, "a long, b long").distinct()

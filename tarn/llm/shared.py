@@ -8,6 +8,7 @@ nothing that an earlier step has written.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -91,6 +92,14 @@ def input_bytes(df: DataFrame) -> int:
     return size
 
 
+def trim() -> None:
+    """Give freed memory back to the system (a worker that waits for its next task would hold it beside the others)."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if give:
+        give(0)
+
+
 def pick(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns of any name can't clash."""
     return docs.select(*(F.col(f"`{n}`") for n in names))
@@ -111,6 +120,7 @@ def parts(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = UN
                 part = b.slice(at, i + 1 - at)
                 yield part, [t or b"" for t in part.column(at_text).cast(_binary(col.type)).to_pylist()]
                 at, size = i + 1, 0
+    trim()
 
 
 def units(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = UNIT_BYTES) -> Iterator[tuple[dict, list[bytes]]]:
