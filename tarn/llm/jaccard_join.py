@@ -54,7 +54,7 @@ COUNTED = 24
 SMALL, CHUNKS, LEAST_CHUNK, MOST_CHUNK = 64, 8, 128, 4096
 #: Pairs that a task holds at once.
 PAIRS = 1 << 21
-#: Parts that a component's documents are dealt into when they get its name.
+#: Parts that the documents of a component, or of equal sets, are dealt into when they get its name.
 SALTS = 64
 #: Base of the size code: sizes that can link differ by FITS codes at most.
 STEP = 1.06
@@ -179,8 +179,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
             })
 
     rows = scratch.table(table.mapInArrow(describe, SETS), "sets")
-    reps = rows.where("n > 0").groupBy("digest", "n").agg(F.min("gid").alias("rep"))
-    member = scratch.table(rows.select("gid", "doc_id", "digest", "n").join(reps, ["digest", "n"], "left").select("gid", "doc_id", "n", F.coalesce("rep", "gid").alias("rep")), "members")
+    member = _with_least(rows.select("gid", "doc_id", "digest", "n"), ["digest", "n"], "gid", "rep")
+    member = scratch.table(member.select("gid", "doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("gid")).alias("rep")), "members")
     sketches = scratch.table(rows.drop("fine").join(member.where("n > 0").select("gid", "rep"), "gid").select("gid", "rep", "n", "sketch"), "sketches")
 
     def distinct(content):
@@ -269,7 +269,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
         edges = scratch.table(_of_labels(more, labels), "label-edges")
         further = components(edges, scratch, "second").select(F.col("node").alias("label"), F.col("label").alias("further"))
         named = named.join(further, "label", "left").withColumn("label", F.coalesce("further", "label")).drop("further")
-    result = scratch.table(_named(named), "result")
+    result = _with_least(named, ["label"], "doc_id", "component_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    result = scratch.table(result, "result")
     scratch.drop("blocks", "sets", "members", "sketches", "large")
     return result
 
@@ -281,12 +282,12 @@ def _of_labels(links: DataFrame, labels: DataFrame) -> DataFrame:
     return links.where("of_a != of_b").select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct()
 
 
-def _named(named: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id. A label's rows are dealt into SALTS parts, so that a component of any size is no single task's."""
-    named = named.withColumn("salt", F.pmod(F.xxhash64("gid"), F.lit(SALTS)).cast("int"))
-    parts = named.groupBy("label", "salt").agg(F.min("doc_id").alias("least"))
-    names = parts.join(parts.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("label", "salt", "component_id")
-    return named.join(names, ["label", "salt"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+def _with_least(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` (with a gid) and the least ``value`` among those of the same ``keys``. A key's rows are dealt into SALTS parts, so that a group of any size is no single task's."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("gid"), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy(*keys, "salt").agg(F.min(value).alias("least"))
+    names = parts.join(parts.groupBy(*keys).agg(F.min("least").alias(name)), keys).select(*keys, "salt", name)
+    return salted.join(names, [*keys, "salt"]).drop("salt")
 
 
 SETS = "gid long, doc_id long, n long, digest binary, sketch binary, fine binary"
