@@ -63,7 +63,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(documents(spark, sf_dir))
+    return exact_dedup(documents(spark, sf_dir), batches=2)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,12 +48,27 @@ def test_exact_dedup(docs, rows):
 
 def test_index_persists(spark, tmp_path):
     place = f"file://{tmp_path}/index"
-    first = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
-    second = spark.createDataFrame([(3, "ab"), (4, "new")], "doc_id long, text string")
-    exact_dedup.exact_dedup(first, exact_dedup.DigestIndex(spark, place, 4)).collect()
-    again = exact_dedup.exact_dedup(second, exact_dedup.DigestIndex(spark, place, 4))
-    assert by_row(again, "doc_id", "keep_id", "kept") == [(3, 1, False), (4, 4, True)]
-    assert spark.read.parquet(place).count() == 3
+    frame = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
+    first, second = frame((1, "a b"), (2, "c")), frame((3, "a  b"), (4, "new"))
+    exact_dedup.exact_dedup(first, exact_dedup.DigestIndex(spark, place, 4, first=True)).collect()
+    with pytest.raises(ValueError, match="4 buckets, not 8"):
+        exact_dedup.DigestIndex(spark, place, 8)
+    with pytest.raises(ValueError, match="no index"):
+        exact_dedup.DigestIndex(spark, f"{place}-none")
+    index = exact_dedup.DigestIndex(spark, place, first=True)
+    for n in (2, 3, 4):  # a caller's index stays open, and each use counts
+        assert by_row(exact_dedup.exact_dedup(second, index), "doc_id", "keep_id", "group_size", "kept") == [(3, 1, n, False), (4, 4, n - 1, True)]
+    index.close()
+    assert spark.read.parquet(f"{place}/keepers").count() == 3
+    best = exact_dedup.DigestIndex(spark, place)
+    assert by_row(exact_dedup.exact_dedup(frame((5, " a b"), (0, "c")), best), "doc_id", "keep_id", "group_size") == [(0, 0, 2), (5, 5, 5)]
+    best.close()
+
+
+@pytest.mark.parametrize("batches", [2, 5])
+def test_batches_give_what_one_gives(docs, batches):
+    columns = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    assert by_row(exact_dedup.exact_dedup(docs, batches=batches), *columns) == by_row(exact_dedup.exact_dedup(docs), *columns)
 
 
 def test_index_is_read_in_its_buckets(spark, tmp_path):
