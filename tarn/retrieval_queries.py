@@ -758,11 +758,58 @@ def median_timings(spark, d):
     return table(spark, d, "documents").groupBy((F.col("doc_id") % 50).alias("doc_id")).agg(F.count(F.lit(1)).alias("n"), F.median("n_chars").alias("median"))
 
 
-@query()
+def _in(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _rubric_sql() -> str:
+    """The rubric of expansions of all types, said in SQL from its rules."""
+    bare = lambda w: rf"regexp_replace(regexp_replace({w}, '^[.,!?:;()\[\]\"'']+', ''), '[.,!?:;()\[\]\"'']+$', '')"
+    words = lambda x: rf"list_filter(regexp_split_to_array(lower({x}), '\s+'), lambda w_: w_ <> '')"
+    apart = lambda a, b: f"(NOT contains({a}, {b}) AND NOT contains({b}, {a}) AND len(list_distinct({words(a)})) + len(list_distinct({words(b)})) - 2 * len(list_intersect({words(a)}, {words(b)})) >= least)"
+    pairs = ((1, 2), (1, 3), (2, 3))
+    copies = lambda k: " + ".join(f"CASE WHEN {apart(f'lower({k}[{i}])', f'lower({k}[{j}])')} THEN 0 ELSE 1 END" for i, j in pairs)
+    echoes = lambda k: f"len(list_filter({k}, lambda x: contains(lower(x), lower(q)) AND (lower(x) = lower(q) OR length(x) < length(q) + 10)))"
+    generic = []
+    for phrase in expansion.GENERIC:
+        rest = "lower(x)"
+        for w in phrase.split():
+            rest = f"trim(regexp_replace({rest}, '{w}', ''))"
+        generic.append(f"((contains(lower(x), '{phrase}') OR starts_with(lower(x), '{phrase.split()[0]}')) AND length({rest}) < 3)")
+    kept = lambda test, every, some, none: f"CASE WHEN len(list_filter(lex, lambda x: {test})) = 3 THEN {every} WHEN len(list_filter(lex, lambda x: {test})) > 0 THEN {some} ELSE {none} END"
+    named = "len(list_filter(names, lambda m: contains(lower(x), m))) > 0"
+    cut = lambda n: f"[trim(array_to_string(w[1:{n}], ' ')), trim(array_to_string(w[5:{n + 4}], ' ')), trim(array_to_string(w[9:{n + 8}], ' '))]"
+    return rf"""WITH w AS (SELECT item_id, string_split(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS w FROM benchmark),
+x AS (SELECT item_id AS query_id, array_to_string(w[1:5], ' ') AS q, {cut(6)} AS lex, {cut(12)} AS vec, {cut(12)}[1] AS hyde FROM w),
+b AS (SELECT *, CASE WHEN len({words('q')}) >= 5 THEN 3 ELSE 2 END AS least, list_transform(list_filter(regexp_split_to_array(q, '\s+'), lambda y: y <> ''), lambda y: {bare('y')}) AS bare FROM x),
+n AS (SELECT *, list_transform(bare, lambda y, i: CASE WHEN length(y) > 1 AND upper(y) = y AND lower(y) <> y THEN true
+    WHEN regexp_matches(y, '^\p{{Lu}}') AND NOT list_contains({_in(sorted(expansion.KEY_STOP_WORDS))}, lower(y)) THEN i > 1 OR NOT list_contains({_in(sorted(expansion.FIRST_WORDS))}, lower(y))
+    ELSE (length(y) > 1 AND regexp_matches(y, '[.+#@-]')) OR regexp_matches(y, '^\p{{Lu}}.*\p{{Lu}}') END) AS named FROM b),
+e AS (SELECT *, list_sort(list_distinct(list_transform(list_filter(range(1, len(bare) + 1), lambda i: named[i] OR (i > 1 AND named[i - 1] AND bare[i] <> '' AND NOT list_contains({_in(sorted(expansion.KEY_STOP_WORDS))}, lower(bare[i])))), lambda i: lower(bare[i])))) AS names,
+    list_filter({words('q')}, lambda y: NOT list_contains({_in(sorted(expansion.KEY_STOP_WORDS))}, y)) AS terms, {echoes('lex')} AS lex_echoes, {echoes('vec')} AS vec_echoes FROM n),
+r AS (SELECT *, regexp_extract_all(lower(hyde), '[\p{{L}}\p{{N}}_]+') AS hw FROM e),
+p AS (SELECT query_id, names, lex_echoes, 30 + 15 + greatest(0, 5 - 2 * ({copies('lex')})) + greatest(0, 5 - 2 * ({copies('vec')})) + greatest(-10, 5 - 10 * lex_echoes - 3 * vec_echoes)
+  + 10 + CASE WHEN length(hyde) BETWEEN 50 AND 200 THEN 5 WHEN length(hyde) < 50 THEN 2 ELSE 0 END
+  + greatest(0, 5 - coalesce(list_sum(list_transform(list_filter(list_distinct(hw), lambda y: length(y) > 2 AND NOT list_contains({_in(expansion.REPEAT_STOP_WORDS)}, y)), lambda y: greatest(0, 2 * (len(list_filter(hw, lambda z: z = y)) - 2)))), 0))
+  + 5 + CASE WHEN list_sum(list_transform(lex, lambda y: length(y))) <= list_sum(list_transform(vec, lambda y: length(y))) THEN 5 ELSE 0 END
+  + CASE WHEN len(list_filter(vec, lambda y: contains(y, ' ') AND length(y) > 15)) = 3 THEN 5 ELSE 2 END
+  + {kept(f"len(terms) = 0 OR list_has_any(terms, {words('x')})", 5, 2, 0)} - 3 * len(list_filter(lex, lambda x: len(list_filter({_in(sorted(expansion.FILLER))}, lambda f: list_contains({words('x')}, f) AND NOT list_contains({words('q')}, f))) > 0))
+  + CASE WHEN len({words('q')}) >= 2 AND len(list_filter(lex, lambda x: contains(x, '"'))) > 0 THEN 3 ELSE 0 END
+  + CASE WHEN len(names) = 0 THEN 10 ELSE {kept(named, 15, 5, -30)} - 20 * len(list_filter(names, lambda m: NOT contains(lower(array_to_string(list_concat(lex, vec), ' ')), m)))
+      - 15 * len(list_filter(lex, lambda x: {' OR '.join(generic)})) + CASE WHEN len(list_filter(vec, lambda x: {named})) > 0 THEN 5 ELSE 0 END END
+  + 20 AS raw FROM r),
+s AS (SELECT *, least(CASE WHEN lex_echoes > 0 THEN 50.0 ELSE 100.0 END, greatest(0.0, raw / 140 * 100)) AS share FROM p)
+SELECT query_id, CAST(greatest(0, raw) AS INTEGER) AS total, 140 AS max_possible, round(CAST(share AS DOUBLE), 1) AS percentage,
+  CASE WHEN share >= 80 THEN 'Excellent' WHEN share >= 60 THEN 'Good' WHEN share >= 40 THEN 'Acceptable' WHEN share >= 20 THEN 'Poor' ELSE 'Failed' END AS rating, array_to_string(names, ',') AS entities FROM s"""
+
+
+@query(_rubric_sql())
 def rubric_score(spark, d):
-    typed = _typed(spark, d, 0).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.col("type"), F.lit(": "), F.col("text")))), "\n").alias("expansion"))
-    rows = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 5), " ").alias("query")).join(typed, "query_id")
-    return rows.select("query_id", expansion.rubric(F.col("query"), F.col("expansion")).alias("s")).select("query_id", "s.total", "s.max_possible", "s.percentage", "s.rating")
+    words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
+    part = lambda n, k: F.array_join(F.slice(words, 1 + 4 * k, n), " ")
+    lines = [F.concat(F.lit(f"{t}: "), part(6 if t == "lex" else 12, k)) for t in ("lex", "vec", "hyde") for k in range(3)]
+    rows = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), part(5, 0).alias("query"), F.array_join(F.array(*lines), "\n").alias("expansion"))
+    return expansion.rubric(rows).select("query_id", "score.total", "score.max_possible", "score.percentage", "score.rating", F.array_join("score.entities", ",").alias("entities"))
 
 
 @query()

@@ -152,20 +152,41 @@ def test_batches(spark):
     ("Bob React hooks guide", 'lex: react hooks\nlex: bob "react" effects\nvec: how to use react hooks with Bob\nhyde: React hooks let function components use state and effects in a simple manner.', "Excellent", 100.0),
     ("auth", "lex: auth\nvec: auth", "Acceptable", 50.0), ("x /only:lex", "lex: foo bar\nlex: baz quux x", "Excellent", 83.3), ("a", "junk", "Failed", 0.0), ("a", "lex: <|im_start|>", "Failed", 0.0), ("a /only:vec", "lex: b", "Failed", 0.0),
 ])
-def test_rubric(query, text, rating, percentage):
-    s = expansion.score(query, text)
+def test_rubric(spark, query, text, rating, percentage):
+    s = expansion.rubric(spark.createDataFrame([(query, text)], "query string, expansion string")).first().score
     assert (s.rating, s.percentage) == (rating, percentage)
 
 
-def test_rubric_parts():
-    assert expansion.entities("TDS motorsports team uses node.js") == {"tds", "motorsports", "node.js", "uses"} - {"uses"}
-    assert expansion.entities("Configure the API") == {"api"} and expansion.entities("how is it") == set()
-    assert expansion.is_generic("find information about") and not expansion.is_generic("react hooks")
-    assert expansion.echoes("auth setup", "auth") and not expansion.echoes("a much longer text on auth and its setup", "auth")
-    assert expansion.has_filler("rome overview", "ancient rome") and not expansion.has_filler("rome overview", "overview of rome")
-    assert expansion.repetition("word word word word other") == 4
-    thinking = expansion.score("x y", "<think>a</think>lex: x one\nvec: y the other long thing")
-    assert thinking.think_bonus == 0
+#: What the rubric says of expansions, by part: worked out by hand from its rules.
+RUBRIC = [
+    ("SetUp docker swarm", "lex: docker\nvec: x", dict(format=30, diversity=30, hyde=0, quality=12, entity=10, think_bonus=20, total=102, max_possible=120, entities=[])),
+    ("x y", "<think>a</think>lex: x one\nvec: y the other long thing", dict(format=30, diversity=30, quality=20, entity=10, think_bonus=0, total=90, percentage=75.0, rating="Good")),
+    ("Bob likes tea", "lex: green tea\nvec: what kind of tea is liked", dict(entity=0, entities=["bob", "likes"], deductions=["entities lost: bob, likes"])),
+    ("auth", "lex: auth", dict(format=20, deductions=["capped: 1 lex echoes", "missing vec:"], percentage=50.0)),
+    ("tea /only:vec", "vec: which tea is best of all\nlex: tea", dict(format=20, diversity=15, quality=20, entity=10, total=85, only_mode="vec", deductions=["more than vec:"])),
+    (None, None, dict(format=10, total=60)),
+]
+
+
+def test_rubric_by_part(spark):
+    rows = spark.createDataFrame([(k, q, e) for k, (q, e, _) in enumerate(RUBRIC)], "k int, query string, expansion string")
+    for r in expansion.rubric(rows).collect():
+        want = RUBRIC[r.k][2]
+        got = r.score.asDict()
+        assert {k: got[k] for k in want} == want, r.k
+
+
+def test_rubric_predicates(spark):
+    one = spark.range(1)
+    said = lambda c: one.select(c.alias("x")).first().x
+    L = F.lit
+    assert said(expansion.entities(L("TDS motorsports team uses node.js"))) == ["motorsports", "node.js", "tds"]
+    assert said(expansion.entities(L("SetUp docker swarm"))) == []  # a verb with a capital inside is a verb still
+    assert said(expansion.entities(L("Configure the API"))) == ["api"] and said(expansion.entities(L("how is it"))) == []
+    assert said(expansion.is_generic(L("find information about"))) and not said(expansion.is_generic(L("react hooks")))
+    assert said(expansion.echoes(L("auth setup"), L("auth"))) and not said(expansion.echoes(L("a much longer text on auth and its setup"), L("auth")))
+    assert said(expansion.has_filler(L("rome overview"), L("ancient rome"))) and not said(expansion.has_filler(L("rome overview"), L("overview of rome")))
+    assert said(expansion.repetition(L("word word word word other"))) == 4
 
 
 def test_expansion_columns(spark):
