@@ -58,9 +58,12 @@ class Engine:
     def _collections(self) -> dict[str, dict]:
         return {r["name"]: r.asDict(recursive=True) for r in self.tables.read("collections").collect()}
 
-    def _save_collections(self, found: dict[str, dict]) -> None:
+    def _collections_frame(self, found: dict[str, dict]) -> DataFrame:
         names = [x.split()[0] for x in SCHEMAS["collections"].replace("map<string,string>", "m").split(", ")]
-        self.tables.commit(collections=self._frame("collections", [tuple(c.get(n) for n in names) for c in found.values()]))
+        return self._frame("collections", [tuple(c.get(n) for n in names) for c in found.values()])
+
+    def _save_collections(self, found: dict[str, dict]) -> None:
+        self.tables.commit(collections=self._collections_frame(found))
 
     def add_collection(self, name: str, path: str, pattern: str = files.PATTERN, ignore: list[str] | None = None, include_by_default: bool = True) -> None:
         if not re.fullmatch("[A-Za-z0-9_-]+", name):
@@ -80,19 +83,17 @@ class Engine:
         rest = docs.where(F.col("collection") != name)
         content = self.tables.read("content")
         used = maintenance.active(rest).select("hash").distinct()
-        self._save_collections(found)
-        self.tables.commit(documents=rest.join(used, "hash", "left_semi"), content=content.join(used, "hash", "left_semi"))
-        self._index()
+        rest, content = rest.join(used, "hash", "left_semi"), content.join(used, "hash", "left_semi")
+        self.tables.commit(collections=self._collections_frame(found), documents=rest, content=content, **self._terms(rest, content))
         return n
 
     def rename_collection(self, old: str, new: str) -> None:
         found = self._collections()
         if old not in found or new in found:
             raise EngineError(f"no collection {old}" if old not in found else f"there is a collection {new}")
-        self._save_collections({(new if k == old else k): (v | {"name": new} if k == old else v) for k, v in found.items()})
-        docs = self.tables.read("documents")
-        self.tables.commit(documents=docs.withColumn("collection", F.when(F.col("collection") == old, new).otherwise(F.col("collection"))))
-        self._index()
+        named = self._collections_frame({(new if k == old else k): (v | {"name": new} if k == old else v) for k, v in found.items()})
+        docs = self.tables.read("documents").withColumn("collection", F.when(F.col("collection") == old, new).otherwise(F.col("collection")))
+        self.tables.commit(collections=named, documents=docs, **self._terms(docs, self.tables.read("content")))
 
     def list_collections(self) -> DataFrame:
         return maintenance.collections_listing(self.tables.read("collections"), self.tables.read("documents"))
@@ -125,31 +126,34 @@ class Engine:
     # index
 
     def update(self, collections: list[str] | None = None) -> dict[str, int]:
-        """Scan collections and bring documents, bodies and terms up to date; what changed."""
+        """Scan collections and bring documents, bodies and terms up to date, in one commit; what changed. Files are read once: all is derived from what that reading gave."""
         found = self._collections()
-        old, total = self.tables.read("documents"), {"indexed": 0, "updated": 0, "unchanged": 0, "removed": 0}
+        docs, content, total = self.tables.read("documents"), self.tables.read("content"), {"indexed": 0, "updated": 0, "unchanged": 0, "removed": 0}
         now = F.lit(datetime.datetime.now(datetime.UTC).replace(tzinfo=None))
-        self.tables.commit(cache=self._frame("cache", []))
         for name in collections or list(found):
             c = found[name]
             new = files.scan(self.spark, c["path"], c["pattern"] or files.PATTERN, c["ignore"]).withColumn("collection", F.lit(name))
-            own = maintenance.with_adopted_paths(old.where(F.col("collection") == name), new)
+            new = self.tables.staged(new)
+            own = maintenance.with_adopted_paths(docs.where(F.col("collection") == name), new)
             counts = maintenance.change_counts(maintenance.changes(own, new)).first().asDict()
             total = {k: total[k] + counts[k] for k in total}
-            docs = old.where(F.col("collection") != name).unionByName(maintenance.refreshed(own, new, now)) if new.limit(1).count() else old.withColumn("active", F.col("active") & (F.col("collection") != name))
-            content = self.tables.read("content")
+            docs = docs.where(F.col("collection") != name).unionByName(maintenance.refreshed(own, new, now)) if new.limit(1).count() else docs.withColumn("active", F.col("active") & (F.col("collection") != name))
             fresh = new.select("hash", "doc").dropDuplicates(["hash"]).join(content.select("hash"), "hash", "left_anti").withColumn("created_at", now)
-            self.tables.commit(documents=docs, content=content.unionByName(fresh))
-            old = self.tables.read("documents")
-        self._index()
+            docs, content = self.tables.staged(docs), content.unionByName(fresh)
+        content = self.tables.staged(content)
+        self.tables.commit(cache=self._frame("cache", []), documents=docs, content=content, **self._terms(docs, content))
+        self.tables.drop_staged()
         return total
 
-    def _index(self) -> None:
-        """Terms of all active documents, as a new version."""
-        docs = maintenance.active(self.tables.read("documents")).join(self.tables.read("content").select("hash", F.col("doc").alias("body")), "hash")
-        self.tables.commit(doc_ids=docs.select(F.xxhash64("collection", "path").alias("doc_id"), "collection", "path"))
-        terms = bm25.Postings.build(docs.withColumn("doc_id", F.xxhash64("collection", "path")), self.analyzer)
-        self.tables.commit(postings=terms.postings, lengths=terms.doc_lengths)
+    def _terms(self, docs: DataFrame, content: DataFrame) -> dict[str, DataFrame]:
+        """The keyword index' tables for these documents and bodies. What the index has of documents that are as they were is kept; only the others are cut into terms."""
+        keyed = lambda x: maintenance.active(x).select(F.xxhash64("collection", "path").alias("doc_id"), "collection", "path", "title", "hash")
+        old, new, same = keyed(self.tables.read("documents")), keyed(docs), ["doc_id", "title", "hash"]
+        gone = old.join(new.select(same), same, "left_anti").select("doc_id")
+        fresh = new.join(old.select(same), same, "left_anti").join(content.select("hash", F.col("doc").alias("body")), "hash")
+        added = bm25.Postings.build(fresh, self.analyzer)
+        kept = lambda t: self.tables.read(t).join(gone, "doc_id", "left_anti")
+        return {"postings": kept("postings").unionByName(added.postings), "lengths": kept("lengths").unionByName(added.lengths())}
 
     def _searched(self) -> plans.Index:
         docs = maintenance.active(self.tables.read("documents")).withColumn("doc_id", F.xxhash64("collection", "path"))
@@ -190,23 +194,20 @@ class Engine:
                     yield some[["hash", "seq", "pos", "total_chunks"]].assign(embedding=found)
 
         schema = "hash string, seq int, pos int, total_chunks int, embedding array<float>"
-        raw = rows.select("hash", "seq", "pos", "text", "title", "total_chunks").mapInPandas(run, schema)
-        done = raw.where("embedding IS NOT NULL")
+        # written once: both tables and all counts come from the same answers of the provider
+        raw = self.tables.staged(rows.select("hash", "seq", "pos", "text", "title", "total_chunks").mapInPandas(run, schema))
+        failed = raw.where("embedding IS NULL").select("hash").distinct()
+        done = raw.join(failed, "hash", "left_anti")
         now = F.lit(datetime.datetime.now(datetime.UTC).replace(tzinfo=None))
-        old_chunks, old_vectors = self.tables.read("chunks"), self.tables.read("vectors")
         fresh = done.select("hash", "seq", "pos", F.lit(e.name).alias("model"), F.lit(print_).alias("fingerprint"), "total_chunks", now.alias("embedded_at"))
-        gone = todo.select("hash")
-        expected = rows.count()
+        old = self.tables.read("chunks")
+        gone = todo.select("hash").unionByName(maintenance.incomplete(old).select("hash")).distinct()
+        expected, n, n_failed = raw.count(), done.count(), failed.count()
         self.tables.commit(
-            chunks=old_chunks.join(gone, "hash", "left_anti").unionByName(fresh),
-            vectors=old_vectors.join(gone, "hash", "left_anti").unionByName(done.select("hash", "seq", "embedding")),
+            chunks=old.join(gone, "hash", "left_anti").unionByName(fresh),
+            vectors=self.tables.read("vectors").join(gone, "hash", "left_anti").unionByName(done.select("hash", "seq", "embedding")),
         )
-        chunks = self.tables.read("chunks")
-        failed = maintenance.incomplete(chunks).select("hash")
-        n_failed = failed.count()
-        if n_failed:
-            self.tables.commit(chunks=chunks.join(failed, "hash", "left_anti"), vectors=self.tables.read("vectors").join(failed, "hash", "left_anti"))
-        n = self.tables.read("chunks").where(F.col("embedded_at") == now).count()
+        self.tables.drop_staged()
         if expected and 1 - n / expected > MOST_FAILED:
             raise EngineError(f"embedding failed: {expected - n} of {expected} chunks")
         return {"chunks": n, "incomplete": n_failed}

@@ -10,6 +10,9 @@ CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
 #: What a token is: letters and digits, and one character of these scripts.
 TOKEN = rf"[{CJK[1:-1]}&&[\p{{L}}\p{{N}}]]|[\p{{L}}\p{{N}}&&[^{CJK[1:-1]}]]+"
 
+#: Where no character of these scripts can be (all of theirs are in these ranges), a token is simply this.
+MAYBE_CJK, PLAIN_TOKEN = r"[\x{1100}-\x{11FF}\x{2E80}-\x{10FFFF}]", r"[\p{L}\p{N}]+"
+
 #: Words that say nothing of an intent (fixed values).
 INTENT_STOP_WORDS = """
 am an as at be by do he if in is it me my no of on or so to up us we
@@ -21,7 +24,14 @@ about looking notes search where which
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits, in order; CJK characters stand alone."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    found = lambda pattern: F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
+    return F.when(text.rlike(MAYBE_CJK), found(TOKEN)).otherwise(found(PLAIN_TOKEN))
+
+
+def token_count(text: Column) -> Column:
+    """How many tokens there are."""
+    n = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    return F.when(text.rlike(MAYBE_CJK), n(TOKEN)).otherwise(n(PLAIN_TOKEN))
 
 
 def spaced_cjk(text: Column) -> Column:

@@ -1,10 +1,12 @@
 """BM25 over three fields, phrases and prefixes included.
 
-A query's phrases each give (doc_id, f), f being the weighted occurrences in the
-fields. They come either from an inverted index (``Postings``: selective reads of
-a table sorted by term) or from a pass over the texts (``Scan``: no shuffle, for
-frames that were never indexed). Scoring on top of them is the same. Okapi BM25 (Robertson and Zaragoza, 2009), with document
-frequencies of whole phrases over the whole index.
+A query's phrases give each document a row (doc_id, dl, f): its length and the
+phrases' weighted occurrences in the fields. The rows come either from an
+inverted index (``Postings``: one selective read of a table sorted by term, and
+one shuffle of what it gives, by document) or from a pass over the texts
+(``Scan``: no shuffle, for frames that were never indexed). Okapi BM25 (Robertson
+and Zaragoza, 2009) is an expression over such a row, with document frequencies of
+whole phrases over the whole index, which are read first: one row.
 """
 
 from __future__ import annotations
@@ -17,49 +19,74 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions.analyzer import terms
-from tarn.functions.text import TOKEN
+from tarn.functions.text import token_count
 from tarn.plans.lexquery import LexPlan, Phrase
 
 #: Weights of the fields, and BM25's parameters (fixed values).
 WEIGHTS = {"filepath": 1.5, "title": 4.0, "body": 1.0}
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: A place is its field's number times this plus its number in the field.
+FIELD = 1 << 40
 
 
 def _texts() -> dict[str, Column]:
     return {"filepath": F.concat_ws("/", "collection", "path"), "title": F.col("title"), "body": F.col("body")}
 
 
-def fields(docs: DataFrame, analyzer: str = "simple") -> DataFrame:
-    """doc_id, and each field's terms as an array. ``docs``: doc_id, collection, path, title, body."""
-    return docs.select("doc_id", *(terms(x, analyzer).alias(f) for f, x in _texts().items()))
+def _any(tests) -> Column:
+    return reduce(lambda a, b: a | b, tests)
+
+
+def _all(tests) -> Column:
+    return reduce(lambda a, b: a & b, tests)
+
+
+@dataclass
+class Statistics:
+    """Documents, their mean length, and in how many of them each phrase is."""
+
+    n: int
+    avgdl: float
+    frequency: list[int]
+
+
+def _counted(rows: DataFrame, n_phrases: int) -> list[int]:
+    """In how many rows each phrase is: one small row."""
+    counts = [F.count_if(F.col("f")[k] > 0).alias(f"f{k}") for k in range(n_phrases)]
+    return list(rows.agg(*counts).first()) if counts else []
 
 
 @dataclass
 class Scan:
-    """Documents that were never indexed. Lengths are counts of matches; only documents whose lower-cased text holds every wanted word somewhere are cut into terms."""
+    """Documents that were never indexed: doc_id, collection, path, title, body. Only those whose lower-cased text holds a wanted word somewhere are cut into terms; of the others tokens are counted."""
 
     docs: DataFrame
     analyzer: str = "simple"
 
     def lengths(self) -> DataFrame:
-        n = sum((F.regexp_count(F.coalesce(x, F.lit("")), F.lit(TOKEN)) for x in _texts().values()), F.lit(0))
+        n = sum((token_count(F.coalesce(x, F.lit(""))) for x in _texts().values()), F.lit(0))
         return self.docs.select("doc_id", n.alias("dl"))
 
-    def corpus(self) -> DataFrame:
-        """One row: n and avgdl."""
-        return self.lengths().agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    def _holds(self, p: Phrase) -> Column:
+        if self.analyzer != "simple":
+            return F.lit(True)
+        held = lambda w: _any(F.lower(F.coalesce(x, F.lit(""))).contains(w) for x in _texts().values())
+        return _all(map(held, p.tokens))
+
+    def statistics(self, phrases: list[Phrase]) -> Statistics:
+        """One pass over all texts."""
+        some = self.docs.withColumn("holds", _any(map(self._holds, phrases)))
+        cut = some.select("holds", *(F.when(F.col("holds"), terms(x, self.analyzer)).alias(f) for f, x in _texts().items()), sum((F.when(~F.col("holds"), token_count(F.coalesce(x, F.lit("")))) for x in _texts().values()), F.lit(0)).alias("rest"))
+        dl = F.when(F.col("holds"), sum((F.size(f) for f in WEIGHTS), F.lit(0))).otherwise(F.col("rest"))
+        held = [F.count_if(F.col("holds") & (_weighted(p) > 0)) for p in phrases]
+        n, avgdl, *frequency = cut.agg(F.count(F.lit(1)), F.avg(dl), *held).first()
+        return Statistics(n, avgdl or 1.0, frequency)
 
-    def hits(self, phrases: list[Phrase]) -> DataFrame:
-        """phrase, doc_id, f, dl: one row for each phrase and document that has it; one pass, no shuffle."""
-        some = self.docs
-        if self.analyzer == "simple":
-            held = lambda w: reduce(lambda a, b: a | b, (F.lower(F.coalesce(x, F.lit(""))).contains(w) for x in _texts().values()))
-            some = some.where(reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, map(held, p.tokens)) for p in phrases)))
-        arrays = fields(some, self.analyzer)
-        weight = lambda p: sum((F.lit(w) * occurrences(F.col(f), p) for f, w in WEIGHTS.items()), F.lit(0.0))
-        found = F.array(*(F.struct(F.lit(k).alias("phrase"), weight(p).alias("f")) for k, p in enumerate(phrases)))
-        each = arrays.select("doc_id", sum((F.size(f) for f in WEIGHTS), F.lit(0)).alias("dl"), F.explode(F.filter(found, lambda x: x["f"] > 0)).alias("x"))
-        return each.select(F.col("x.phrase").alias("phrase"), "doc_id", F.col("x.f").alias("f"), "dl")
+    def frequencies(self, phrases: list[Phrase], needed: int) -> DataFrame:
+        """doc_id, dl, f of documents that can hold the first ``needed`` phrases."""
+        some = self.docs.where(_all(self._holds(p) for p in phrases[:needed]))
+        cut = some.select("doc_id", *(terms(x, self.analyzer).alias(f) for f, x in _texts().items()))
+        return cut.select("doc_id", sum((F.size(f) for f in WEIGHTS), F.lit(0)).alias("dl"), F.array(*map(_weighted, phrases)).alias("f"))
 
 
 def _fits(x: Column, p: Phrase, slot: int) -> Column:
@@ -67,6 +94,10 @@ def _fits(x: Column, p: Phrase, slot: int) -> Column:
     return x.startswith(word) if p.prefix and slot == len(p.tokens) - 1 else x == word
 
 
+def _weighted(p: Phrase) -> Column:
+    return sum((F.lit(w) * occurrences(F.col(f), p) for f, w in WEIGHTS.items()), F.lit(0.0))
+
+
 def occurrences(array: Column, p: Phrase) -> Column:
     """Places of a phrase in an array of terms."""
     if len(p.tokens) == 1:
@@ -81,69 +112,62 @@ def occurrences(array: Column, p: Phrase) -> Column:
 
 @dataclass
 class Postings:
-    """An inverted index: postings (term, doc_id, field, tf, positions) and lengths (doc_id, dl)."""
+    """An inverted index: postings (term, doc_id, dl, places) and lengths (doc_id, dl), from which only two sums are read."""
 
     postings: DataFrame
     doc_lengths: DataFrame
 
     @classmethod
     def build(cls, docs: DataFrame, analyzer: str = "simple") -> Postings:
-        """Both tables from documents, one shuffle for the postings (a term's places in a document meet in one task before it, so nothing is aggregated after)."""
-        arrays = fields(docs, analyzer)
-        each = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("terms")) for f in WEIGHTS))
-        long = arrays.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.field", F.posexplode("x.terms").alias("pos", "term"))
-        postings = long.groupBy("term", "doc_id", "field").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-        return cls(postings, Scan(docs).lengths())
+        """Both tables from documents; one shuffle for the postings."""
+        arrays = docs.select("doc_id", *(terms(x, analyzer).alias(f) for f, x in _texts().items()))
+        dl = sum((F.size(f) for f in WEIGHTS), F.lit(0))
+        placed = lambda k, f: F.transform(F.col(f), lambda x, i: F.struct(x.alias("term"), (F.lit(k * FIELD) + i).alias("place")))
+        long = arrays.select("doc_id", dl.alias("dl"), F.explode(F.concat(*(placed(k, f) for k, f in enumerate(WEIGHTS)))).alias("x"))
+        postings = long.groupBy(F.col("x.term").alias("term"), "doc_id").agg(F.first("dl").alias("dl"), F.sort_array(F.collect_list("x.place")).alias("places"))
+        return cls(postings, Scan(docs).lengths() if analyzer == "simple" else arrays.select("doc_id", dl.alias("dl")))
 
     def lengths(self) -> DataFrame:
         return self.doc_lengths
 
-    def corpus(self) -> DataFrame:
-        return self.doc_lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    def statistics(self, phrases: list[Phrase]) -> Statistics:
+        n, avgdl = self.doc_lengths.agg(F.count(F.lit(1)), F.avg("dl")).first()
+        return Statistics(n, avgdl or 1.0, _counted(self.frequencies(phrases, 0), len(phrases)))
+
+    def frequencies(self, phrases: list[Phrase], needed: int) -> DataFrame:
+        """doc_id, dl, f of documents with a term of the phrases."""
+        slots = {(k, i): _fits(F.col("term"), p, i) for k, p in enumerate(phrases) for i in range(len(p.tokens))}
+        rows = self.postings.where(_any(slots.values()))
+        places = {s: F.flatten(F.collect_list(F.when(fits, F.col("places")))).alias(f"p{s[0]}_{s[1]}") for s, fits in slots.items()}
+        weight = lambda x: reduce(lambda rest, kw: F.when(x < (kw[0] + 1) * FIELD, kw[1]).otherwise(rest), reversed(list(enumerate(WEIGHTS.values()))), F.lit(0.0))
 
-    def _phrase(self, p: Phrase) -> DataFrame:
-        weight = F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv))[F.col("field")]
-        wanted = reduce(lambda a, b: a | b, (_fits(F.col("term"), p, k) for k in range(len(p.tokens))))
-        rows = self.postings.where(wanted)
-        if len(p.tokens) == 1:
-            return rows.groupBy("doc_id").agg(F.sum(weight * F.col("tf")).alias("f"))
-        slots = [F.flatten(F.collect_list(F.when(_fits(F.col("term"), p, k), F.col("positions")))).alias(f"p{k}") for k in range(len(p.tokens))]
-        near = lambda x: reduce(lambda a, b: a & b, (F.array_contains(F.col(f"p{k}"), x + k) for k in range(1, len(p.tokens))))
-        count = F.size(F.filter("p0", near))
-        return rows.groupBy("doc_id", "field").agg(*slots).groupBy("doc_id").agg(F.sum(weight * count).alias("f")).where("f > 0")
+        def weighted(k: int, p: Phrase) -> Column:
+            near = lambda x: _all([F.lit(True), *(F.array_contains(F.col(f"p{k}_{i}"), x + i) for i in range(1, len(p.tokens)))])
+            return F.aggregate(F.filter(F.col(f"p{k}_0"), near), F.lit(0.0), lambda a, x: a + weight(x))
 
-    def hits(self, phrases: list[Phrase]) -> DataFrame:
-        found = reduce(DataFrame.unionByName, (self._phrase(p).withColumn("phrase", F.lit(k)) for k, p in enumerate(phrases)))
-        return found.join(self.doc_lengths, "doc_id").select("phrase", "doc_id", "f", "dl")
+        per_doc = rows.groupBy("doc_id").agg(F.first("dl").alias("dl"), *places.values())
+        return per_doc.select("doc_id", "dl", F.array(*(weighted(k, p) for k, p in enumerate(phrases))).alias("f"))
 
     def dictionary(self) -> DataFrame:
         """term, df (documents), cf (places)."""
-        return self.postings.groupBy("term").agg(F.count_distinct("doc_id").alias("df"), F.sum("tf").alias("cf"))
+        return self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.size("places")).alias("cf"))
 
 
 def matches(index: Scan | Postings, plan: LexPlan) -> DataFrame:
-    """doc_id, raw BM25 and score x / (1 + x) of the documents with every positive phrase and no negative group.
-
-    The corpus' two numbers and a frequency for each phrase are read first, so that scoring is an expression over the hits.
-    """
-    phrases = [*plan.positive, *(p for group in plan.negative for p in group)]
-    hits, size = index.hits(phrases), len(plan.positive)
-    corpus = index.corpus().first()
-    frequency = dict(hits.where(F.col("phrase") < size).groupBy("phrase").count().collect())  # a row a phrase
-    n, avgdl = corpus["n"], corpus["avgdl"] or 1.0
-    idfs = [math.log((n - df + 0.5) / (df + 0.5)) for df in (frequency.get(k, 0) for k in range(size))]
-    idf = F.element_at(F.array(*(F.lit(x if x > 0 else LEAST_IDF) for x in idfs)), F.col("phrase") + 1)
-    f = F.col("f")
-    part = F.when(F.col("phrase") < size, idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
-    held = lambda k: F.max(F.when(F.col("phrase") == k, 1).otherwise(0))
-    at, unwanted = size, []
+    """doc_id, raw BM25 and score x / (1 + x) of the documents with every positive phrase and no negative group."""
+    size = len(plan.positive)
+    known = index.statistics(plan.positive)
+    rows = index.frequencies([*plan.positive, *(p for group in plan.negative for p in group)], size)
+    part, f = [], F.col("f")
+    for k, df in enumerate(known.frequency):
+        idf = max(math.log((known.n - df + 0.5) / (df + 0.5)), LEAST_IDF) if df < known.n + 0.5 else LEAST_IDF
+        part.append(F.lit(idf) * f[k] * (K1 + 1) / (f[k] + K1 * (1 - B + B * F.col("dl") / F.lit(known.avgdl))))
+    wanted, at = [f[k] > 0 for k in range(size)], size
     for group in plan.negative:
-        unwanted.append(reduce(F.least, [held(at + k) for k in range(len(group))]))
+        wanted.append(~_all(f[at + k] > 0 for k in range(len(group))))
         at += len(group)
-    no = reduce(F.greatest, unwanted, F.lit(0))
-    per_doc = hits.groupBy("doc_id").agg(F.sum(part).alias("bm25"), F.count(F.when(F.col("phrase") < size, 1)).alias("got"), no.alias("no"))
     raw = F.abs(F.col("bm25"))
-    return per_doc.where((F.col("got") == size) & (F.col("no") == 0)).select("doc_id", "bm25", (raw / (1 + raw)).alias("score"))
+    return rows.where(_all(wanted)).select("doc_id", reduce(lambda a, b: a + b, part).alias("bm25")).select("doc_id", "bm25", (raw / (1 + raw)).alias("score"))
 
 
 def search(index: Scan | Postings, docs: DataFrame, plan: LexPlan | None, limit: int = 20, collections: list[str] | None = None) -> DataFrame:

@@ -1,26 +1,27 @@
 """Exact cosine search over chunk vectors, for one query or a set of them.
 
 A set of queries is a stated, bounded set: it is sent to the executors and held
-against all rows block by block, each task keeping the best of a query, so what is
-shuffled is k rows a query and task. Arithmetic is in doubles.
+against all rows block by block, each Arrow batch keeping the best of a query, so
+what is shuffled is about k rows a query and batch, cut to k a query before the
+shuffle where Spark can. Arithmetic is in doubles.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.operators.ranking import best_of_file, top_of_each
 
-#: Queries searched for at once.
-QUERIES = 512
+#: Queries searched for at once; distances this near are held to be equal, the keys deciding.
+QUERIES, TIE = 512, 1e-11
 
 
 class DimensionError(ValueError):
@@ -62,49 +63,37 @@ def check_dimensions(vectors: DataFrame, dims: int) -> None:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, keys: Iterable[str] = ("vec_id",)) -> DataFrame:
     """query_id, the keys, distance: the k nearest rows of ``vectors`` to each of ``queries`` (query_id, embedding), ties to the smaller keys."""
     keys = list(keys)
-    out = queries.limit(0)
-    n = queries.count()
-    for at in range(0, max(n, 1), QUERIES):
-        some = queries.orderBy("query_id").offset(at).limit(QUERIES).collect()  # QUERIES at most
-        if not some:
-            break
-        found = _nearest(vectors, [(r["query_id"], r["embedding"]) for r in some], k, keys)
-        out = found if at == 0 else out.unionByName(found)
-    if n == 0:
+    asked = ((r["query_id"], r["embedding"]) for r in queries.select("query_id", "embedding").toLocalIterator())
+    found = [_nearest(vectors, some, k, keys) for some in iter(lambda: list(islice(asked, QUERIES)), [])]
+    if not found:
         return vectors.select(F.lit(0).cast("long").alias("query_id"), *keys, F.lit(0.0).alias("distance")).where(F.lit(False))
-    return out
+    return reduce(DataFrame.unionByName, found)
 
 
 def _nearest(vectors: DataFrame, queries: list[tuple], k: int, keys: list[str]) -> DataFrame:
-    ids = [q for q, _ in queries]
+    ids = np.array([q for q, _ in queries])
     matrix = np.array([e for _, e in queries], np.float64)
     norms = np.linalg.norm(matrix, axis=1)
     kinds = dict(vectors.dtypes)
     ddl = "query_id long, " + "".join(f"{c} {kinds[c]}, " for c in keys) + "distance double"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[list] = [[] for _ in ids]
-        for pdf in batches:
-            right = pdf[pdf["embedding"].map(lambda e: e is not None and len(e) == matrix.shape[1])]
-            if not len(right):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = pa.Table.from_batches([b]).filter(pc.fill_null(pc.equal(pc.list_value_length(b.column("embedding")), matrix.shape[1]), False)).combine_chunks()
+            if not rows.num_rows:
                 continue
-            v = np.stack(right["embedding"].to_numpy()).astype(np.float64)
-            size = np.linalg.norm(v, axis=1)
+            v = rows["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, -1)
             with np.errstate(divide="ignore", invalid="ignore"):
-                d = 1 - (v @ matrix.T) / (size[:, None] * norms[None, :])
+                d = 1 - (v @ matrix.T) / (np.linalg.norm(v, axis=1)[:, None] * norms[None, :])
             d[~np.isfinite(d)] = np.inf
-            own = list(right[keys].itertuples(index=False, name=None))
-            for j, column in enumerate(d.T):
-                near = np.argpartition(column, min(k, len(column) - 1))[: k + 1] if len(column) > k else np.arange(len(column))
-                edge = column[near].max()
-                some = np.flatnonzero(column <= edge)  # all that tie with the last
-                best[j] = heapq.nsmallest(k, [*best[j], *((float(column[i]), own[i]) for i in some)], key=lambda x: (round(x[0], 12), x[1]))
-        rows = [(ids[j], *key, dist) for j, found in enumerate(best) for dist, key in found]
-        yield pd.DataFrame(rows, columns=["query_id", *keys, "distance"])
-
-    near = vectors.select(*keys, "embedding").mapInPandas(run, ddl)
-    from pyspark.sql import Window
-
+            # a batch's k smallest of each query and what ties with the last of them: the ranks below decide among these
+            edge = np.partition(d, min(k, len(d)) - 1, axis=0)[min(k, len(d)) - 1]
+            j, i = np.nonzero((d <= edge + TIE).T)
+            chosen = rows.select(keys).take(pa.array(i))
+            columns = [pa.array(ids[j], pa.int64()), *(chosen[c].combine_chunks() for c in keys), pa.array(d[i, j])]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", *keys, "distance"])
+
+    near = vectors.select(*keys, "embedding").mapInArrow(run, ddl)
     w = Window.partitionBy("query_id").orderBy(F.round("distance", 12), *keys)
     return near.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_rank")
 

@@ -26,6 +26,8 @@ from tarn.plans import search
 from tarn.plans.benchmark import Fixture, FixtureQuery, run_fixture
 from tarn.plans.lexquery import parse
 from tarn.plans.querydoc import TypedQuery
+from tarn.sources import files
+from tarn.sources.snapshots import Warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,7 +71,7 @@ DOCS = """docs AS (
 
 
 def scan(spark: SparkSession, d: str) -> bm25.Scan:
-    return bm25.Scan(documents(spark, d))
+    return bm25.Scan(files.spread(documents(spark, d)))
 
 
 ARRAYS = DOCS + r""",
@@ -148,7 +150,26 @@ def bm25_multi_collection_merge(spark, d):
 
 @query(lex_sql('"licensed under" version', TOP))
 def bm25_inverted_index(spark, d):
-    return _shown(bm25.search(bm25.Postings.build(documents(spark, d)), documents(spark, d), parse('"licensed under" version'), 20))
+    return _shown(bm25.search(bm25.Postings.build(files.spread(documents(spark, d))), documents(spark, d), parse('"licensed under" version'), 20))
+
+
+def stored_index(spark: SparkSession, d: str) -> Warehouse:
+    """The documents' keyword index in the warehouse folder: built when it isn't there, or when the documents' files have changed."""
+    source = documents(spark, d)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    changed = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+    name = providers.cache_key("index", d, str(changed))[:16]
+    kept = Warehouse(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/tarn-index-{name}")
+    if not kept.exists():
+        terms = bm25.Postings.build(files.spread(source))
+        kept.commit(postings=terms.postings, lengths=terms.doc_lengths)
+    return kept
+
+
+@query(lex_sql('"licensed under" version', TOP))
+def bm25_stored_index(spark, d):
+    kept = stored_index(spark, d)
+    return _shown(bm25.search(bm25.Postings(kept.read("postings"), kept.read("lengths")), documents(spark, d), parse('"licensed under" version'), 20))
 
 
 @query(f"WITH {ARRAYS} SELECT n AS n_docs, round(avgdl, 6) AS avgdl, CAST((SELECT sum(dl) FROM dls) AS BIGINT) AS n_tokens FROM corpus")
@@ -158,13 +179,13 @@ def corpus_stats(spark, d):
 
 @query(f"WITH {ARRAYS} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM toks GROUP BY term")
 def postings_df(spark, d):
-    return bm25.Postings.build(documents(spark, d)).dictionary()
+    return bm25.Postings.build(files.spread(documents(spark, d))).dictionary()
 
 
 @query()
 def porter_search(spark, d):
     docs = documents(spark, d)
-    index = bm25.Scan(docs, "porter")
+    index = bm25.Scan(files.spread(docs), "porter")
     return _shown(bm25.search(index, docs, parse("licensing versions", "porter"), 20))
 
 

@@ -106,3 +106,9 @@ def typed_lines(text: Column) -> Column:
     bare = F.regexp_replace(F.replace(text, F.lit("<|im_end|>"), F.lit("")), r"(?s)<think>.*?</think>", "")
     rows = F.filter(F.transform(F.split(bare, "\n"), lambda x: F.trim(x)), lambda x: x.rlike("^(lex|vec|hyde):"))
     return F.transform(rows, lambda x: F.struct(F.regexp_extract(x, "^([a-z]+):", 1).alias("type"), F.trim(F.regexp_replace(x, "^[a-z]+:", "")).alias("query")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores, where a scan has fewer splits than there are cores (a file of one row group is one split); as it is otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

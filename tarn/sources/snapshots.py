@@ -1,8 +1,11 @@
 """An index on disk: tables in numbered versions, and a pointer that names the current ones.
 
-Readers follow the pointer; a commit writes new versions beside the old, then
-replaces the pointer by a rename. A reader thus sees all of a commit or nothing
-of it, and no table is overwritten while a plan reads it.
+Pointers are numbered files and the highest number counts. A commit writes new
+versions of tables beside the old, then the next pointer under another name, which
+it renames to its number: a reader sees all of a commit or nothing of it, at no
+moment is there no pointer, a crash leaves the last one as it is, and no table is
+overwritten while a plan reads it. Two commits at a time can't get one number: the
+later one fails and may be tried again.
 """
 
 from __future__ import annotations
@@ -21,9 +24,8 @@ SCHEMAS = {
     "cache": "cache_key string, result string, created_at timestamp",
     "collections": "name string, path string, pattern string, ignore array<string>, include_by_default boolean, update_command string, context map<string,string>",
     "config": "key string, value string",
-    "postings": "term string, doc_id long, field string, tf int, positions array<int>",
+    "postings": "term string, doc_id long, dl int, places array<long>",
     "lengths": "doc_id long, dl int",
-    "doc_ids": "doc_id long, collection string, path string",
 }
 
 
@@ -31,48 +33,70 @@ class Warehouse:
     """Versioned tables below ``root`` (any file system that Spark reaches)."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root, self._session = spark, root.rstrip("/"), uuid.uuid4().hex[:12]
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _current(self) -> dict[str, str]:
-        at = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(at):
-            return {}
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/CURRENT").collect()))
+    def _pointers(self) -> list[int]:
+        at = self._path(f"{self.root}/pointers")
+        names = [x.getPath().getName() for x in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _current(self) -> tuple[int, dict[str, str]]:
+        """The number of the last commit (0: none), and the tables' versions."""
+        known = self._pointers()
+        if not known:
+            return 0, {}
+        source = self._fs.open(self._path(f"{self.root}/pointers/{known[-1]}"))
+        try:
+            return known[-1], json.loads(bytes(source.readAllBytes()))
+        finally:
+            source.close()
+
+    def exists(self) -> bool:
+        """Whether anything was committed."""
+        return bool(self._pointers())
 
     def read(self, table: str) -> DataFrame:
-        version = self._current().get(table)
+        version = self._current()[1].get(table)
         if version is None:
             return self.spark.createDataFrame([], SCHEMAS[table])
         return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{table}/{version}")
 
+    def staged(self, df: DataFrame) -> DataFrame:
+        """``df`` computed once, into files beside the tables that no reader of the index looks at."""
+        at = f"{self.root}/staged/{self._session}/{uuid.uuid4().hex[:12]}"
+        df.write.parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def drop_staged(self) -> None:
+        self._fs.delete(self._path(f"{self.root}/staged/{self._session}"), True)
+
     def commit(self, **tables: DataFrame) -> None:
         """New versions of some tables, all at once."""
-        now = self._current()
+        number, now = self._current()
         for name, df in tables.items():
             version = uuid.uuid4().hex[:12]
             columns = [f.split()[0] for f in SCHEMAS[name].replace("map<string,string>", "m").split(", ")]
             writer = df.select(*columns)
-            if name == "postings":  # a term's rows in few files, sorted: lookups skip the rest by the statistics of row groups
-                writer = writer.repartitionByRange("term").sortWithinPartitions("term", "doc_id")
+            if name == "postings":  # sorted, and a frequent term's rows in several files: lookups skip the rest by the statistics of row groups
+                writer = writer.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
             writer.write.parquet(f"{self.root}/{name}/{version}")
             now[name] = version
-        self._publish(now)
+        self._publish(number + 1, now)
 
-    def _publish(self, now: dict[str, str]) -> None:
-        fresh = self._path(f"{self.root}/CURRENT.{uuid.uuid4().hex[:8]}")
+    def _publish(self, number: int, now: dict[str, str]) -> None:
+        fresh, target = self._path(f"{self.root}/pointers/fresh-{uuid.uuid4().hex[:8]}"), self._path(f"{self.root}/pointers/{number}")
         out = self._fs.create(fresh, True)
         out.write(bytearray(json.dumps(now).encode()))
         out.close()
-        target = self._path(f"{self.root}/CURRENT")
-        if self._fs.exists(target):
-            self._fs.delete(target, False)
-        self._fs.rename(fresh, target)
+        if self._fs.exists(target) or not self._fs.rename(fresh, target):
+            self._fs.delete(fresh, False)
+            raise RuntimeError(f"commit {number} of {self.root} was made by another writer")
 
     def vacuum(self) -> int:
-        """Delete versions that the pointer doesn't name; how many went."""
-        now, gone = self._current(), 0
+        """Delete versions of tables that the last pointer doesn't name, and older pointers; how many versions went."""
+        (number, now), gone = self._current(), 0
         for name in SCHEMAS:
             folder = self._path(f"{self.root}/{name}")
             if self._fs.exists(folder):
@@ -80,4 +104,7 @@ class Warehouse:
                     if s.getPath().getName() != now.get(name):
                         self._fs.delete(s.getPath(), True)
                         gone += 1
+        for k in self._pointers():
+            if k < number:
+                self._fs.delete(self._path(f"{self.root}/pointers/{k}"), False)
         return gone

@@ -165,3 +165,88 @@ def test_ranges():
     from tarn.operators.lookup import split_range
 
     assert split_range("a.md") == ("a.md", None, None) and split_range("tarn://c/a.md:5") == ("tarn://c/a.md", 5, None) and split_range("a:b.md:0:3") == ("a:b.md", 1, 3)
+
+
+def test_every_text_is_embedded_once(spark, notes, tmp_path):
+    from collections import Counter
+
+    from tarn import providers
+    from tarn.plans import search as plans
+
+    class CountingEmbedder:
+        """Counts, in files, how often each text is embedded; fails now and then."""
+
+        name, dims = "counting", 3
+
+        def __init__(self, folder):
+            self.folder = folder
+
+        def embed(self, texts):
+            import uuid
+
+            with open(f"{self.folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write("\n".join(t.replace("\n", " ") for t in texts))
+            return [[float(len(t)), 1.0, 2.0] for t in texts]
+
+    os.mkdir(tmp_path / "calls")
+    e = Engine(spark, f"{tmp_path}/index", models=plans.Models(CountingEmbedder(str(tmp_path / "calls")), providers.PlainExpander(), providers.OverlapReranker()))
+    e.add_collection("notes", str(notes), ignore=["skip/**"])
+    e.update()
+    n = e.embed()["chunks"]
+    seen = Counter(line for f in os.listdir(tmp_path / "calls") for line in (tmp_path / "calls" / f).read_text().split("\n"))
+    assert len(seen) == n and set(seen.values()) == {1}
+    assert e.tables.read("chunks").count() == e.tables.read("vectors").count() == n
+
+
+def test_only_changed_documents_are_cut_into_terms(spark, notes, tmp_path, monkeypatch):
+    from tarn.operators import bm25
+
+    e = Engine(spark, f"{tmp_path}/index")
+    e.add_collection("notes", str(notes), ignore=["skip/**"])
+    e.update()
+    cut, build = [], bm25.Postings.build.__func__
+
+    def counted(cls, docs, analyzer="simple"):
+        cut.append(sorted(r.path for r in docs.select("path").collect()))
+        return build(cls, docs, analyzer)
+
+    monkeypatch.setattr(bm25.Postings, "build", classmethod(counted))
+    (notes / "n2.md").write_text("# Other\nquite other words")
+    (notes / "n9.md").write_text("# New\nnewest words")
+    os.remove(notes / "n1.md")
+    assert e.update()["updated"] == 1
+    assert cut == [["n2.md", "n9.md"]]
+    found = lambda q: sorted(r.path for r in e.search_lex(q).collect())
+    assert found("quite") == ["n2.md"] and found("newest") == ["n9.md"] and found('"noise 1"') == [] and found("databases") == ["sub/b.md"]
+    monkeypatch.undo()
+    again = bm25.Postings.build(e._searched().docs.join(e.tables.read("content").withColumnRenamed("doc", "body").drop("created_at"), "hash"), e.analyzer)
+    rows = lambda df: sorted(tuple(map(str, r)) for r in df.select("term", "doc_id", "dl", "places").collect())
+    assert rows(e.tables.read("postings")) == rows(again.postings)
+
+
+def test_readers_see_whole_commits(spark, tmp_path):
+    import threading
+
+    from tarn.sources.snapshots import Warehouse
+
+    w = Warehouse(spark, f"{tmp_path}/w")
+    frame = lambda k: spark.createDataFrame([(str(k), "v")], "key string, value string")
+    w.commit(config=frame(0))
+    stop, seen = threading.Event(), []
+
+    def read():
+        while not stop.is_set():
+            seen.append([r.key for r in w.read("config").collect()])
+
+    t = threading.Thread(target=read)
+    t.start()
+    for k in range(1, 6):
+        w.commit(config=frame(k))
+    stop.set()
+    t.join()
+    assert all(len(x) == 1 for x in seen) and [int(x[0]) for x in seen] == sorted(int(x[0]) for x in seen)
+    number, now = w._current()
+    w._publish(number + 1, now)
+    with pytest.raises(RuntimeError, match="another writer"):
+        w._publish(number + 1, now)
+    assert w.vacuum() == 5 and w.read("config").count() == 1
