@@ -46,13 +46,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests on one machine), a fresh temporary one."""
+    """The folder named in spark.checkpoint.dir. Where it is unset: on one machine a fresh temporary one, on a cluster a folder in the warehouse, which all executors reach."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
+    if not found and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
         found = _OWN_DIRS.setdefault(sc.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="tarn-shared-")
         _OWN_DIRS[sc.applicationId] = found
-    return found.rstrip("/")
+    return (found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tarn-scratch").rstrip("/")
 
 
 class Scratch:
@@ -101,8 +101,11 @@ def trim() -> None:
 
 
 def pick(docs: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra columns of any name can't clash."""
-    return docs.select(*(F.col(f"`{n}`") for n in names))
+    """Only the named columns, so that extra columns of any name can't clash; dealt out to all cores where the scan has fewer splits than there are cores (a file of one row group is one split)."""
+    found = docs.select(*(F.col(f"`{n}`") for n in names))
+    cores, planned = docs.sparkSession.sparkContext.defaultParallelism, found._jdf.queryExecution()
+    scans = "Adaptive" not in planned.executedPlan().nodeName()  # no shuffle before it, so asking runs nothing
+    return found.repartition(cores) if scans and planned.toRdd().getNumPartitions() < cores else found
 
 
 def parts(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = UNIT_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
