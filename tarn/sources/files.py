@@ -110,5 +110,6 @@ def typed_lines(text: Column) -> Column:
 
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt out to all cores, where a scan has fewer splits than there are cores (a file of one row group is one split); as it is otherwise."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores, planned = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    scans = "Adaptive" not in planned.executedPlan().nodeName()  # no shuffle before it, so asking runs nothing
+    return df.repartition(cores) if scans and planned.toRdd().getNumPartitions() < cores else df
