@@ -319,6 +319,46 @@ def test_lm_scores(docs, rows):
         assert r.score < 0
 
 
+def test_lm_score_word_by_word(docs, rows, monkeypatch):
+    """The whole score again: counts, classes and one step of the network a word, in plain Python."""
+    from collections import Counter
+
+    from tarn.llm.words import words_of
+
+    kept, train = {}, lm_scoring._train
+
+    def spy(model, *rest):
+        train(model, *rest)
+        kept["model"] = model
+
+    monkeypatch.setattr(lm_scoring, "_train", spy)
+    got = lm_scoring.lm_scores(docs).collect()
+    model, words = kept["model"], {d: re.findall("[^\x20\x09-\x0d]+", lower(t)) for d, t, *_ in rows}
+    n = Counter(w for d, t, *_ in rows if zlib.crc32(str(d).encode()) % 5 != 1 for w in words[d])
+    every = sorted({w for ws in words.values() for w in ws})
+    w = words_of([x.encode() for x in every], lm_scoring.KIND)
+    hashed, tail = dict(zip(every, w.hash.tolist())), dict(zip(every, lm_scoring.tails(w).tolist()))
+    signed = lambda x: hashed[x] - (hashed[x] >> 63 << 64)
+    frequent = sorted(n, key=lambda x: (-n[x], signed(x)))[: int(np.ceil(len(n) ** 0.5))]
+    number = {x: k for k, x in enumerate(sorted(frequent, key=hashed.get))}
+    mass = Counter()
+    for x, c in n.items():
+        if x not in number:
+            mass[tail[x]] += c + 0.5
+    end = len(frequent) + lm_scoring.TAILS
+    assert len(model.mass) == end + 1
+    for r in got:
+        state, before, total = np.zeros((1, model.u.shape[0]), np.float32), end, 0.0
+        for x in [*words[r.doc_id], None]:
+            symbol = end if x is None else number.get(x, len(frequent) + tail[x])
+            state = model.step(model.x[[before]].copy(), state)
+            total += float(model._log_softmax(state, np.array([symbol]))[0])
+            if x is not None and x not in number:
+                total += np.log((n[x] + 0.5) / (mass[tail[x]] + 0.5))
+            before = symbol
+        assert r.score == pytest.approx(total / np.log(10), rel=1e-3, abs=1e-3)
+
+
 def test_lm_learns_from_every_document(spark, monkeypatch):
     """More tokens than one shard has: each training document is in one lesson, whole."""
     rng = np.random.default_rng(3)
