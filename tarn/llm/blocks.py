@@ -155,11 +155,18 @@ def answered(table: DataFrame, questions: DataFrame, answer: Callable[[int, list
 
 def told(table: DataFrame, replies: list[DataFrame], ddl: str, work: Callable[[tuple, dict], dict]) -> DataFrame:
     """``work(payload, {kind: {bucket: reply}})`` of every block: columns of ``ddl``."""
+    return told_several(table, replies, ddl, lambda held: [work(*x) for x in held], 1)
+
+
+def told_several(table: DataFrame, replies: list[DataFrame], ddl: str, work: Callable[[list[tuple]], Iterable[dict]], most: int) -> DataFrame:
+    """``work([(payload, {kind: {bucket: reply}}), ...])`` of up to ``most`` blocks at a time: columns of ``ddl`` for each of them."""
     schema = arrow_schema(ddl)
 
     def run(batches):
-        for _, content, got in with_replies(batches):
-            yield batch(schema, work(content, got))
+        held = ((content, got) for _, content, got in with_replies(batches))
+        for some in iter(lambda: list(itertools.islice(held, most)), []):
+            for columns in work(some):
+                yield batch(schema, columns)
 
     return _beside(table, replies).mapInArrow(run, ddl)
 
