@@ -2,15 +2,17 @@
 
 The automaton holds every substring of every template. A document's words are
 streamed through it and give matching statistics: at each word the longest
-suffix that some template contains. Matches that can't be made longer are
-chained, in text order and template order, into covered spans of each template;
-a template that is covered far enough gives its label. Base phrases are
-templates whose every place counts.
+suffix that some template contains, and on its path of suffix links the longest
+that each place of each template has. Matches with a template that can't be made
+longer in it are chained, template by template, in text order and template order, into covered spans of each template;
+a template that is covered far enough gives its label and the span of the text's
+words that covers it best. Base phrases are templates whose every place counts.
 
 Only stretches whose word triples occur in a template are streamed; shorter
 matches can't hold a phrase or be part of a chain, so nothing is lost.
 
-Null and empty texts have no words, no places, no labels and a score of 0.
+A very long text is streamed through word by word; kept of it are its word
+numbers and what matched. Null and empty texts have no words, no places, no labels and a score of 0.
 Repeated rows are scanned each; an empty table gives no rows; extra columns are
 ignored.
 """
@@ -20,6 +22,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
+from tarn.llm.license_texts import TEXTS
 from tarn.llm.shared import map_units, pick
 from tarn.llm.words import Vocabulary, runs, words_of
 
@@ -32,28 +35,7 @@ BASE = {
     "cc by nc": "cc-by-nc",
 }
 
-#: Notices that name or grant a licence, with its label (fixed values: the licences' customary words).
-TEMPLATES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
-    ("cc-by-nc", "creative commons attribution noncommercial"),
-    ("cc-by-nc", "creative commons attribution non commercial"),
-    ("cc-by-sa", "creative commons attribution sharealike"),
-    ("cc-by-sa", "licensed under cc by sa"),
-    ("cc0", "licensed under cc0 1 0"),
-    ("gpl-2", "the gnu general public license version 2"),
-    ("gpl-3", "the gnu general public license version 3"),
-    ("gpl-3", "gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("lgpl", "the gnu lesser general public license"),
-    ("agpl-3", "the gnu affero general public license version 3"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("bsd", "licensed under the bsd license"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-]
-
-#: A template of fewer than LONG words must be covered whole, a longer one by COVERED.
+#: A template (``license_texts`` has the usual ones) of fewer than LONG words must be covered whole, a longer one by COVERED.
 LONG, COVERED = 10, 0.9
 #: Matches of a chain have this many words at least, and so many others between them at most.
 LEAST, GAP = 3, 12
@@ -131,6 +113,8 @@ class Scanner:
         if min(self.sizes) < LEAST:
             raise ValueError(f"a phrase or template has {LEAST} words at least")
         self.automaton = SuffixAutomaton(seqs)
+        self.seqs = seqs
+        self.places = self._places()
         self.triples = np.unique(np.concatenate([self._triples(np.array(s)) for s in seqs]))
         # base phrases that end where a state's strings end: those whose own state is on its path of suffix links
         own: dict[int, list[int]] = {}
@@ -140,6 +124,16 @@ class Scanner:
         for v in sorted(range(1, len(self.phrases)), key=self.automaton.length.__getitem__):
             self.phrases[v] = own.get(v, []) + self.phrases[self.automaton.link[v]]
 
+    def _places(self) -> list[list[tuple[int, int, int]]]:
+        """For each state the places (template, end) of its longest strings' suffixes of LEAST words or more, and at most how long a suffix is there."""
+        auto = self.automaton
+        out: list[list[tuple[int, int, int]]] = [[] for _ in auto.next]
+        for v in sorted(range(1, len(out)), key=auto.length.__getitem__):
+            up = auto.link[v]
+            shorter = {(k, at): min(n, auto.length[up]) for k, at, n in out[up]} if auto.length[up] >= LEAST else {}
+            out[v] = sorted((k, at, auto.length[v] if (k, at) in auto.ends[v] else n) for (k, at), n in (shorter | dict.fromkeys(auto.ends[v], 0)).items())
+        return out
+
     def _triples(self, ids: np.ndarray) -> np.ndarray:
         n = len(self.vocabulary) + 1
         x = ids.astype(np.int64)
@@ -150,26 +144,30 @@ class Scanner:
         ids = self.vocabulary.ids(w.hash)
         n = len(texts)
         places: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        matches: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
+        matches: list[list[tuple[int, int, int, int]]] = [[] for _ in range(n)]
         first, end = runs(ids, w.bounds, LEAST)
         for a, b in self._stretches(ids, first, end):
             d = int(np.searchsorted(w.bounds, a, "right")) - 1
             at = int(a - w.bounds[d])
-            stats = self.automaton.stream(ids[a:b].tolist())
+            own = ids[a:b].tolist()
+            stats, after = self.automaton.stream(own), [*own[1:], 0]
             for i, (state, length) in enumerate(stats):
                 for k in self.phrases[state]:
                     if self.sizes[k] <= length:
                         places[d].append((at + i + 1 - self.sizes[k], k))
-                if length >= LEAST and (i + 1 == len(stats) or stats[i + 1][1] <= length):
-                    matches[d].append((at + i + 1, length, state))
+                if length >= LEAST:
+                    for k, place, most in self.places[state]:
+                        if place == self.sizes[k] or self.seqs[k][place] != after[i]:
+                            matches[d].append((at + i + 1, min(most, length), k, place))
         covered = [self._chain(m) for m in matches]
         base = [sorted({self.labels[k] for _, k in p}) for p in places]
         return {
             "n_words": w.counts(), "n_base": [len(p) for p in places],
             "first_word": [min(p)[0] if p else None for p in places], "last_word": [max(p)[0] if p else None for p in places],
             "base_labels": [",".join(b) for b in base],
-            "labels": [",".join(sorted({*b, *(self.labels[k] for k, c in cov.items() if self._enough(k, c))})) for b, cov in zip(base, covered)],
-            "score": [max([float(bool(b)), *(c / self.sizes[k] for k, c in cov.items())]) for b, cov in zip(base, covered)],
+            "labels": [",".join(sorted({*b, *(self.labels[k] for k, (c, *_) in cov.items() if self._enough(k, c))})) for b, cov in zip(base, covered)],
+            "score": [max([float(bool(b)), *(c / self.sizes[k] for k, (c, *_) in cov.items())]) for b, cov in zip(base, covered)],
+            "spans": [sorted({f"{x}:{y}:{self.labels[k]}" for k, (c, x, y) in cov.items() if self._enough(k, c)}) for cov in covered],
         }
 
     def _stretches(self, ids: np.ndarray, first: np.ndarray, end: np.ndarray):
@@ -190,20 +188,21 @@ class Scanner:
     def _enough(self, k: int, covered: int) -> bool:
         return covered == self.sizes[k] if self.sizes[k] < LONG else covered >= COVERED * self.sizes[k]
 
-    def _chain(self, matches: list[tuple[int, int, int]]) -> dict[int, int]:
-        """Template -> most of its words that a chain of matches covers. Only matches that end within GAP words before can be followed."""
-        best: dict[int, int] = {}
-        recent: dict[int, list[tuple[int, int, int]]] = {}  # template -> (text end, template end, covered)
-        for end, length, state in matches:
-            for k, at in self.automaton.ends[state]:
-                near = recent[k] = [x for x in recent.get(k, []) if x[0] + GAP >= end - length]
-                got = length
-                for text_end, template_end, had in near:
-                    overlap = max(0, text_end - (end - length), template_end - (at - length))
-                    if text_end < end and template_end < at and overlap < length:
-                        got = max(got, had + length - overlap)
-                near.append((end, at, got))
-                best[k] = max(best.get(k, 0), got)
+    def _chain(self, matches: list[tuple[int, int, int, int]]) -> dict[int, tuple[int, int, int]]:
+        """Template -> most of its words that a chain of matches covers, the chain's first word and end, the first such. Only matches that end within GAP words before can be followed."""
+        best: dict[int, tuple[int, int, int]] = {}
+        recent: dict[int, list[tuple[int, int, int, int]]] = {}  # template -> (text end, template end, covered, text start)
+        for end, length, k, at in matches:
+            recent[k] = [x for x in recent.get(k, []) if x[0] + GAP + self.sizes[k] >= end]  # no match is longer than its template
+            got, start = length, end - length
+            for text_end, template_end, had, began in recent[k]:
+                overlap = max(0, text_end - (end - length), template_end - (at - length))
+                near = text_end + GAP >= end - length
+                if near and text_end < end and template_end < at and overlap < length and had + length - overlap > got:
+                    got, start = had + length - overlap, began
+            recent[k].append((end, at, got, start))
+            if got > best.get(k, (0,))[0]:
+                best[k] = (got, start, end)
         return best
 
 
@@ -217,10 +216,10 @@ def _scanner(base: tuple, templates: tuple) -> Scanner:
 
 
 def license_scan(docs: DataFrame, base: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every document."""
-    known = tuple((BASE if base is None else base).items()), tuple(TEMPLATES if templates is None else templates)
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and spans ("first:end:label" of the words that cover a template) of every document."""
+    known = tuple((BASE if base is None else base).items()), tuple(TEXTS if templates is None else templates)
 
     def work(rest, texts):
         return {"doc_id": rest["doc_id"]} | _scanner(*known).scan(texts)
 
-    return map_units(pick(docs, "doc_id", "text"), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double", work)
+    return map_units(pick(docs, "doc_id", "text"), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<string>", work)

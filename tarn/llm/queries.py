@@ -55,7 +55,7 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(documents(spark, sf_dir))
+    return license_scan(documents(spark, sf_dir)).drop("spans")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
