@@ -4,11 +4,13 @@ Fitting counts hashed byte 3- and 4-grams of words and the scripts of letters in
 each language, over a sample of at most about ``PER_LANGUAGE`` labelled documents
 a language (chosen by a hash of doc_id; the only bound in this operator).
 
-A word's script narrows the languages it may belong to; letters outside SCRIPTS
-have a script bit of their own. Its score in each of
-these is the smoothed log-probability of its n-grams, and a Viterbi pass with a
+A word's script narrows the languages it may belong to (all, where none uses it);
+letters outside SCRIPTS have a script bit of their own. Only for these candidates
+is it scored, by the smoothed log-probability of its n-grams; any other language
+has the lowest of these scores less FOREIGN. A Viterbi pass with a
 penalty for switching labels the words of the whole text, all documents of a
-unit in step. A text's language is the one that most of its lettered words are
+unit in step. A very long text is labelled whole by one task, which holds a number
+for each word and language. A text's language is the one that most of its lettered words are
 labelled with, and its score their share.
 
 ``und`` with score 0 goes to null texts, to texts without a letter, and to all
@@ -50,10 +52,23 @@ SCRIPTS = {
     "arabic": [(0x600, 0x6FF), (0x750, 0x77F)],
     "devanagari": [(0x900, 0x97F)],
     "bengali": [(0x980, 0x9FF)],
+    "gurmukhi": [(0xA00, 0xA7F)],
+    "gujarati": [(0xA80, 0xAFF)],
+    "oriya": [(0xB00, 0xB7F)],
     "tamil": [(0xB80, 0xBFF)],
+    "telugu": [(0xC00, 0xC7F)],
+    "kannada": [(0xC80, 0xCFF)],
+    "malayalam": [(0xD00, 0xD7F)],
+    "sinhala": [(0xD80, 0xDFF)],
     "thai": [(0xE00, 0xE7F)],
+    "lao": [(0xE80, 0xEFF)],
+    "tibetan": [(0xF00, 0xFFF)],
+    "burmese": [(0x1000, 0x109F)],
     "georgian": [(0x10A0, 0x10FF)],
     "hangul": [(0x1100, 0x11FF), (0xAC00, 0xD7AF)],
+    "ethiopic": [(0x1200, 0x137F)],
+    "khmer": [(0x1780, 0x17FF)],
+    "mongolian": [(0x1800, 0x18AF)],
     "hiragana": [(0x3040, 0x309F)],
     "katakana": [(0x30A0, 0x30FF)],
     "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF)],
@@ -128,17 +143,30 @@ class Model:
             counts.append(np.diff(np.searchsorted(start, offsets)))
             if not len(start):
                 continue
-            n = end - start
-            each = self.three[three] + self.four[four]
-            s = np.add.reduceat(each, np.cumsum(n) - n, axis=0) / 2
             letter = script > 0
-            fits = (script[:, None] & self.scripts[None, :]) > 0
-            s -= np.where(fits | ~fits.any(1)[:, None], 0, np.float32(FOREIGN))
-            s[~letter] = 0
-            scores.append(s.astype(np.float32))
+            s = np.zeros((len(start), len(self.languages)), np.float32)
+            for bits in np.unique(script[letter]):
+                own = np.flatnonzero(script == bits)
+                s[own] = self._candidates(bits, own, end - start, three, four)
+            scores.append(s)
             lettered.append(letter)
         return np.concatenate(scores), np.concatenate(lettered), np.concatenate(([0], np.cumsum(np.concatenate(counts)))) if counts else np.zeros(1, np.int64)
 
+    def _candidates(self, bits: int, own: np.ndarray, n: np.ndarray, three: np.ndarray, four: np.ndarray) -> np.ndarray:
+        """Scores of the words ``own``, all of the scripts ``bits``; of all words' sizes ``n`` and their bytes' n-grams."""
+        fits = np.flatnonzero((self.scripts & bits) > 0)
+        fits = fits if len(fits) else np.arange(len(self.languages))
+        first, size = (np.cumsum(n) - n)[own], n[own]
+        at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        if len(fits) == len(self.languages):
+            each = self.three[three[at]] + self.four[four[at]]
+        else:
+            each = self.three[three[at][:, None], fits] + self.four[four[at][:, None], fits]
+        scored = np.add.reduceat(each, np.cumsum(size) - size, axis=0) / 2
+        out = np.repeat(scored.min(1, keepdims=True) - np.float32(FOREIGN), len(self.languages), axis=1)
+        out[:, fits] = scored
+        return out
+
     def label(self, scores: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Viterbi labels of all words, all documents in step, longest first."""
         size = np.diff(bounds)
@@ -295,6 +323,6 @@ def learn(docs: DataFrame, modulus: int = 4, remainder: int = 2) -> Model:
 
 
 def language_id(docs: DataFrame, modulus: int = 4, remainder: int = 2) -> DataFrame:
-    """Learn from documents whose crc32(doc_id) modulo ``modulus`` is not ``remainder``; doc_id, held_out, lang_pred, score of all."""
+    """Learn from documents whose crc32(doc_id) modulo ``modulus`` is not ``remainder``; doc_id, held_out, lang_pred, score and spans of all."""
     model = learn(docs, modulus, remainder)
-    return identify(docs, model).select("doc_id", F.coalesce(_held_out(modulus, remainder), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return identify(docs, model, spans=True).select("doc_id", F.coalesce(_held_out(modulus, remainder), F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")
