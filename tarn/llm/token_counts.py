@@ -6,6 +6,8 @@ executors a text's strings that match one count 1 without the tokenizer; only
 the rest are pre-tokenized and merged, a string once for as long as a worker's
 table holds it.
 
+The shortcut is for word-level files (``wordpieces.by_strings``); with any other
+tokenizer file the library counts whole texts. A very long text is counted whole.
 Null and empty texts have 0 bytes and 0 tokens. Special strings inside a text
 are handled as the library does by default. Extra columns are ignored; repeated
 rows give repeated results; an empty table gives none.
@@ -16,25 +18,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tarn.llm.shared import map_units, pick
-from tarn.llm.wordpieces import WordTable, whole_tokens
+from tarn.llm.wordpieces import Whole, WordTable, by_strings, whole_tokens
 
-_TABLES: dict[str, WordTable] = {}
+_TABLES: dict[str, WordTable | Whole] = {}
 
 
-def _table(tokenizer: str, proven: dict[bytes, int]) -> WordTable:
+def _table(tokenizer: str, proven: dict[bytes, int] | None) -> WordTable | Whole:
     """This worker's table; it outlives tasks."""
     if tokenizer not in _TABLES:
-        _TABLES[tokenizer] = WordTable(tokenizer, proven)
+        _TABLES[tokenizer] = Whole(tokenizer) if proven is None else WordTable(tokenizer, proven)
     return _TABLES[tokenizer]
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens) of every document."""
-    proven = docs.sparkSession.sparkContext.broadcast(whole_tokens(tokenizer))  # at most the vocabulary
+    proven = docs.sparkSession.sparkContext.broadcast(whole_tokens(tokenizer) if by_strings(tokenizer) else None)  # at most the vocabulary
 
     def work(rest, texts):
-        get = _table(tokenizer, proven.value).lookup()
-        n = [sum(map(get, t.split())) for t in texts]
+        n = _table(tokenizer, proven.value).values(texts)
         return {"doc_id": rest["doc_id"], "n_bytes": [len(t) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
 
     return map_units(pick(docs, "doc_id", "text"), "doc_id long, n_bytes long, n_tokens long, over_limit boolean", work)

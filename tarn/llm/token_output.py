@@ -1,8 +1,8 @@
 """Token-id output: shard files of separately compressed documents.
 
 A dictionary is trained once on serialized id arrays (a bounded sample:
-``SAMPLE_DOCS`` documents, those with the smallest hash of doc_id, at most
-``SAMPLE_BYTES`` of each). Documents are range-partitioned and sorted by doc_id,
+``SAMPLE_DOCS`` documents, those with the smallest hash of doc_id, of each as many
+evenly spaced pieces as ``SAMPLE_BYTES`` hold). It only sets how small the files are. Documents are range-partitioned and sorted by doc_id,
 so the files in name order and each file's documents in file order are in
 ascending doc_id order.
 
@@ -23,7 +23,8 @@ written by Spark's own text writer (a shard is a line, the closing mark the line
 end), so any file system that Spark writes to will do, and the commit protocol
 drops what a lost executor had begun.
 
-Null texts count as empty: the end id alone. Null doc_ids come first. Repeated
+Extra columns are ignored. A very long text is a frame like any other, held whole
+by one task. Null texts count as empty: the end id alone. Null doc_ids come first. Repeated
 rows are written each. An empty table gives an empty folder and no rows.
 """
 
@@ -39,13 +40,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.shared import Scratch, arrow_schema, batch, input_bytes, pick, ship, units
-from tarn.llm.wordpieces import WordTable, load
+from tarn.llm.wordpieces import Whole, WordTable, by_strings, load
 
 MAGIC, CLOSE = b"TARNIDS1", b"TARNEND1"
 HEAD = struct.Struct("<8sQ32sB3xI")
 ROW = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("null", "<u4"), ("n_tokens", "<u8")])
 #: Bound of the dictionary's sample, and of the dictionary.
-SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 512, 8192, 65536
+SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_PIECE, DICTIONARY_BYTES = 512, 8192, 512, 65536
 #: Input for one file, and the frames of a shard after which another begins.
 FILE_BYTES, SHARD_BYTES = 8 << 20, 32 << 20
 LEVEL = 3
@@ -55,16 +56,15 @@ GROUP = 1000
 _TABLES: dict = {}
 
 
-def _ids(tokenizer: str, kind: str) -> WordTable:
+def _ids(tokenizer: str, kind: str) -> WordTable | Whole:
     if (tokenizer, kind) not in _TABLES:
-        _TABLES[tokenizer, kind] = WordTable(tokenizer, {}, kind)
+        _TABLES[tokenizer, kind] = WordTable(tokenizer, {}, kind) if by_strings(tokenizer) else Whole(tokenizer, kind)
     return _TABLES[tokenizer, kind]
 
 
 def _serialized(texts: list[bytes], tokenizer: str, kind: str, end_id: int) -> list[bytes]:
-    get = _ids(tokenizer, kind).lookup()
     end = np.array([end_id], kind).tobytes()
-    return [b"".join(map(get, t.split())) + end for t in texts]
+    return [x + end for x in _ids(tokenizer, kind).values(texts)]
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, kind: str, end_id: int) -> bytes:
@@ -80,7 +80,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, kind: str, end_id: int) ->
     def run(batches):
         for _, texts in units(batches):
             for s in _serialized(texts, tokenizer, kind, end_id):
-                yield batch(arrow_schema("ids binary"), {"ids": [s[:SAMPLE_BYTES]]})
+                yield batch(arrow_schema("ids binary"), {"ids": [_pieces(s)]})
 
     found = docs.where(at <= first).select("text").mapInArrow(run, "ids binary").limit(2 * SAMPLE_DOCS).collect()
     sample = sorted(bytes(r[0]) for r in found)
@@ -90,6 +90,14 @@ def train_dictionary(docs: DataFrame, tokenizer: str, kind: str, end_id: int) ->
         return b"".join(sample)[:DICTIONARY_BYTES]
 
 
+def _pieces(ids: bytes) -> bytes:
+    """At most SAMPLE_BYTES of an array, from all over it."""
+    n = SAMPLE_BYTES // SAMPLE_PIECE
+    if len(ids) <= SAMPLE_BYTES:
+        return ids
+    return b"".join(ids[a : a + SAMPLE_PIECE] for a in (k * (len(ids) - SAMPLE_PIECE) // (n - 1) // 4 * 4 for k in range(n)))
+
+
 def _zstd(dictionary: bytes):
     import zstandard
 

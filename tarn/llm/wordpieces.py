@@ -1,8 +1,9 @@
-"""A public word-level BPE applied through its own library, one distinct
+"""A tokenizer file applied through its own library; a word-level BPE one distinct
 white-space-separated string at a time.
 
-The tokenizer's normaliser and pre-tokenizer never look across white space, so a
-text's ids are the ids of its strings in order. Splitting is on the six ASCII
+Where normaliser and pre-tokenizer are those below, they never look across white
+space (``by_strings`` says so of a file), so a text's ids are the ids of its strings
+in order; any other file's texts go to the library whole. Splitting is on the six ASCII
 white-space characters alone; any other white space stays inside a string, where
 the library deals with it. What a string encodes to is kept in a bounded table.
 """
@@ -10,6 +11,7 @@ the library deals with it. What a string encodes to is kept in a bounded table.
 from __future__ import annotations
 
 import array
+import json
 import os
 import re
 
@@ -25,6 +27,27 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+def by_strings(path: str) -> bool:
+    """Whether a text's ids are those of its strings between white space: the file's parts are those that this was shown for."""
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    model = d["model"]
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    apart = all(not any(t[k] for k in ("single_word", "lstrip", "rstrip", "normalized")) and not re.search(r"\s", t["content"]) for t in d["added_tokens"])
+    return plain and apart and (model["type"], model.get("end_of_word_suffix")) == ("BPE", "</w>") and (d["normalizer"], d["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER)
+
+
+class Whole:
+    """Texts through the library, whole: the counts of their ids, or the ids as bytes of ``kind``."""
+
+    def __init__(self, path: str, kind: str | None = None):
+        self.tok, self.code = load(path), {"<u2": "H", "<u4": "I"}.get(kind)
+
+    def values(self, texts: list[bytes]) -> list:
+        found = (self.tok.encode(t.decode(), add_special_tokens=False).ids for t in texts)
+        return [array.array(self.code, ids).tobytes() if self.code else len(ids) for ids in found]
+
+
 def whole_tokens(path: str) -> dict[bytes, int]:
     """The vocabulary strings that encode alone as one token, with its id, proved by encoding each.
 
@@ -53,8 +76,13 @@ def _byte_decoder() -> dict[str, int]:
 
 #: Strings of printable Latin-1 characters: composed already, and lower-cased alike everywhere.
 PLAIN = re.compile(rb"(?:[\x21-\x7e]|\xc2[\xa1-\xbf]|\xc3[\x80-\xbf])+").fullmatch
-#: The tokenizer file's pre-token pattern (a fixed value).
+#: The pre-token pattern, normaliser and pre-tokenizer of such a file (fixed values).
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": PRE_TOKENS}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
 
 
 class WordTable:
@@ -104,6 +132,11 @@ class WordTable:
             return self.join([get(p) or merged(p) for p in self.pieces(s.decode().lower())])
         return self._value(self.tok.encode(s.decode(), add_special_tokens=False).ids)
 
+    def values(self, texts: list[bytes]) -> list:
+        """Of each text: the count of its ids, or their bytes."""
+        get = self.lookup()
+        return [self.join(map(get, t.split())) for t in texts]
+
     def lookup(self):
         """string -> value, for a unit of texts."""
         if len(self.table) > TABLE_ENTRIES + len(self.start):

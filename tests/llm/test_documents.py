@@ -8,6 +8,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+from pyspark.sql import functions as F
+
 from tarn.llm import decontamination, exact_dedup, language_id, license_scan, lm_scoring, sentencepiece_codec, token_counts, token_output
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -96,6 +98,21 @@ def test_token_counts(docs, rows, library):
     assert got == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_any_tokenizer_file(docs, rows, file):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(file)
+    tok = Tokenizer.from_file(path)
+    more = "a  b\n c <|endoftext|> x\u00a0y\u2028z It's"
+    extra = docs.select("doc_id", "text").limit(1).selectExpr("cast(9000 as long) doc_id", f"'{more.replace(chr(39), chr(92) + chr(39))}' text")
+    n = lambda t: len(tok.encode(t or "", add_special_tokens=False).ids)
+    got = by_row(token_counts.token_counts(docs.select("doc_id", "text").unionByName(extra), path), "doc_id", "n_tokens")
+    assert got == sorted([*((d, n(t)) for d, t, *_ in rows), (9000, n(more))], key=repr)
+    ids = {r.doc_id: r.n_tokens for r in token_output.token_output(docs, path, 2).collect()}
+    assert ids == {d: n(t) + 1 for d, t, *_ in rows}
+
+
 def test_token_output(docs, rows, library):
     got = by_row(token_output.token_output(docs, WORD_BPE, 2), "doc_id", "start", "n_tokens", "ids_crc32")
     at, want = 0, []
@@ -157,6 +174,70 @@ def test_viterbi_equals_the_plain_one():
             assert abs(max(v) - total(got[a:b])) < 1e-3
 
 
+def test_language_by_brute_force(spark):
+    """lang_pred, score and spans again: n-grams, candidates and Viterbi, a word and a language at a time."""
+    import random
+
+    rng = random.Random(4)
+    pools = {"en": "the house and garden with water", "de": "das haus und der garten mit wasser", "ru": "дом и сад с водой мир", "el": "το σπίτι και ο κήπος"}
+    rows = [(k, " ".join(rng.choices(pools[lang].split(), k=12)), lang) for k, lang in enumerate([*pools] * 20)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = [None, "", "12 !?", "తెలుగు భాష", "the дом haus", "x" * 400]
+    for _ in range(60):
+        texts.append(" ".join(" ".join(rng.choices([*pools[rng.choice([*pools])].split(), "7", "日本", "Дом-house"], k=rng.randrange(1, 9))) for _ in range(rng.randrange(1, 5))))
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, spans=True).collect()}
+    bits = {x: 1 << k for k, x in enumerate(language_id.SCRIPTS)}
+    of = lambda c: sum(bits[x] for x, ranges in language_id.SCRIPTS.items() if any(a <= ord(c) <= b for a, b in ranges))
+    names = model.languages
+    for k, text in enumerate(texts):
+        words, letters = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").lower().encode()), []
+        score = []
+        for w in words:
+            m, own = b" " + w + b"  ", 0
+            for c in w.decode():
+                own |= of(c)
+            own = own or ((1 << language_id.OTHER) if any(c.isalpha() for c in w.decode()) else 0)
+            letters.append(own > 0)
+            total = np.zeros(len(names))
+            for i in range(len(w)):
+                three = ((m[i] * 0x01000193 ^ m[i + 1]) * 0x01000193 ^ m[i + 2]) & 0xFFFFFFFF
+                four = (three * 0x01000193 ^ m[i + 3]) & 0xFFFFFFFF
+                total += model.three[(three * 0x9E3779B1 & 0xFFFFFFFF) >> 16] + model.four[(four * 0x9E3779B1 & 0xFFFFFFFF) >> 16]
+            total = total / 2
+            fits = (model.scripts & own) > 0
+            fits = fits if fits.any() else np.ones(len(names), bool)
+            score.append(np.where(fits, total, total[fits].min() - language_id.FOREIGN) if own else np.zeros(len(names)))
+        if not any(letters):
+            assert (got[k].lang_pred, got[k].score, got[k].spans) == ("und", 0.0, [])
+            continue
+        v, back = score[0], []
+        for s in score[1:]:
+            jump = v.max() - language_id.SWITCH
+            back.append([int(v.argmax()) if jump > x else j for j, x in enumerate(v)])
+            v = np.maximum(v, jump) + s
+        path = [int(v.argmax())]
+        for b in reversed(back):
+            path.insert(0, b[path[0]])
+        votes = [sum(x == j for x, on in zip(path, letters) if on) for j in range(len(names))]
+        assert got[k].lang_pred == names[int(np.argmax(votes))], text
+        assert got[k].score == pytest.approx(max(votes) / sum(votes))
+        edge = [i for i in range(len(path)) if not i or path[i] != path[i - 1]] + [len(path)]
+        assert got[k].spans == [f"{a}:{b}:{names[path[a]]}" for a, b in zip(edge, edge[1:])]
+
+
+def test_texts_of_megabytes(spark, library):
+    """A text of 3 MB beside short ones, through what treats documents one by one."""
+    big = " ".join(f"word{k % 9973} under the MIT License" if k % 50_000 == 0 else f"w{k % 9973}" for k in range(500_000))
+    docs = spark.createDataFrame([(1, big), (2, "a short one"), (3, None)], "doc_id long, text string").withColumn("lang", F.lit("en"))
+    first = lambda df: df.where("doc_id = 1").first()
+    assert first(license_scan.license_scan(docs)).n_base == 10
+    assert first(language_id.language_id(docs)).lang_pred == "en"
+    assert first(exact_dedup.exact_dedup(docs)).text_sha256 == hashlib.sha256(big.replace(" ", "").encode()).hexdigest()
+    assert first(token_counts.token_counts(docs, WORD_BPE)).n_tokens == len(library(big)) == first(token_output.token_output(docs, WORD_BPE, 2)).n_tokens - 1
+    scored = first(lm_scoring.lm_scores(docs))
+    assert scored.n_tokens == len(big.split()) + 1 and np.isfinite(scored.score)
+
+
 def test_language_held_out(docs, rows):
     got = {r.doc_id: r.held_out for r in language_id.language_id(docs).collect()}
     assert all(got[d] == (zlib.crc32(str(d).encode()) % 4 == 2) for d, *_ in rows)
@@ -249,12 +330,59 @@ def test_license_places(docs, rows):
 
 
 def test_license_templates():
-    s = license_scan.Scanner(license_scan.BASE, license_scan.TEMPLATES)
+    s = license_scan.Scanner(license_scan.BASE, license_scan.TEXTS)
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"
+    full = dict(license_scan.TEXTS[:10])
     texts = [mit, mit.replace("to deal in", "to deal with"), "the GNU General Public License, version 3", "the gnu general public license version 2 of", "nothing of the kind", "Redistribution and use in source and binary forms only"]
+    texts += ["a b c " + full["bsd-2"] + " d e", full["mit"].replace("WITHOUT WARRANTY", "with no warranty")]
     got = s.scan([t.encode() for t in texts])
-    assert got["labels"] == ["mit", "mit", "gpl-3", "gpl-2", "", ""]
+    assert got["labels"] == ["mit", "mit", "gpl-3", "gpl-2", "", "", "bsd,bsd-2", "mit"]
     assert got["score"][0] == 1 and 0.9 <= got["score"][1] < 1 and got["score"][4] == 0 and 0 < got["score"][5] < 0.9
+    n = len(ALNUM.findall(lower(full["bsd-2"])))
+    assert f"3:{3 + n}:bsd-2" in got["spans"][6] and got["spans"][2] == ["0:7:gpl-3"] and got["spans"][4] == []
+
+
+def brute_labels(words, templates):
+    """Labels, score and spans: every end in the text against every end in every template, chains by trying all."""
+    best = {}
+    for number, (t, _) in enumerate(templates):
+        seen = []
+        for e, at in ((e, at) for e in range(1, len(words) + 1) for at in range(1, len(t) + 1)):
+            k = 0
+            while k < min(e, at) and words[e - 1 - k] == t[at - 1 - k]:
+                k += 1
+            if k < license_scan.LEAST or (e < len(words) and at < len(t) and words[e] == t[at]):
+                continue
+            got, start = k, e - k
+            for e2, at2, had, began in seen:
+                lap = max(0, e2 - (e - k), at2 - (at - k))
+                if e2 < e and at2 < at and lap < k and e2 + license_scan.GAP >= e - k and had + k - lap > got:
+                    got, start = had + k - lap, began
+            seen.append((e, at, got, start))
+            if got > best.get(number, (0,))[0]:
+                best[number] = (got, start, e)
+    enough = {n: b for n, b in best.items() if (b[0] == len(templates[n][0]) if len(templates[n][0]) < license_scan.LONG else b[0] >= license_scan.COVERED * len(templates[n][0]))}
+    return {templates[n][1] for n in enough}, max((b[0] / len(templates[n][0]) for n, b in best.items()), default=0.0), sorted({f"{x}:{y}:{templates[n][1]}" for n, (_, x, y) in enough.items()})
+
+
+def test_license_labels_by_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    known = [("mit", "a b c d e f g h i j k l"), ("gpl", "a b c x y z d e f g"), ("short", "x y z w"), ("part", "c d e f"), ("cc", "p q r p q r s t")]
+    rows = []
+    for k in range(250):
+        w = []
+        for _ in range(rng.randrange(6)):
+            t = rng.choice(known)[1].split()
+            i = rng.randrange(len(t))
+            w += t[i : i + rng.randrange(1, 13)] + rng.choices("abcdxyzpqr#", k=rng.randrange(4))
+        rows.append((k, " ".join(w)))
+    every = [*((p.split(), x) for p, x in license_scan.BASE.items()), *((t.split(), x) for x, t in known)]
+    for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), templates=known).collect():
+        labels, score, spans = brute_labels(ALNUM.findall(rows[r.doc_id][1]), every)
+        assert (r.labels, r.spans) == (",".join(sorted(labels)), spans), rows[r.doc_id]
+        assert r.score == pytest.approx(score)
 
 
 def test_automaton_matching_statistics():
