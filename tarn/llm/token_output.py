@@ -48,7 +48,7 @@ ROW = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("null"
 #: Bound of the dictionary's sample, and of the dictionary.
 SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_PIECE, DICTIONARY_BYTES = 512, 8192, 512, 65536
 #: Input for one file, and the frames of a shard after which another begins.
-FILE_BYTES, SHARD_BYTES = 8 << 20, 32 << 20
+FILE_BYTES, SHARD_BYTES = 4 << 20, 16 << 20
 LEVEL = 3
 #: Files whose token counts are first added up in parallel.
 GROUP = 1000
