@@ -34,6 +34,34 @@ def test_stages(spark, rows, folder):
     assert sorted(r.doc_id for r in c.run(spark, folder).collect()) == sorted(seen["sentencepiece"])
 
 
+def test_all_stages_by_brute_force(spark, rows, folder):
+    """The five stages again in plain Python."""
+    import re
+    import zlib
+
+    import corpus_pipeline as c
+    import numpy as np
+    import public_tokenizers
+    import sentencepiece
+    from test_pairs import brute_components
+
+    kept = [(d, t) for d, t, *_ in rows if t and re.search(r"[^\W\d_]", t)]
+    groups = {}
+    for d, t in kept:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t), []).append((-len(t), d, t))
+    kept = [min(g)[1:] for g in groups.values()]
+    parts = brute_components(kept)
+    kept = [(d, t) for d, t in kept if parts[d][1] == d]
+    words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    windows = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    item = words(rows[30][1][:200])
+    kept = [(d, t) for d, t in kept if not windows(words(t), 10) & windows(item, 10)]
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = sorted((d, len(i := lib.encode(t)), zlib.crc32(np.array(i, "<u4").tobytes())) for d, t in kept)
+    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in c.run(spark, folder).collect()) == want
+    assert 3 < len(want) < len(rows) - 10
+
+
 def test_clashing_columns_and_missing_ids(spark, docs, folder):
     import corpus_pipeline as c
     from pyspark.sql import functions as F
