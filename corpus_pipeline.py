@@ -23,7 +23,10 @@ BROADCAST_IDS = 4_000_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without a letter, or without text, go."""
+    """Documents with a language: those without a letter, or without text (null or empty), go, as do all where nothing can be learned.
+
+    Repeated rows are judged each; a very long text is judged whole; an empty table gives none.
+    """
     return recognised(docs, learn(docs))
 
 
@@ -44,7 +47,10 @@ def without(docs: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the longest original, then the smallest doc_id."""
+    """One document of each group of equal texts: the longest original, then the smallest doc_id.
+
+    Null texts are equal to empty ones; of rows alike in doc_id and text one stays; rows that share a doc_id, or have none, are told apart by their texts; an empty table gives none.
+    """
     scratch = Scratch(spark, "equal")
     rows = scratch.table(exact_dedup(docs).select("doc_id", "kept", "text_sha256"), "rows")
     by_id = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("kept").alias("kept"))
@@ -65,17 +71,26 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: the smallest doc_id."""
+    """One document of each component of near duplicates: the smallest doc_id.
+
+    Texts without words (null ones too) are near nothing; rows without a doc_id stay; a very long text is one set of shingles; an empty table gives none.
+    """
     return without(docs, jaccard_components(docs).where("doc_id != component_id").select("doc_id"), Scratch(spark, "near"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of a benchmark item."""
+    """Documents that hold no passage of a benchmark item.
+
+    Null texts hold none and null items are no passage; repeated rows are judged each; very long texts are searched whole; an empty table gives none, an empty benchmark leaves all.
+    """
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32, decoded and ids of every document."""
+    """doc_id, n_tokens, ids_crc32, decoded and ids of every document.
+
+    Null texts count as empty: no ids. Repeated rows are encoded each; giant texts in chunks; an empty table gives none.
+    """
     return encode(docs, vocabulary("piece_bpe_32k.model"))
 
 
@@ -87,7 +102,7 @@ STAGES = [
     ("sentencepiece", sentencepiece),
 ]
 
-#: Language identification and the model's encoding have no SQL form.
+#: Language identification and the model's encoding have no SQL form (tested against a plain version of all five stages).
 ORACLE_SQL = None
 
 
