@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm.blocks import answered, asked, blocks, bucket_bits, dealt, pieces, unpack_block, with_replies
 from tarn.llm.components import components
-from tarn.llm.shared import Scratch, arrow_schema, batch, trim
+from tarn.llm.shared import Scratch, arrow_schema, batch, rows_of, trim
 from tarn.llm.words import mix, shingles, words_of
 
 KIND = "spaced_lower"
@@ -302,6 +302,14 @@ def _each(batches):
     trim()
 
 
+def _sliced(batches):
+    """The batches in parts of which Python holds one at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, 512):
+            yield b.slice(at, 512)
+    trim()
+
+
 def _flat(ddl: str):
     """Rows of the int64 columns that a payload holds one after another."""
     schema = arrow_schema(ddl)
@@ -374,7 +382,7 @@ def _verify(pairs: DataFrame, sketches: DataFrame, table: DataFrame, join: Join,
 
         def screen(batches):
             schema = arrow_schema("a long, b long")
-            for b in batches:
+            for b in _sliced(batches):
                 x = b.to_pydict()
                 ok = [(min(p, q), max(p, q)) for p, q, m, n, s, t in zip(*x.values()) if join.near(m, n, abs(m - n)) and join.near(m, n, difference(s, t))]
                 yield batch(schema, {"a": [p for p, _ in ok], "b": [q for _, q in ok]})
@@ -404,7 +412,7 @@ def _verify(pairs: DataFrame, sketches: DataFrame, table: DataFrame, join: Join,
 
     def exact(batches):
         schema = arrow_schema("a long, b long")
-        for b in batches:
+        for b in _sliced(batches):
             x = b.to_pydict()
             ok = []
             for p, q, m, n, s, t in zip(x["a"], x["b"], x["n_a"], x["n_b"], x["set_a"], x["set_b"]):
@@ -412,7 +420,6 @@ def _verify(pairs: DataFrame, sketches: DataFrame, table: DataFrame, join: Join,
                 if join.den * both >= join.num * (m + n - both):
                     ok.append((p, q))
             yield batch(schema, {"a": [p for p, _ in ok], "b": [q for _, q in ok]})
-        trim()
 
     linked = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "set_a", "set_b").mapInArrow(exact, "a long, b long")
     linked = scratch.table(linked, f"{name}-links")
@@ -447,13 +454,11 @@ def _cross(large: DataFrame, labels: DataFrame, sketches: DataFrame, rows: DataF
 
     def test(batches):
         schema = arrow_schema("a long, b long")
-        keyed = (r for b in batches for r in b.to_pylist())
-        for (_, lo, hi), found in itertools.groupby(keyed, key=lambda r: (r["centre"], r["lo"], r["hi"])):
+        for (_, lo, hi), found in itertools.groupby(rows_of(batches), key=lambda r: (r["centre"], r["lo"], r["hi"])):
             rows = list(found)
             a, b = _screen([r for r in rows if r["k"] == lo], [r for r in rows if r["k"] == hi], lo == hi, join)
             if len(a):
                 yield batch(schema, {"a": np.minimum(a, b), "b": np.maximum(a, b)})
-        trim()
 
     tasks = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), sent // MOST_CHUNK)
     pairs = some.repartition(tasks, "centre", "lo", "hi").sortWithinPartitions("centre", "lo", "hi").mapInArrow(test, "a long, b long").distinct()

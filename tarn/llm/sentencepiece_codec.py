@@ -32,12 +32,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.shared import Scratch, arrow_schema, batch, map_units, pick, ship
+from tarn.llm.shared import Scratch, arrow_schema, batch, map_units, pick, rows_of, ship
 
 #: Characters beyond which a document is giant, and of its chunks.
 GIANT, CHUNK = 1 << 15, 1 << 13
 #: Units kept in a worker's table before it is emptied.
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 120_000
 BLANK = "▁"
 MINUS = np.float32(-np.inf)
 
@@ -304,24 +304,21 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     def cut(batches):
         schema = arrow_schema(PIECES)
         context = codec(model).longest
-        for b in batches:
-            for r in b.to_pylist():
-                for k, (text, left, right) in enumerate(chunks(r["text"], context)):
-                    yield batch(schema, {"gid": [r["gid"]], "doc_id": [r["doc_id"]], "k": [k], "text": [text], "left": [left], "right": [right]})
+        for r in rows_of(batches):
+            for k, (text, left, right) in enumerate(chunks(r["text"], context)):
+                yield batch(schema, {"gid": [r["gid"]], "doc_id": [r["doc_id"]], "k": [k], "text": [text], "left": [left], "right": [right]})
 
     table = scratch.table(giant.mapInArrow(cut, PIECES), "chunks")
 
     def matrices(batches):
         schema = arrow_schema("gid long, k int, rows int, matrix binary")
-        for b in batches:
-            for r in b.to_pylist():
-                m = Chunk(codec(model), r["text"], r["left"], r["right"]).matrix()
-                yield batch(schema, {"gid": [r["gid"]], "k": [r["k"]], "rows": [len(m)], "matrix": [m.tobytes()]})
+        for r in rows_of(batches):
+            m = Chunk(codec(model), r["text"], r["left"], r["right"]).matrix()
+            yield batch(schema, {"gid": [r["gid"]], "k": [r["k"]], "rows": [len(m)], "matrix": [m.tobytes()]})
 
     def states(batches):
         schema = arrow_schema("gid long, k int, start int, goal int")
-        every = (r for b in batches for r in b.to_pylist())
-        for gid, found in itertools.groupby(every, key=lambda r: r["gid"]):
+        for gid, found in itertools.groupby(rows_of(batches), key=lambda r: r["gid"]):
             path = scan([np.frombuffer(r["matrix"], np.float32).reshape(r["rows"], -1) for r in found])
             yield batch(schema, {"gid": [gid] * len(path), "k": list(range(len(path))), "start": [a for a, _ in path], "goal": [b for _, b in path]})
 
@@ -331,15 +328,13 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
 
     def traced(batches):
         schema = arrow_schema("gid long, doc_id long, k int, body string, ids binary")
-        for b in batches:
-            for r in b.to_pylist():
-                c = Chunk(codec(model), r["text"], r["left"], r["right"])
-                yield batch(schema, {"gid": [r["gid"]], "doc_id": [r["doc_id"]], "k": [r["k"]], "body": [r["text"][c.a : c.b]], "ids": [c.trace(r["start"], r["goal"])]})
+        for r in rows_of(batches):
+            c = Chunk(codec(model), r["text"], r["left"], r["right"])
+            yield batch(schema, {"gid": [r["gid"]], "doc_id": [r["doc_id"]], "k": [r["k"]], "body": [r["text"][c.a : c.b]], "ids": [c.trace(r["start"], r["goal"])]})
 
     def joined(batches):
         schema = arrow_schema(ENCODED)
-        every = (r for b in batches for r in b.to_pylist())
-        for (_, doc_id), found in itertools.groupby(every, key=lambda r: (r["gid"], r["doc_id"])):
+        for (_, doc_id), found in itertools.groupby(rows_of(batches), key=lambda r: (r["gid"], r["doc_id"])):
             got = list(found)
             text = "".join(r["body"] for r in got)[1:].replace(BLANK, " ")
             yield batch(schema, described([doc_id], [text], [b"".join(r["ids"] for r in got)]))

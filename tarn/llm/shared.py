@@ -100,6 +100,14 @@ def trim() -> None:
         give(0)
 
 
+def rows_of(batches: Iterator[pa.RecordBatch], at_once: int = 64) -> Iterator[dict]:
+    """The rows of batches, a few of them in Python at a time."""
+    for b in batches:
+        for a in range(0, b.num_rows, at_once):
+            yield from b.slice(a, at_once).to_pylist()
+    trim()
+
+
 def pick(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns of any name can't clash; dealt out to all cores where the scan has fewer splits than there are cores (a file of one row group is one split)."""
     found = docs.select(*(F.col(f"`{n}`") for n in names))

@@ -16,7 +16,7 @@ import os
 import re
 
 #: Strings kept in a worker's table before it is emptied.
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 250_000
 
 
 def load(path: str):
