@@ -219,8 +219,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
         often = total >= TOTAL
         yield -1, np.stack((low[first][often].astype(np.int64) | (bucket << COUNTED), total[often])).tobytes()
 
-    counts = answered(table, asked(table, occurring), added).select("payload").mapInArrow(_flat("shingle long, n long"), "shingle long, n long")
-    top = counts.orderBy(F.desc("n"), "shingle").limit(MOST).select("shingle").collect()
+    # written first: two Python steps in one stage are two workers a core
+    counts = scratch.table(answered(table, asked(table, occurring), added), "counts")
+    top = counts.select("payload").mapInArrow(_flat("shingle long, n long"), "shingle long, n long").orderBy(F.desc("n"), "shingle").limit(MOST).select("shingle").collect()
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in top], np.int64).astype(np.uint64)))  # at most MOST
 
     def sign(content, got):
@@ -260,7 +261,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
     pairs = groups.where("block = 0").select("payload").mapInArrow(_flat("a long, b long"), "a long, b long").distinct()
     verified = _verify(pairs, sketches, table, join, scratch, "first")
     large = scratch.table(groups.where("block = 1").select("payload").mapInArrow(_flat("centre long, gid long"), "centre long, gid long").distinct(), "large")
-    scratch.drop("groups")
+    scratch.drop("groups", "counts")
     labels = components(verified, scratch, "first")
     named = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("gid", "doc_id", "n", F.coalesce("label", "rep").alias("label"))
     rest = _cross(large, labels, sketches, rows, join, scratch)

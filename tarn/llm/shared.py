@@ -26,14 +26,19 @@ UNIT_BYTES = 4 << 20
 #: And of so many documents at most.
 UNIT_ROWS = 50_000
 
+#: Bytes of a batch that is sent to Python: the setting, what Spark has if it isn't set, and what is set here (executors hold a batch several times over).
+ARROW, ARROW_DEFAULT, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+
 _SHIPPED: set[str] = set()
 #: Folders of applications without a setting.
 _OWN_DIRS: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application."""
+    """Send this package to the executors, once for each application; bound the Arrow batches of the session where it doesn't say otherwise."""
     sc = spark.sparkContext
+    if spark.conf.get(ARROW) == ARROW_DEFAULT:
+        spark.conf.set(ARROW, ARROW_BYTES)
     if sc.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parents[1]
