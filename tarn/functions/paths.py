@@ -63,8 +63,13 @@ def parse_virtual_path(x: str) -> tuple[str, str] | None:
 
 
 def encoded_path(path: Column) -> Column:
-    """Percent-encoded, segment by segment."""
-    part = lambda x: F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))
+    """Percent-encoded, segment by segment, but for letters, digits and ``-_.!~*'()``."""
+    def part(x: Column) -> Column:
+        x = F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))
+        for sign in "!'()~":  # a form's encoding has these too
+            x = F.replace(x, F.lit(f"%{ord(sign):X}"), F.lit(sign))
+        return x
+
     return F.array_join(F.transform(F.split(path, "/"), part), "/")
 
 

@@ -133,12 +133,12 @@ def readable_ms(ms: Column) -> Column:
 
 
 def readable_eta(s: Column) -> Column:
-    """"45s", "3m 20s", "1h 5m"."""
-    s = s.cast("long")
+    """"45s", "3m 20s", "1h 5m": seconds are rounded, minutes of an hour are whole."""
+    whole, rounded = lambda x: F.floor(x).cast("long"), lambda x: F.floor(x + 0.5).cast("long")
     return (
-        F.when(s < 60, F.format_string("%ds", s))
-        .when(s < 3600, F.format_string("%dm %ds", F.floor(s / 60), s % 60))
-        .otherwise(F.format_string("%dh %dm", F.floor(s / 3600), F.floor((s % 3600) / 60)))
+        F.when(s < 60, F.format_string("%ds", rounded(s)))
+        .when(s < 3600, F.format_string("%dm %ds", whole(s / 60), rounded(s % 60)))
+        .otherwise(F.format_string("%dh %dm", whole(s / 3600), whole((s % 3600) / 60)))
     )
 
 

@@ -655,12 +655,27 @@ def format_markdown(spark, d):
     return _results(spark, d).select("doc_id", formatters.search_row("md").alias("row"))
 
 
-@query()
+@query(f"""WITH {RESULTS} SELECT doc_id, '{{"docid":"#' || docid || '","score":' || CAST(CAST(score AS DOUBLE) AS VARCHAR) || ',"file":' || to_json(file) || ',"line":3,"title":' || to_json(title)
+  || coalesce(',"context":' || to_json(context), '') || ',"snippet":' || to_json(snippet) || '}}' AS row FROM res""")
 def format_json(spark, d):
     return _results(spark, d).select("doc_id", formatters.search_row("json").alias("row"))
 
 
-@query()
+@query(f"""WITH {RESULTS}
+SELECT doc_id, sha256(row) AS row FROM (SELECT doc_id, {_csv("'#' || docid")} || ',' || {_csv('file')} || ',' || {_csv('title')} || ',' || CAST(CAST(score AS DOUBLE) AS VARCHAR) || ',' || {_csv('context')} || ',' || {_csv('snippet')} AS row FROM res)""")
+def format_mcp_csv(spark, d):
+    return _results(spark, d).select("doc_id", F.sha2(formatters.search_row("mcp"), 256).alias("row"))
+
+
+@query(f"""WITH {DOCS}, r AS (SELECT doc_id, collection || '/' || path AS file, title, body, length(body) > 3000 AS skipped FROM docs)
+SELECT doc_id,
+  sha256('{{"file":' || to_json(file) || ',"title":' || to_json(title) || CASE WHEN skipped THEN ',"skipped":true,"reason":"large"}}' ELSE ',"body":' || to_json(body) || '}}' END) AS json,
+  sha256({_csv('file')} || ',' || {_csv('title')} || ',,' || CAST(skipped AS VARCHAR) || ',' || CASE WHEN skipped THEN 'large' ELSE {_csv('body')} END) AS csv,
+  sha256(file || CASE WHEN skipped THEN ',[SKIPPED]' ELSE '' END) AS files,
+  sha256('## ' || file || chr(10) || chr(10) || '**Title:** ' || title || chr(10) || chr(10) || CASE WHEN skipped THEN '> large' || chr(10) ELSE '```' || chr(10) || body || chr(10) || '```' || chr(10) END) AS md,
+  sha256('  <document>' || chr(10) || '    <file>' || {_xml('file')} || '</file>' || chr(10) || '    <title>' || {_xml('title')} || '</title>' || chr(10)
+    || CASE WHEN skipped THEN '    <skipped>true</skipped>' || chr(10) || '    <reason>large</reason>' ELSE '    <body>' || {_xml('body')} || '</body>' END || chr(10) || '  </document>') AS xml
+FROM r""")
 def format_documents(spark, d):
     docs = documents(spark, d)
     rows = docs.select("doc_id", F.concat_ws("/", "collection", "path").alias("file"), "title", F.lit(None).cast("string").alias("context"), "body", (F.length("body") > 3000).alias("skipped"), F.lit("large").alias("skip_reason"))
@@ -824,16 +839,29 @@ SELECT query_id, CAST(greatest(0, raw) AS INTEGER) AS total, 140 AS max_possible
   CASE WHEN share >= 80 THEN 'Excellent' WHEN share >= 60 THEN 'Good' WHEN share >= 40 THEN 'Acceptable' WHEN share >= 20 THEN 'Poor' ELSE 'Failed' END AS rating, array_to_string(names, ',') AS entities FROM s"""
 
 
-@query(_rubric_sql())
-def rubric_score(spark, d):
+def _expansions(spark, d):
     words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
     part = lambda n, k: F.array_join(F.slice(words, 1 + 4 * k, n), " ")
     lines = [F.concat(F.lit(f"{t}: "), part(6 if t == "lex" else 12, k)) for t in ("lex", "vec", "hyde") for k in range(3)]
     rows = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), part(5, 0).alias("query"), F.array_join(F.array(*lines), "\n").alias("expansion"))
-    return expansion.rubric(rows).select("query_id", "score.total", "score.max_possible", "score.percentage", "score.rating", F.array_join("score.entities", ",").alias("entities"))
+    return expansion.rubric(rows)
 
 
-@query()
+@query(f"SELECT rating, count(*) AS n, round(avg(percentage), 4) AS mean_percentage FROM ({_rubric_sql()}) GROUP BY rating")
+def score_distribution(spark, d):
+    return expansion.score_distribution(_expansions(spark, d)).withColumn("mean_percentage", F.round("mean_percentage", 4))
+
+
+@query(_rubric_sql())
+def rubric_score(spark, d):
+    return _expansions(spark, d).select("query_id", "score.total", "score.max_possible", "score.percentage", "score.rating", F.array_join("score.entities", ",").alias("entities"))
+
+
+@query(rf"""WITH {CONV}, w AS (SELECT query, list_filter(regexp_split_to_array(query, '\s+'), lambda x: x <> '') AS w FROM c),
+n AS (SELECT *, len(w) AS n, list_filter(w, lambda x: length(x) > 1 AND NOT list_contains(string_split('the a an is are to for of in and or', ' '), lower(x)) AND regexp_matches(x, '^\p{{Lu}}|[.+0-9-]')) AS e FROM w)
+SELECT count(*) AS total, count(*) FILTER (n <= 2) AS short_queries, count(*) FILTER (n BETWEEN 3 AND 5) AS medium_queries, count(*) FILTER (n > 5) AS long_queries,
+  count(*) AS has_lex, CAST(0 AS BIGINT) AS has_vec, count(*) AS has_hyde, count(*) FILTER (4 * length(query) > 200) AS long_hyde, count(*) FILTER (len(e) > 0) AS named_entity_queries,
+  count(DISTINCT lower(query)) AS distinct_queries, count(*) - count(DISTINCT lower(query)) AS duplicate_queries FROM n""")
 def expansion_statistics(spark, d):
     pairs = F.array(F.struct(F.lit("lex").alias("type"), F.col("query").alias("text")), F.struct(F.lit("hyde").alias("type"), F.repeat("query", 4).alias("text")))
     return expansion.statistics(_conversations(spark, d).withColumn("output", pairs))
@@ -847,7 +875,13 @@ def chunk_documents(spark, d):
     return chunk_rows(content(spark, d)).select("hash", "seq", "pos", F.length("text").alias("n_chars"), "tokens", "total_chunks")
 
 
-@query()
+@query(f"""WITH {DOCS}, l AS (SELECT doc_id, string_split(body, chr(10)) AS rows FROM docs),
+s AS (SELECT *, list_transform(rows, lambda x: contains(lower(x), 'the')::INT + contains(lower(x), 'license')::INT) AS s FROM l),
+b AS (SELECT *, list_position(s, list_max(s)) AS best FROM s),
+t AS (SELECT *, greatest(1, best - 1) AS first, rows[greatest(1, best - 1) : best + 2] AS shown FROM b),
+x AS (SELECT *, array_to_string(shown, chr(10)) AS x, len(rows) - (first + len(shown) - 1) AS after FROM t)
+SELECT doc_id, CAST(best AS INTEGER) AS line, '@@ -' || first || ',' || len(shown) || ' @@ (' || (first - 1) || ' before, ' || after || ' after)' || chr(10) || CASE WHEN length(x) > 500 THEN substr(x, 1, 497) || '...' ELSE x END AS snippet,
+  CAST(first - 1 AS INTEGER) AS lines_before, CAST(after AS INTEGER) AS lines_after, CAST(len(shown) AS INTEGER) AS snippet_lines FROM x""")
 def extract_snippet(spark, d):
     return documents(spark, d).select("doc_id", snippets(F.col("body"), F.lit("the license")).alias("s")).select("doc_id", "s.*")
 

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tarn import retrieval_queries
+from tarn import function_queries, retrieval_queries  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "documents embeddings benchmark labels conversations".split()
