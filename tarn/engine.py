@@ -257,9 +257,9 @@ class Engine:
         self.models.cache.update({k: [tuple(x) for x in v] if isinstance(v, list) else v for k, v in kept.items()})
         return len(kept)
 
-    def check_embeddings(self, n: int = 20) -> DataFrame:
-        """A sample of stored vectors against vectors made anew."""
-        some = vectors.sample(self.tables.read("vectors"), n)
+    def check_embeddings(self, n: int = 20, of: DataFrame | None = None) -> DataFrame:
+        """A sample of stored vectors (or of those given) against vectors made anew."""
+        some = vectors.sample(self.tables.read("vectors") if of is None else of, n)
         chunks = chunk_rows(self.tables.read("content").join(some.select("hash").distinct(), "hash", "left_semi").select("hash", "doc"))
         titles = maintenance.active(self.tables.read("documents")).groupBy("hash").agg(F.min("title").alias("title"))
         rows = chunks.join(some.select("hash", "seq"), ["hash", "seq"]).join(titles, "hash").collect()  # n at most
@@ -268,6 +268,17 @@ class Engine:
         fresh = self.spark.createDataFrame([(r["hash"], r["seq"], v) for r, v in zip(rows, again)], "hash string, seq int, embedding array<double>")
         return vectors.check_samples(some, fresh)
 
+    def adopt_embeddings(self, n: int = 20) -> bool:
+        """Take over the model's chunks that name no fingerprint, if a sample of their vectors comes out the same anew; else they stay pending."""
+        name = self.models.embedder.name
+        chunks, unnamed = self.tables.read("chunks"), (F.col("model") == name) & (F.coalesce("fingerprint", F.lit("")) == "")
+        own = self.tables.read("vectors").join(chunks.where(unnamed).select("hash", "seq"), ["hash", "seq"], "left_semi")
+        found = self.check_embeddings(n, own).collect()  # n at most
+        if not found or not all(r["ok"] for r in found):
+            return False
+        self.tables.commit(chunks=chunks.withColumn("fingerprint", F.when(unnamed, providers.fingerprint(name)).otherwise(F.col("fingerprint"))))
+        return True
+
     def snippet_of(self, found: plans.Found, query: str, most: int = 500, intent: str | None = None) -> Snippet:
         return snippet(found.body, query, most, found.best_chunk_pos, len(found.best_chunk) or None, intent)
 

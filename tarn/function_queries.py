@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import paths as P
 from tarn.functions import text as T
-from tarn.operators import expansion, fusion, lookup, maintenance
+from tarn.operators import expansion, formatters, fusion, lookup, maintenance
 from tarn.retrieval_queries import DOCS, documents, query, table
 
 
@@ -107,6 +107,12 @@ def detected_collections(spark, d):
     return rows(spark, d).select("doc_id", lookup.collection_of(_one_of(*SPELLINGS), roots).alias("collection"))
 
 
+@query(f"WITH {DOCS} SELECT doc_id, path FROM docs WHERE active AND doc_id > 17 ORDER BY doc_id LIMIT 500")
+def keyset_page(spark, d):
+    """The page of documents after a known one."""
+    return maintenance.page(documents(spark, d), "doc_id", 17).select("doc_id", "path")
+
+
 # numbers and times
 
 TENTH = "printf('%.1f', floor({} * 10 + 0.5) / 10)"
@@ -127,6 +133,13 @@ def readable_numbers(spark, d):
     )
 
 
+@query(f"WITH {DOCS} SELECT doc_id, '#' || substr(hash, 1, 6) || ' ' || CAST(doc_id % 101 AS VARCHAR) || '% ' || collection || '/' || path || ' - ' || title AS row FROM docs")
+def summary_rows(spark, d):
+    """Results as lines for people."""
+    docs = documents(spark, d).withColumns({"docid": P.docid(F.col("hash")), "score": F.col("doc_id") % 101 / 100, "file": F.concat_ws("/", "collection", "path")})
+    return docs.select("doc_id", formatters.summary_row().alias("row"))
+
+
 # texts
 
 

@@ -63,6 +63,24 @@ def search_row(fmt: str, full: bool = False, line_numbers: bool = False) -> Colu
     raise ValueError(f"unknown format: {fmt}")
 
 
+def percent(score: Column) -> Column:
+    """A score as whole percents, a half rounded up."""
+    return F.floor(score * 100 + 0.5).cast("long")
+
+
+def summary_row() -> Column:
+    """A result as a line of a summary: id, percents, file, title."""
+    return F.concat(F.lit("#"), F.col("docid"), F.lit(" "), percent(F.col("score")).cast("string"), F.lit("% "), F.col("file"), F.lit(" - "), F.coalesce("title", F.lit("")))
+
+
+def search_summary(rows: DataFrame, query: str) -> str:
+    """A page of shown rows as a summary for people."""
+    lines = [r[0] for r in rows.select(summary_row()).collect()]
+    if not lines:
+        return f'No results found for "{query}"'
+    return "\n".join([f'Found {len(lines)} result{"s" if len(lines) > 1 else ""} for "{query}":\n', *lines])
+
+
 def document_row(fmt: str) -> Column:
     """A document as text. Columns: file, title, context, body, skipped, skip_reason."""
     file, title, context, skipped = F.col("file"), F.col("title"), F.col("context"), F.col("skipped")

@@ -103,6 +103,7 @@ def fingerprint_census(chunks: DataFrame) -> DataFrame:
 
 def batches(rows: DataFrame, most_docs: int = 64, most_bytes: int = 64 << 20) -> DataFrame:
     """Pending bodies with a batch number: a greedy fill by count and bytes inside each partition, in the order of rows."""
+    positive("most_docs", most_docs), positive("most_bytes", most_bytes)
     ddl = "hash string, path string, n_bytes long, partition int, batch int"
 
     def run(frames):
@@ -154,6 +155,18 @@ def newest(cache: DataFrame, keep: int = 1000) -> DataFrame:
     return cache.orderBy(F.desc("created_at"), "cache_key").limit(keep)
 
 
+def page(docs: DataFrame, key: str, after: int, most: int = 500) -> DataFrame:
+    """The next page of active documents in the order of ``key``, from the last key of the page before: a filter that reaches the scan and a top-k, whatever lies before it."""
+    return active(docs).where(F.col(key) > after).orderBy(key).limit(positive("most", most))
+
+
+def positive(name: str, value: int) -> int:
+    """The value of an option that must be a whole number from 1."""
+    if not isinstance(value, int) or isinstance(value, bool) or value < 1:
+        raise ValueError(f"{name} must be a positive integer")
+    return value
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new`` in place of those of ``old`` with the same keys."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)

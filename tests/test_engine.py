@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarn.engine import Engine, EngineError
 from tarn.sources import files
@@ -144,6 +145,12 @@ def test_benchmark_fixture(spark, notes, tmp_path):
     with pytest.raises(FixtureError):
         run_fixture(spark, e._searched(), e.models, f)
     assert e.check_embeddings().where("NOT ok").count() == 0
+    assert not e.adopt_embeddings()  # all of them name their fingerprint
+    unnamed, own = e.tables.read("chunks").withColumn("fingerprint", F.lit("")), e.tables.read("vectors")
+    e.tables.commit(chunks=unnamed, vectors=own.withColumn("embedding", F.reverse("embedding")))
+    assert e.pending().count() and not e.adopt_embeddings() and e.pending().count()  # these vectors are others
+    e.tables.commit(vectors=e.tables.read("vectors").withColumn("embedding", F.reverse("embedding")))
+    assert e.adopt_embeddings() and not e.pending().count()
     e.search("databases")
     e.save_cache()
     n = len(e.models.cache)

@@ -48,6 +48,7 @@ def test_virtual_paths(one):
     assert P.parse_virtual_path("c/a.md") is None
     assert one(P.virtual_path(F.lit("c"), F.lit("a b.md"))) == "tarn://c/a b.md"
     assert one(P.encoded_path(F.lit("a b/ü+.md"))) == "a%20b/%C3%BC%2B.md"
+    assert one(P.encoded_path(F.lit("it's (a)~!*/&.md"))) == "it's%20(a)~!*/%26.md"
 
 
 def test_paths(one):
@@ -82,7 +83,7 @@ def test_readable(one):
     assert [one(T.time_ago(at(0), at(s))) for s in (5, 61, 7200, 200_000)] == ["5s ago", "1m ago", "2h ago", "2d ago"]
     assert one(T.days_since(at(0), at(86400 * 3 + 5))) == 3
     assert [one(T.readable_bytes(F.lit(n))) for n in (5, 1536, 3 << 20)] == ["5 B", "1.5 KB", "3.0 MB"]
-    assert [one(T.readable_ms(F.lit(n))) for n in (250, 1500)] == ["250ms", "1.5s"] and [one(T.readable_eta(F.lit(n))) for n in (45, 200, 3900)] == ["45s", "3m 20s", "1h 5m"]
+    assert [one(T.readable_ms(F.lit(n))) for n in (250, 1500)] == ["250ms", "1.5s"] and [one(T.readable_eta(F.lit(n))) for n in (45, 59.4, 59.6, 200.5, 3900)] == ["45s", "59s", "60s", "3m 21s", "1h 5m"]
     assert one(T.csv_field(F.lit('a"b'))) == '"a""b"' and one(T.csv_field(F.lit(None))) == "" and one(T.xml_text(F.lit("<a & 'b'>"))) == "&lt;a &amp; &apos;b&apos;&gt;"
 
 

@@ -122,12 +122,25 @@ def test_contexts_and_resolution(spark):
     assert r == {"x.md": ("ambiguous", None), "a/x.md": ("found", "a/x.md"), "tarn://d/y.md": ("found", "y.md"), "#abcdef": ("found", "y.md"), "no": ("missing", None), "c/b/x.md": ("found", "b/x.md")}
 
 
+def test_pages(spark):
+    docs = spark.createDataFrame([(i, i % 3 > 0) for i in range(1, 10)], "id long, active boolean")
+    seen, after = [], 0
+    while some := [r.id for r in maintenance.page(docs, "id", after, 4).collect()]:
+        seen, after = seen + [some], some[-1]
+    assert seen == [[1, 2, 4, 5], [7, 8]]
+    for n in (0, -1, 1.5, True):
+        with pytest.raises(ValueError):
+            maintenance.page(docs, "id", 0, n)
+
+
 def test_formats(spark):
     row = spark.createDataFrame([("abc123", 0.5, "c/a.md", 'T "q"', "ctx", 3, "l1\nl2")], "docid string, score double, file string, title string, context string, line int, snippet string")
     assert formatters.format_search(row, "csv").split("\n")[1] == '#abc123,0.5000,c/a.md,"T ""q""",ctx,3,"l1'
     assert formatters.format_search(row, "files") == '#abc123,0.50,c/a.md,"ctx"'
     assert '<file docid="#abc123" name="c/a.md" title="T &quot;q&quot;" context="ctx">\nl1\nl2\n</file>' == formatters.format_search(row, "xml")
     assert "1: l1\n2: l2" in formatters.format_search(row, "md", line_numbers=True)
+    assert formatters.search_summary(row, "q") == 'Found 1 result for "q":\n\n#abc123 50% c/a.md - T "q"'
+    assert formatters.search_summary(row.where("false"), "q") == 'No results found for "q"'
     none = row.where("false")
     assert [formatters.format_search(none, f) for f in ("json", "xml", "md")] == ["[]", "<results></results>", ""]
     assert formatters.format_search(none, "csv") == "docid,score,file,title,context,line,snippet"
