@@ -60,4 +60,50 @@ WITH t AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM w
 """
 
-SQL = {"op3_ngram_jaccard": OP3, "op5_decontamination": OP5, "op8_substring_dedup": OP8, "op9_exact_dedup": OP9}
+FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0"
+
+OP12 = f"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND {FINITE}),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE same),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score WHERE p.r <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
+def _codes_sql() -> str:
+    """Rounds of assignment and floor means over (vector, part, component) rows."""
+    sql = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, row_number() OVER (ORDER BY vec_id) - 1 AS pos
+  FROM embeddings WHERE {FINITE}),
+flat AS (SELECT vec_id, pos, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS d, len(v) // 8 AS w FROM kept),
+x AS MATERIALIZED (SELECT vec_id, pos, d // w AS part, d % w AS d, x FROM flat),
+c0 AS MATERIALIZED (SELECT part, pos AS entry, d, x FROM x WHERE pos < 16)"""
+    for k in range(7):
+        sql += f""",
+f{k} AS (SELECT x.vec_id, x.part, c.entry, sum((x.x - c.x) * (x.x - c.x)) AS far FROM x JOIN c{k} c ON c.part = x.part AND c.d = x.d GROUP BY ALL),
+a{k} AS MATERIALIZED (SELECT vec_id, part, min_by(entry, (far, entry)) AS entry, min(far) AS far FROM f{k} GROUP BY ALL)"""
+        if k < 6:
+            sql += f""",
+m{k} AS (
+  SELECT a.part, a.entry, x.d, CASE WHEN sum(x.x) >= 0 OR sum(x.x) % count(*) = 0 THEN sum(x.x) // count(*) ELSE sum(x.x) // count(*) - 1 END AS x
+  FROM x JOIN a{k} a ON a.vec_id = x.vec_id AND a.part = x.part GROUP BY ALL),
+c{k + 1} AS MATERIALIZED (SELECT c.part, c.entry, c.d, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN m{k} m ON m.part = c.part AND m.entry = c.entry AND m.d = c.d)"""
+    return sql + """,
+book AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, d)) AS h FROM c6),
+code AS (SELECT vec_id, string_agg(printf('%02x', CAST(entry AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM a6 GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM code JOIN kept USING (vec_id), book
+"""
+
+
+OP13 = _codes_sql()
+
+SQL = {"op3_ngram_jaccard": OP3, "op5_decontamination": OP5, "op8_substring_dedup": OP8, "op9_exact_dedup": OP9, "op12_hard_negatives": OP12, "op13_vector_codes": OP13}

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarn.llm.decontamination import leak_report
 from tarn.llm.exact_dedup import exact_dedup
+from tarn.llm.fingerprints import fingerprints
+from tarn.llm.hard_negatives import hard_negatives
 from tarn.llm.jaccard_join import jaccard_components
 from tarn.llm.language_id import language_id
 from tarn.llm.license_scan import license_scan
@@ -17,6 +19,7 @@ from tarn.llm.sentencepiece_codec import encode
 from tarn.llm.substring_dedup import repeated_passages
 from tarn.llm.token_counts import token_counts
 from tarn.llm.token_output import token_output
+from tarn.llm.vector_codes import vector_codes
 
 
 def vocabulary(name: str) -> str:
@@ -30,6 +33,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir), modulus=4, remainder=2)
 
@@ -70,8 +77,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), limit=2048)
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(embeddings(spark, sf_dir), every=100, wrong=7, classes=10, scale=256.0, k=5)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(embeddings(spark, sf_dir), parts=8, entries=16, rounds=6, scale=4096.0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_ngram_jaccard, op4_token_output, op5_decontamination, op6_lm_scoring, op7_license_scan, op8_substring_dedup, op9_exact_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_ngram_jaccard, op4_token_output, op5_decontamination, op6_lm_scoring, op7_license_scan, op8_substring_dedup, op9_exact_dedup, op10_token_counts, op11_fingerprints, op12_hard_negatives, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
