@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tarn import providers
 from tarn.functions import paths as P
-from tarn.operators import bm25, lookup, maintenance, vectors
+from tarn.operators import bm25, lookup, maintenance, segments, vectors
 from tarn.operators.chunking import chunk_rows
 from tarn.operators.snippets import Snippet, snippet
 from tarn.plans import search as plans
@@ -145,22 +145,32 @@ class Engine:
         self.tables.drop_staged()
         return total
 
-    def _terms(self, docs: DataFrame, content: DataFrame) -> dict[str, DataFrame]:
-        """The keyword index' tables for these documents and bodies. What the index has of documents that are as they were is kept; only the others are cut into terms."""
+    def _terms(self, docs: DataFrame, content: DataFrame) -> dict[str, list]:
+        """The keyword index' segments for these documents and bodies: one more, of what changed, and perhaps one in the place of several. Nothing of an unchanged document is read."""
         keyed = lambda x: maintenance.active(x).select(F.xxhash64("collection", "path").alias("doc_id"), "collection", "path", "title", "hash")
+        bodies = lambda d, c: d.join(c.select("hash", F.col("doc").alias("body")), "hash")
         old, new, same = keyed(self.tables.read("documents")), keyed(docs), ["doc_id", "title", "hash"]
-        gone = old.join(new.select(same), same, "left_anti").select("doc_id")
-        fresh = new.join(old.select(same), same, "left_anti").join(content.select("hash", F.col("doc").alias("body")), "hash")
-        added = bm25.Postings.build(fresh, self.analyzer)
-        kept = lambda t: self.tables.read(t).join(gone, "doc_id", "left_anti")
-        return {"postings": kept("postings").unionByName(added.postings), "lengths": kept("lengths").unionByName(added.lengths())}
+        gone = self.tables.staged(bodies(old.join(new.select(same), same, "left_anti"), self.tables.read("content")))
+        fresh = self.tables.staged(bodies(new.join(old.select(same), same, "left_anti"), content))
+        known = self.tables.segments()
+        if fresh.isEmpty() and gone.isEmpty():
+            return {"segments": known}
+        number = known[-1][0] + 1 if known else 1
+        paired = list(self.tables.read_segments(known[:1])["totals"].first()["paired"] or []) if known else segments.paired_words(fresh, self.analyzer)
+        known = [*known, self.tables.write_segment(number, segments.made(fresh, gone, self.analyzer, number, paired, gone.select("doc_id")))]
+        run = segments.to_merge([(n, size) for n, _, size in known])
+        if run:
+            tables = self.tables.read_segments([k for k in known if k[0] in run])
+            one = self.tables.write_segment(run[-1], segments.merged(tables, run, run[0] == known[0][0]))
+            known = [*(k for k in known if k[0] not in run), one]
+        return {"segments": known}
 
     def _searched(self) -> plans.Index:
-        docs = maintenance.active(self.tables.read("documents")).withColumn("doc_id", F.xxhash64("collection", "path"))
-        chunks, stored = self.tables.read("chunks"), self.tables.read("vectors")
+        tables = self.tables.pinned()
+        docs = maintenance.active(tables.read("documents")).withColumn("doc_id", F.xxhash64("collection", "path"))
+        chunks, stored = tables.read("chunks"), tables.read("vectors")
         placed = stored.join(chunks.select("hash", "seq", "pos"), ["hash", "seq"])
-        terms = bm25.Postings(self.tables.read("postings"), self.tables.read("lengths"))
-        return plans.Index(docs, self.tables.read("content"), terms, placed, self.analyzer)
+        return plans.Index(docs, tables.read("content"), tables.keyword_index(), placed, self.analyzer)
 
     def pending(self) -> DataFrame:
         e = self.models.embedder

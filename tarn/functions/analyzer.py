@@ -2,7 +2,7 @@
 
 ``simple`` lower-cases and keeps runs of letters and digits, all in the JVM.
 ``porter`` also folds diacritics and applies Porter's suffix stripping (M. F.
-Porter, 1980), in an Arrow batch of distinct words at a time.
+Porter, 1980), once for each distinct word of an Arrow batch.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,8 +109,15 @@ def terms(text: Column, analyzer: str = "simple") -> Column:
     if analyzer != "porter":
         raise ValueError(f"unknown analyzer: {analyzer}")
 
-    @F.pandas_udf("array<string>")
-    def stemmed(words):
-        return words.map(lambda ws: [stem(folded(w)) for w in ws])
+    return F.arrow_udf(stemmed, "array<string>")(found)
 
-    return stemmed(found)
+
+def stemmed(words: pa.Array) -> pa.Array:
+    """The stems of arrays of words: each distinct word of a batch is stemmed once, all else is done on dictionary codes."""
+    flat = words.flatten().dictionary_encode()
+    if isinstance(flat, pa.ChunkedArray):
+        flat = flat.combine_chunks()
+    stems = pa.array([stem(folded(w)) for w in flat.dictionary.to_pylist()], pa.string())
+    sizes = pc.fill_null(pc.list_value_length(words), 0)
+    offsets = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(sizes).cast(pa.int32())])
+    return pa.ListArray.from_arrays(offsets, stems.take(flat.indices))

@@ -110,6 +110,11 @@ def occurrences(array: Column, p: Phrase) -> Column:
     return F.size(F.filter(array, here))
 
 
+def moved(places: Column, back: int) -> Column:
+    """Where a phrase would have to start for its word number ``back`` to be at these places."""
+    return F.transform(places, lambda x: x - back)
+
+
 @dataclass
 class Postings:
     """An inverted index: postings (term, doc_id, dl, places) and lengths (doc_id, dl), from which only two sums are read."""
@@ -142,8 +147,10 @@ class Postings:
         weight = lambda x: reduce(lambda rest, kw: F.when(x < (kw[0] + 1) * FIELD, kw[1]).otherwise(rest), reversed(list(enumerate(WEIGHTS.values()))), F.lit(0.0))
 
         def weighted(k: int, p: Phrase) -> Column:
-            near = lambda x: _all([F.lit(True), *(F.array_contains(F.col(f"p{k}_{i}"), x + i) for i in range(1, len(p.tokens)))])
-            return F.aggregate(F.filter(F.col(f"p{k}_0"), near), F.lit(0.0), lambda a, x: a + weight(x))
+            if len(p.tokens) == 1:
+                return F.aggregate(F.col(f"p{k}_0"), F.lit(0.0), lambda a, x: a + weight(x))
+            starts = [moved(F.col(f"p{k}_{i}"), i) for i in range(len(p.tokens))]
+            return F.aggregate(reduce(F.array_intersect, starts), F.lit(0.0), lambda a, x: a + weight(x))
 
         per_doc = rows.groupBy("doc_id").agg(F.first("dl").alias("dl"), *places.values())
         return per_doc.select("doc_id", "dl", F.array(*(weighted(k, p) for k, p in enumerate(phrases))).alias("f"))
@@ -155,6 +162,8 @@ class Postings:
 
 def matches(index: Scan | Postings, plan: LexPlan) -> DataFrame:
     """doc_id, raw BM25 and score x / (1 + x) of the documents with every positive phrase and no negative group."""
+    if hasattr(index, "best"):
+        return index.best(plan, None)
     size = len(plan.positive)
     known = index.statistics(plan.positive)
     rows = index.frequencies([*plan.positive, *(p for group in plan.negative for p in group)], size)
@@ -177,6 +186,9 @@ def search(index: Scan | Postings, docs: DataFrame, plan: LexPlan | None, limit:
         return wanted.where(F.lit(False)).withColumn("score", F.lit(0.0))
     if collections:
         wanted = wanted.where(F.col("collection").isin(collections))
+    elif hasattr(index, "best"):  # an index of whole segments: the best first, then what is told of them
+        found = index.best(plan, limit)
+        return wanted.join(F.broadcast(found), "doc_id").orderBy(F.desc(F.round("score", 12)), "doc_id").select("doc_id", "collection", "path", "title", "hash", "score")
     found = matches(index, plan).join(wanted, "doc_id")
     return found.orderBy(F.desc(F.round("score", 12)), "doc_id").limit(limit).select("doc_id", "collection", "path", "title", "hash", "score")
 

@@ -62,6 +62,38 @@ def similar(docs: DataFrame, name: str, most: int = NEAR, limit: int = SIMILAR)
     return docs.select("path", d.alias("distance")).where("distance >= 0").orderBy("distance", "path").limit(limit)
 
 
+def similar_names(docs: DataFrame, names: DataFrame, most: int = NEAR, limit: int = SIMILAR) -> DataFrame:
+    """name, path, distance: for each of ``names`` (name) the nearest distinct paths, as ``similar`` finds them one by one.
+
+    A path within ``most`` edits of a name keeps at least one of its ``most`` + 1 equal
+    pieces, moved by at most ``most`` places; so paths and names meet on (length, number,
+    piece), and only those that do are compared. A path sends one row a piece, a name one
+    for each length, piece and place it may have (under (2 most + 1)**2 (most + 1), fewer as
+    equal ones are sent once).
+    """
+    pieces, far = most + 1, F.sequence(F.lit(-most), F.lit(most))
+
+    def start(length: Column, k: Column) -> Column:
+        return F.floor(length * k / pieces).cast("int")
+
+    def piece(text: Column, length: Column, k: Column, moved: Column) -> Column:
+        a, b = start(length, k), start(length, k + 1)
+        return F.when(a + moved >= 0, F.substring(text, a + moved + 1, b - a))
+
+    number = F.sequence(F.lit(0), F.lit(most))
+    have = docs.select("path", F.lower("path").alias("low")).distinct().withColumn("length", F.char_length("low")).withColumn("k", F.explode(number))
+    have = have.select("path", "low", "length", "k", piece(F.col("low"), F.col("length"), F.col("k"), F.lit(0)).alias("piece"))
+    want = names.select("name", F.lower("name").alias("asked")).distinct().withColumn("length", F.explode(F.transform(far, lambda x: F.char_length("asked") + x))).where("length >= 0")
+    want = want.withColumn("k", F.explode(number)).withColumn("moved", F.explode(far))
+    want = want.select("name", "asked", "length", "k", piece(F.col("asked"), F.col("length"), F.col("k"), F.col("moved")).alias("piece"))
+    # a piece that the name is too short for isn't whole
+    want = want.where(F.char_length("piece") == start(F.col("length"), F.col("k") + 1) - start(F.col("length"), F.col("k"))).distinct()
+    close = have.join(want, ["length", "k", "piece"]).select("name", "path", F.levenshtein("low", "asked", most).alias("distance")).where("distance >= 0").distinct()
+    order = F.struct("distance", "path")
+    return close.groupBy("name").agg(F.slice(F.sort_array(F.collect_list(order)), 1, limit).alias("d")).select("name", F.explode("d").alias("d")).select("name", "d.path", "d.distance")
+
+
+
 def by_globs(docs: DataFrame, mask: str) -> DataFrame:
     """Documents whose virtual path, path, or collection/path matches any glob of the mask."""
     globs = P.split_globs(mask)

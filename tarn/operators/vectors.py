@@ -61,10 +61,19 @@ def check_dimensions(vectors: DataFrame, dims: int) -> None:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, keys: Iterable[str] = ("vec_id",)) -> DataFrame:
-    """query_id, the keys, distance: the k nearest rows of ``vectors`` to each of ``queries`` (query_id, embedding), ties to the smaller keys."""
+    """query_id, the keys, distance: the k nearest rows of ``vectors`` to each of ``queries`` (query_id, embedding), ties to the smaller keys.
+
+    A query without a vector, with a null or non-number in it, or of length 0 or norm 0 has no direction and finds nothing;
+    queries of several sizes each find rows of their own size. Rows without a direction are nobody's neighbours.
+    """
     keys = list(keys)
-    asked = ((r["query_id"], r["embedding"]) for r in queries.select("query_id", "embedding").toLocalIterator())
-    found = [_nearest(vectors, some, k, keys) for some in iter(lambda: list(islice(asked, QUERIES)), [])]
+    number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    able = queries.where(F.forall("embedding", number) & F.exists("embedding", lambda x: x != 0)).select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = ((r["query_id"], r["embedding"]) for r in able.toLocalIterator())
+    found = []
+    for some in iter(lambda: list(islice(asked, QUERIES)), []):
+        for size in sorted({len(e) for _, e in some}):
+            found.append(_nearest(vectors, [q for q in some if len(q[1]) == size], k, keys))
     if not found:
         return vectors.select(F.lit(0).cast("long").alias("query_id"), *keys, F.lit(0.0).alias("distance")).where(F.lit(False))
     return reduce(DataFrame.unionByName, found)
@@ -88,7 +97,7 @@ def _nearest(vectors: DataFrame, queries: list[tuple], k: int, keys: list[str])
             d[~np.isfinite(d)] = np.inf
             # a batch's k smallest of each query and what ties with the last of them: the ranks below decide among these
             edge = np.partition(d, min(k, len(d)) - 1, axis=0)[min(k, len(d)) - 1]
-            j, i = np.nonzero((d <= edge + TIE).T)
+            j, i = np.nonzero(((d <= edge + TIE) & (d < np.inf)).T)
             chosen = rows.select(keys).take(pa.array(i))
             columns = [pa.array(ids[j], pa.int64()), *(chosen[c].combine_chunks() for c in keys), pa.array(d[i, j])]
             yield pa.RecordBatch.from_arrays(columns, names=["query_id", *keys, "distance"])
@@ -98,6 +107,16 @@ def _nearest(vectors: DataFrame, queries: list[tuple], k: int, keys: list[str])
     return near.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_rank")
 
 
+def nearest_bodies(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, hash, seq, distance: the k nearest bodies to each query, by the best chunk of each (``chunks``: hash, seq, embedding). A body has any number of chunks among the nearest, so as many chunks are asked for as k bodies can own."""
+    chunks = chunks.select("hash", "seq", "embedding")
+    most = chunks.groupBy("hash").count().agg(F.max("count")).first()[0] or 1
+    near = nearest(chunks, queries, k * most, ["hash", "seq"])
+    best = near.groupBy("query_id", "hash").agg(F.min(F.struct("distance", "seq")).alias("b")).select("query_id", "hash", "b.seq", "b.distance")
+    edge = best.withColumn("_rank", F.rank().over(Window.partitionBy("query_id").orderBy(F.round("distance", 12))))
+    return edge.where(F.col("_rank") <= k).drop("_rank")  # with all that tie with the last
+
+
 def _best_chunks(vectors: DataFrame, query: list[float]) -> DataFrame:
     """hash, seq, pos, score of each body's nearest chunk, the first of equals."""
     scored = vectors.select("hash", "seq", "pos", similarity(F.col("embedding"), query).alias("score"))

@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from tarn import providers
 from tarn.functions import paths as P
 from tarn.functions import text as T
-from tarn.operators import bm25, evaluation, expansion, formatters, fusion, lookup, maintenance, ranking, vectors
+from tarn.operators import bm25, evaluation, expansion, formatters, fusion, lookup, maintenance, ranking, segments, vector_index, vectors
 from tarn.operators.chunking import chunk_rows
 from tarn.operators.snippets import snippets
-from tarn.plans import search
+from tarn.plans import batch, search
 from tarn.plans.benchmark import Fixture, FixtureQuery, run_fixture
 from tarn.plans.lexquery import parse
 from tarn.plans.querydoc import TypedQuery
@@ -161,15 +161,13 @@ def stored_index(spark: SparkSession, d: str) -> Warehouse:
     name = providers.cache_key("index", d, str(changed))[:16]
     kept = Warehouse(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/tarn-index-{name}")
     if not kept.exists():
-        terms = bm25.Postings.build(files.spread(source))
-        kept.commit(postings=terms.postings, lengths=terms.doc_lengths)
+        kept.commit(segments=[kept.write_segment(1, segments.single(files.spread(source)))])
     return kept
 
 
 @query(lex_sql('"licensed under" version', TOP))
 def bm25_stored_index(spark, d):
-    kept = stored_index(spark, d)
-    return _shown(bm25.search(bm25.Postings(kept.read("postings"), kept.read("lengths")), documents(spark, d), parse('"licensed under" version'), 20))
+    return _shown(bm25.search(stored_index(spark, d).keyword_index(), documents(spark, d), parse('"licensed under" version'), 20))
 
 
 @query(f"WITH {ARRAYS} SELECT n AS n_docs, round(avgdl, 6) AS avgdl, CAST((SELECT sum(dl) FROM dls) AS BIGINT) AS n_tokens FROM corpus")
@@ -182,7 +180,8 @@ def postings_df(spark, d):
     return bm25.Postings.build(files.spread(documents(spark, d))).dictionary()
 
 
-@query()
+# the only stems that begin with licens and version are those of words that do
+@query(lex_sql("licens version", TOP))
 def porter_search(spark, d):
     docs = documents(spark, d)
     index = bm25.Scan(files.spread(docs), "porter")
@@ -438,6 +437,28 @@ def knn_query_set(spark, d):
     return vectors.nearest(e, some, 10).select("query_id", "vec_id", (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
 
 
+@query("SELECT count(*) AS n_queries, 10 * count(*) AS n_exact, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def knn_index_recall(spark, d):
+    """Approximate neighbours of a twentieth of the vectors against the exact ones: at least nine in ten have to be found."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    some = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    fitted = vector_index.fit(e)
+    found = vector_index.nearest(vector_index.coded(e, fitted), e, fitted, some, 10)
+    return vector_index.recall(found, vectors.nearest(e, some, 10)).select("n_queries", "n_exact", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id % 20 = 0), e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS y FROM embeddings)
+SELECT query_id, vec_id, round(list_cosine_distance(x, y), 6) + 0.0 AS distance FROM q, e QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_distance(x, y), 12), vec_id) = 1""")
+def knn_indexed(spark, d):
+    """The nearest vector by the index: a vector's own list is always probed."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    some = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    fitted = vector_index.fit(e)
+    found = vector_index.nearest(vector_index.coded(e, fitted), e, fitted, some, 10)
+    w = Window.partitionBy("query_id").orderBy(F.round("distance", 12), "vec_id")
+    return found.withColumn("r", F.row_number().over(w)).where("r = 1").select("query_id", "vec_id", (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
+
+
 # fusion
 
 
@@ -535,6 +556,16 @@ def similar_paths_levenshtein(spark, d):
     return lookup.similar(documents(spark, d), "en/123.md")
 
 
+@query(f"""WITH {DOCS}, names AS (SELECT replace(substr(path, 2), '.md', 'm') AS name FROM docs WHERE doc_id % 40 = 0),
+near AS (SELECT DISTINCT n.name, d.path, levenshtein(lower(n.name), lower(d.path)) AS distance FROM names n, docs d)
+SELECT name, path, CAST(distance AS INTEGER) AS distance FROM near WHERE distance <= 3 QUALIFY row_number() OVER (PARTITION BY name ORDER BY distance, path) <= 5""")
+def similar_name_set(spark, d):
+    """A misspelt name of every fortieth document, all at once."""
+    docs = documents(spark, d)
+    names = docs.where("doc_id % 40 = 0").select(F.regexp_replace(F.expr("substr(path, 2)"), r"\.md", "m").alias("name"))
+    return lookup.similar_names(docs, names, 3)
+
+
 @query(f"WITH {DOCS} SELECT collection, path FROM docs WHERE regexp_full_match(path, 'en/1[^/]*\\.md') OR regexp_full_match(path, '(de|fr)/[^/]*7\\.md') OR regexp_full_match(collection || '/' || path, 'src4/.*')")
 def glob_match(spark, d):
     return lookup.by_globs(documents(spark, d), "en/1*.md, {de,fr}/*7.md, src4/**").select("collection", "path")
@@ -907,6 +938,46 @@ def _models() -> search.Models:
     return search.Models(providers.HashEmbedder(64), providers.PlainExpander(), providers.OverlapReranker())
 
 
+ASKED = [(0, "apache license version"), (1, '"licensed under"'), (2, "the and")]
+
+
+def _vector_of(k: int) -> str:
+    return f"(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = {k})"
+
+
+def _hybrid_sql() -> str:
+    """Lists of three queries by keywords and by vectors, fused, the best line of each candidate, blended with a score that the file's name gives."""
+    keyword = " UNION ALL ".join(f"""SELECT {k} AS query_id, 0 AS list_idx, collection || '/' || path AS file, hash, row_number() OVER (ORDER BY round(score, 12) DESC, doc_id) - 1 AS rank0
+  FROM ({lex_sql(q, 'SELECT doc_id, collection, path, hash, found.score FROM found JOIN docs USING (doc_id) ORDER BY round(found.score, 12) DESC, doc_id LIMIT 20')})""" for k, q in ASKED)
+    meant = " UNION ALL ".join(f"""SELECT {k} AS query_id, 1 AS list_idx, file, hash, row_number() OVER (ORDER BY round(score, 12) DESC, doc_id) - 1 AS rank0
+  FROM (SELECT docs.doc_id, collection || '/' || path AS file, docs.hash, max(1 - list_cosine_distance(embedding, {_vector_of(k)})) AS score
+    FROM chunks JOIN docs ON docs.hash = chunks.hash GROUP BY ALL ORDER BY round(score, 12) DESC, docs.doc_id LIMIT 20)""" for k, _ in ASKED)
+    words = ", ".join(f"({k}, {[w for w in q.lower().split() if len(w) > 2]})" for k, q in ASKED)
+    held = "list_sum(list_transform(words, lambda w: CAST(contains(lower(line), w) AS INTEGER)))"
+    return f"""WITH {CHUNKS},
+lists AS (SELECT *, 2.0 AS weight FROM ({keyword} UNION ALL {meant})),
+fused AS (SELECT query_id, file, min(hash) AS hash, sum(weight / (61 + rank0)) + CASE WHEN min(rank0) = 0 THEN 0.05 WHEN min(rank0) <= 2 THEN 0.02 ELSE 0 END AS score, min(list_idx * 1000 + rank0) AS place FROM lists GROUP BY query_id, file),
+cand AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, place) AS fused_rank FROM fused QUALIFY fused_rank <= 40),
+words(query_id, words) AS (VALUES {words}),
+bodies AS (SELECT DISTINCT hash, body FROM docs),
+cut AS (SELECT hash, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) - 1 AS seq FROM bodies),
+best AS (SELECT s.query_id, s.file, arg_min(c.seq, ({held.replace("words", "w.words")}) * -100000 + c.seq) AS seq FROM cand s JOIN words w USING (query_id) JOIN cut c ON c.hash = s.hash GROUP BY ALL),
+given AS (SELECT s.*, best.seq, CASE WHEN fused_rank <= 3 THEN 0.75 WHEN fused_rank <= 10 THEN 0.6 ELSE 0.4 END AS w, (length(s.file) % 10) / 10 AS given FROM cand s JOIN best ON best.query_id = s.query_id AND best.file = s.file)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(w / fused_rank + (1 - w) * given, 12) DESC, fused_rank) AS INTEGER) AS rank, file, round(w / fused_rank + (1 - w) * given, 6) AS score, CAST(fused_rank AS INTEGER) AS fused_rank, CAST(seq AS INTEGER) AS seq
+FROM given QUALIFY rank <= 10"""
+
+
+@query(_hybrid_sql())
+def hybrid_query_set(spark, d):
+    docs = documents(spark, d)
+    queries = spark.createDataFrame(ASKED, "query_id long, query string")
+    asked = table(spark, d, "embeddings").where(F.col("vec_id") < len(ASKED)).select(F.col("vec_id").alias("query_id"), "embedding")
+    found = batch.keyword_lists(scan(spark, d), docs, ASKED).unionByName(batch.vector_lists(chunks(spark, d), docs, asked))
+    given = lambda rows: rows.withColumn("rerank_score", (F.length("file") % 10) / 10)
+    got = batch.ranked(found, queries, docs.select("hash", F.col("body").alias("doc")).dropDuplicates(["hash"]), given, chunks_of=batch.lines)
+    return got.select("query_id", "rank", "file", F.round("score", 6).alias("score"), "fused_rank", "seq")
+
+
 def _found(spark, rows: list[search.Found]) -> DataFrame:
     return spark.createDataFrame([(x.file, round(x.score, 6), x.docid, x.best_chunk_pos) for x in rows], "file string, score double, docid string, best_chunk_pos int")
 

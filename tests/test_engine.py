@@ -206,29 +206,56 @@ def test_every_text_is_embedded_once(spark, notes, tmp_path):
 
 
 def test_only_changed_documents_are_cut_into_terms(spark, notes, tmp_path, monkeypatch):
-    from tarn.operators import bm25
+    from tarn.operators import segments
 
     e = Engine(spark, f"{tmp_path}/index")
     e.add_collection("notes", str(notes), ignore=["skip/**"])
     e.update()
-    cut, build = [], bm25.Postings.build.__func__
+    cut, made = [], segments.made
 
-    def counted(cls, docs, analyzer="simple"):
-        cut.append(sorted(r.path for r in docs.select("path").collect()))
-        return build(cls, docs, analyzer)
+    def counted(docs, gone, *rest):
+        cut.append((sorted(r.path for r in docs.collect()), sorted(r.path for r in gone.collect())))
+        return made(docs, gone, *rest)
 
-    monkeypatch.setattr(bm25.Postings, "build", classmethod(counted))
+    monkeypatch.setattr(segments, "made", counted)
     (notes / "n2.md").write_text("# Other\nquite other words")
     (notes / "n9.md").write_text("# New\nnewest words")
     os.remove(notes / "n1.md")
     assert e.update()["updated"] == 1
-    assert cut == [["n2.md", "n9.md"]]
+    assert cut == [(["n2.md", "n9.md"], ["n1.md", "n2.md"])]
     found = lambda q: sorted(r.path for r in e.search_lex(q).collect())
     assert found("quite") == ["n2.md"] and found("newest") == ["n9.md"] and found('"noise 1"') == [] and found("databases") == ["sub/b.md"]
     monkeypatch.undo()
-    again = bm25.Postings.build(e._searched().docs.join(e.tables.read("content").withColumnRenamed("doc", "body").drop("created_at"), "hash"), e.analyzer)
-    rows = lambda df: sorted(tuple(map(str, r)) for r in df.select("term", "doc_id", "dl", "places").collect())
-    assert rows(e.tables.read("postings")) == rows(again.postings)
+    same_as_rebuilt(e, spark, tmp_path / "again")
+    (notes / "n3.md").write_text("# Third\nchanged once more")
+    before = e.tables.segments()
+    e.update()
+    assert e.tables.segments()[: len(before)] == before and e.tables.read_segments(e.tables.segments()[-1:])["postings"].count() < 20  # one file's terms
+    assert e.update()["unchanged"] and len(e.tables.segments()) == len(before) + 1  # nothing changed, nothing is written
+    for k in range(6):
+        (notes / f"m{k}.md").write_text(f"# More {k}\nthe words of file {k} and of others")
+        if k == 3:
+            os.remove(notes / "m1.md")
+        e.update()
+    assert len(e.tables.segments()) < len(before) + 6  # merged
+    same_as_rebuilt(e, spark, tmp_path / "third")
+
+
+def same_as_rebuilt(e, spark, at):
+    """Dictionary, numbers and answers of an index that was updated, against one that is built anew."""
+    from tarn.operators import segments
+    from tarn.plans.lexquery import parse
+    from tarn.sources.snapshots import Warehouse
+
+    docs = e._searched().docs.join(e.tables.read("content").withColumnRenamed("doc", "body").drop("created_at"), "hash")
+    w = Warehouse(spark, str(at))
+    w.commit(segments=[w.write_segment(1, segments.single(docs, e.analyzer))])
+    one, other = e.tables.keyword_index(), w.keyword_index()
+    assert sorted(map(tuple, one.dictionary().collect())) == sorted(map(tuple, other.dictionary().collect()))
+    assert one.known([])[:2] == other.known([])[:2]
+    for q in ("the", "words of", '"words of"', "other -changed", '"noise"', "n"):
+        got, want = (sorted((r.doc_id, round(r.score, 9)) for r in x.best(parse(q, e.analyzer), None).collect()) for x in (one, other))
+        assert got == want, q
 
 
 def test_readers_see_whole_commits(spark, tmp_path):
@@ -257,3 +284,49 @@ def test_readers_see_whole_commits(spark, tmp_path):
     with pytest.raises(RuntimeError, match="another writer"):
         w._publish(number + 1, now)
     assert w.vacuum() == 5 and w.read("config").count() == 1
+
+
+def test_a_racing_commit_fails(spark, tmp_path, monkeypatch):
+    """The second of two writers that are after one number can't overwrite the first's pointer, whenever it comes."""
+    from tarn.sources.snapshots import UNFINISHED_S, Warehouse
+
+    frame = lambda k: spark.createDataFrame([(str(k), "v")], "key string, value string")
+    w, other = (Warehouse(spark, f"{tmp_path}/w") for _ in range(2))
+    w.commit(config=frame(0))
+    exists = w._fs.exists
+    number, now = w._current()
+
+    class Late:  # the other writer comes between this one's look and its creation
+        def __getattr__(self, name):
+            return getattr(Warehouse(spark, f"{tmp_path}/w")._fs, name)
+
+        def exists(self, path):
+            found = exists(path)
+            if str(path.getName()) == str(number + 1):
+                other.commit(config=frame(1))
+            return found
+
+    w._fs = Late()
+    with pytest.raises(RuntimeError, match="another writer"):
+        w._publish(number + 1, now)
+    assert [r.key for r in other.read("config").collect()] == ["1"]
+    # a pointer that a writer is just writing doesn't count, and is waited for; one that a dead writer has left is passed over
+    at = other._path(f"{tmp_path}/w/pointers/{number + 2}")
+    other._fs.create(at, False).close()
+    assert [r.key for r in other.read("config").collect()] == ["1"]
+    with pytest.raises(RuntimeError, match="another writer"):
+        other.commit(config=frame(2))
+    other._fs.setTimes(at, other._fs.getFileStatus(at).getModificationTime() - (UNFINISHED_S + 5) * 1000, -1)
+    other.commit(config=frame(3))
+    assert [r.key for r in other.read("config").collect()] == ["3"]
+
+
+def test_a_request_reads_one_commit(spark, tmp_path):
+    from tarn.sources.snapshots import Warehouse
+
+    frame = lambda k: spark.createDataFrame([(str(k), "v")], "key string, value string")
+    w = Warehouse(spark, f"{tmp_path}/w")
+    w.commit(config=frame(0))
+    one = w.pinned()
+    w.commit(config=frame(1))
+    assert one.read("config").first().key == "0" and w.read("config").first().key == "1"
