@@ -37,8 +37,8 @@ KIND = "alnum_lower"
 class Phrases:
     """The windows of a block of items: by length, distinct, with the items that hold each."""
 
-    def __init__(self, items: list[tuple[int, bytes]], window: int):
-        items = sorted(items)
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
+        items = sorted(items, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
         w = words_of([t for _, t in items], KIND)
         self.vocabulary = Vocabulary(w.hash)
         ids = self.vocabulary.ids(w.hash)
@@ -46,11 +46,13 @@ class Phrases:
         for (item, _), a, b in zip(items, w.bounds[:-1], w.bounds[1:]):
             n = min(window, b - a)
             for i in range(a, b - n + 1) if n else ():
-                found.setdefault(int(n), {}).setdefault(tuple(ids[i : i + n].tolist()), set()).add(item)
+                named = found.setdefault(int(n), {}).setdefault(tuple(ids[i : i + n].tolist()), set())
+                if item is not None:  # an item without an id is looked for, but has nothing to be counted or named by
+                    named.add(item)
         self.groups = [(n, np.array(list(g), np.int32), [sorted(s) for s in g.values()]) for n, g in sorted(found.items())]
         self.least = min(found, default=0)
 
-    def find(self, w: Words) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    def find(self, w: Words) -> tuple[np.ndarray, np.ndarray, list[tuple[int, str]]]:
         """First and end word of every occurrence, and the distinct (document, item) pairs."""
         none = np.zeros(0, np.int64)
         if not self.groups:
@@ -93,19 +95,19 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def blocks(benchmark: DataFrame) -> list[DataFrame]:
     """The items in blocks of about BLOCK_BYTES of text."""
-    items = benchmark.select(F.col("`item_id`").cast("long").alias("item_id"), F.col("`text`").alias("text")).where("text IS NOT NULL")
+    items = benchmark.select(F.col("`item_id`").cast("string").alias("item_id"), F.col("`text`").alias("text")).where("text IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-int(total) // BLOCK_BYTES))
-    return [items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, text, spans (int64 pairs of word numbers, as bytes), items (those that occur) of every document."""
     spark = docs.sparkSession
     ship(spark)
-    kinds = "doc_id long, text string, spans binary, items array<long>"
+    kinds = "doc_id long, text string, spans binary, items array<string>"
     schema = arrow_schema(kinds)
-    frame = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("binary").alias("spans"), F.lit(None).cast("array<long>").alias("items"))
+    frame = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("binary").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
     for block in blocks(benchmark):
         shared = spark.sparkContext.broadcast(Phrases([(r[0], r[1].encode()) for r in block.collect()], window))  # one block
 
@@ -115,7 +117,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataF
                 start, end, pairs = shared.value.find(w)
                 start, end = merged(start, end)
                 cut = np.searchsorted(start, w.bounds)
-                items: dict[int, list[int]] = {}
+                items: dict[int, list[str]] = {}
                 for d, item in pairs:
                     items.setdefault(d, []).append(item)
                 spans, found = [], []
@@ -138,14 +140,19 @@ def _kept(batches):
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document.
+
+    item_id may be of any type that has a string form, which names the item; items
+    without one are looked for, so their words are hit, but they are neither counted nor
+    named. Texts of any length are searched whole, each by one task.
+    """
     ddl = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
     schema = arrow_schema(ddl)
 
     def run(batches):
         for rest, texts in units(batches):
             hit = [int(np.diff(np.frombuffer(s, np.int64).reshape(-1, 2)).sum()) for s in rest["spans"]]
-            named = [",".join(sorted(map(str, i))) for i in rest["items"]]
+            named = [",".join(sorted(i)) for i in rest["items"]]
             yield batch(schema, {
                 "doc_id": rest["doc_id"], "n_words": words_of(texts, KIND).counts(), "n_hit": hit, "n_items": [len(i) for i in rest["items"]],
                 "items_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in named], "contaminated": [h > 0 for h in hit],
