@@ -30,8 +30,8 @@ from tarn.llm.shared import Scratch, input_bytes
 
 #: Characters that do not count: space and \x09-\x0D.
 WHITE = " \t\n\x0b\x0c\r"
-#: One bucket of a new index for so many bytes of input.
-BUCKET_BYTES = 64 << 20
+#: One bucket of a new index for so many bytes of digests (some 45 a row), and the most that it gets: Spark takes no more than 100,000.
+BUCKET_BYTES, MOST_BUCKETS = 1 << 20, 1 << 16
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batches: int
     spark = docs.sparkSession
     scratch = Scratch(spark, "digests")
     rows = scratch.table(digests(docs), "rows")
-    own = None if index else DigestIndex(spark, scratch.path("index"), max(4, input_bytes(docs) // BUCKET_BYTES))
+    own = None if index else DigestIndex(spark, scratch.path("index"), min(MOST_BUCKETS, max(4, input_bytes(rows) // BUCKET_BYTES)))
     index = index or own
     for k in range(batches):
         index.add(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))

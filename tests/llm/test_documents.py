@@ -278,6 +278,29 @@ def leaks(rows, items, n=10):
         yield d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit)
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_items_without_an_id(spark, rows, kind):
+    """Their words are hit, but they are not counted."""
+    own = [(1, "a b c d"), (2, "x a b y"), (3, "nothing")]
+    items = [(None, "a b"), (None, "c"), ("7" if kind == "string" else 7, "b c"), ("10" if kind == "string" else 10, "x"), (None, None)]
+    bench = spark.createDataFrame(items, f"item_id {kind}, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in decontamination.leak_report(spark.createDataFrame(own, "doc_id long, text string"), bench).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == {1: (3, 1, sha("7")), 2: (3, 1, sha("10")), 3: (0, 0, sha(""))}
+    kept = decontamination.without_leaks(spark.createDataFrame(own, "doc_id long, text string"), bench)
+    assert [r.doc_id for r in kept.collect()] == [3]
+
+
+def test_an_index_never_gets_more_buckets_than_spark_takes(spark, docs, monkeypatch):
+    made = []
+    monkeypatch.setattr(exact_dedup, "BUCKET_BYTES", 1)
+    monkeypatch.setattr(exact_dedup, "MOST_BUCKETS", 6)
+    index = exact_dedup.DigestIndex
+    monkeypatch.setattr(exact_dedup, "DigestIndex", lambda spark, at, buckets, *a: made.append(buckets) or index(spark, at, buckets, *a))
+    assert exact_dedup.exact_dedup(docs).count() == docs.count()
+    assert made == [6]
+
+
 @pytest.mark.parametrize("block", [4 << 20, 200])
 def test_leaks(spark, docs, rows, monkeypatch, block):
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
@@ -447,7 +470,9 @@ def test_lm_scores(docs, rows):
         assert r.score < 0
 
 
-def test_lm_score_word_by_word(docs, rows, monkeypatch):
+@pytest.mark.parametrize("least", [1, 20])
+def test_lm_score_word_by_word(docs, rows, monkeypatch, least):
+    monkeypatch.setattr(lm_scoring, "LEAST_FREQUENT", least)
     """The whole score again: counts, classes and one step of the network a word, in plain Python."""
     from collections import Counter
 
@@ -467,7 +492,7 @@ def test_lm_score_word_by_word(docs, rows, monkeypatch):
     w = words_of([x.encode() for x in every], lm_scoring.KIND)
     hashed, tail = dict(zip(every, w.hash.tolist())), dict(zip(every, lm_scoring.tails(w).tolist()))
     signed = lambda x: hashed[x] - (hashed[x] >> 63 << 64)
-    frequent = sorted(n, key=lambda x: (-n[x], signed(x)))[: int(np.ceil(len(n) ** 0.5))]
+    frequent = sorted(n, key=lambda x: (-n[x], signed(x)))[: max(least, int(np.ceil(len(n) ** 0.5)))]
     number = {x: k for k, x in enumerate(sorted(frequent, key=hashed.get))}
     mass = Counter()
     for x, c in n.items():
