@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tarn.functions import paths as P
 from tarn.functions import text as T
-from tarn.operators import expansion, formatters, fusion, lookup, maintenance
+from tarn.operators import batching, expansion, formatters, fusion, lookup, maintenance
 from tarn.retrieval_queries import DOCS, documents, query, table
+from tarn.sources.snapshots import Warehouse
 
 
 def rows(spark: SparkSession, d: str) -> DataFrame:
@@ -197,3 +198,18 @@ def embedding_batches(spark, d):
     bodies = documents(spark, d).select("hash", "path", F.octet_length("body").cast("long").alias("n_bytes"))
     each = maintenance.batches(bodies, 8, 20_000).groupBy("partition", "batch").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("b"), F.collect_set("hash").alias("h"))
     return each.agg(F.sum("n").alias("n_rows"), F.size(F.array_distinct(F.flatten(F.collect_list("h")))).cast("long").alias("n_hashes"), F.count_if(F.col("n") > 8).alias("over_count"), F.count_if((F.col("n") > 1) & (F.col("b") > 20_000)).alias("over_bytes"))
+
+
+@query(f"""WITH RECURSIVE {DOCS}, o AS (SELECT doc_id, octet_length(encode(body)) AS b, row_number() OVER (ORDER BY hash, doc_id) AS r FROM docs),
+fill AS (
+  SELECT r, doc_id, CAST(0 AS BIGINT) AS batch, 1 AS n, b AS size FROM o WHERE r = 1
+  UNION ALL
+  SELECT o.r, o.doc_id, CASE WHEN n >= 8 OR size + o.b > 20000 THEN batch + 1 ELSE batch END, CASE WHEN n >= 8 OR size + o.b > 20000 THEN 1 ELSE n + 1 END,
+    CASE WHEN n >= 8 OR size + o.b > 20000 THEN o.b ELSE size + o.b END
+  FROM fill JOIN o ON o.r = fill.r + 1)
+SELECT doc_id, batch FROM fill""")
+def embedding_batches_in_order(spark, d):
+    """Batches of at most 8 bodies and 20,000 bytes, filled greedily in the order of hashes over the whole table."""
+    bodies = documents(spark, d).select("doc_id", "hash", F.octet_length("body").cast("long").alias("n_bytes"))
+    kept = Warehouse(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/tarn-batches")
+    return batching.greedy_batches(bodies, ["hash", "doc_id"], 8, 20_000, kept.staged).select("doc_id", "batch")
