@@ -6,12 +6,14 @@ SQL says what must come out of them, where it can by another way than the functi
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions import paths as P
 from tarn.functions import text as T
-from tarn.operators import batching, expansion, formatters, fusion, lookup, maintenance
+from tarn.operators import batching, code, expansion, formatters, fusion, lookup, maintenance
 from tarn.retrieval_queries import DOCS, documents, query, table
 from tarn.sources.snapshots import Warehouse
 
@@ -213,3 +215,62 @@ def embedding_batches_in_order(spark, d):
     bodies = documents(spark, d).select("doc_id", "hash", F.octet_length("body").cast("long").alias("n_bytes"))
     kept = Warehouse(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/tarn-batches")
     return batching.greedy_batches(bodies, ["hash", "doc_id"], 8, 20_000, kept.staged).select("doc_id", "batch")
+
+
+# source files
+
+#: Pieces of source files by turns, ~ being the piece's number. A mark /*@kind name@*/ is before each construct; texts, comments, macros and values hold words that would be constructs elsewhere.
+PIECES = {
+    "ts": (
+        "// class No {}\n/*@func f~@*/function f~(a: string): void {\n  return `function no() { ${a} }`;\n}\n",
+        "const t~ = \"export class No {}\", r~ = /class No {/;\n/*@iface I~@*/interface I~ { type: string }\n",
+        "/*@class C~@*/class C~ { x = 1;\n  /*@method m~@*/private static async m~(a = { b: 1 }): Promise<{ c: number }> {}\n}\n",
+        "/* import no from 'no'; */ /*@import@*/import { a~ } from \"b\";\nlet y~ = import('x');\n",
+        "/*@func g~@*/const g~ = async (x) => x;\ndeclare function no(): void;\n",
+        "/*@export@*/export /*@type T~@*/type T~ = string;\nlet type = 1;\n",
+        "/*@enum E~@*/enum E~ { A }\n/*@class D~@*/@Bound({ class: 1 })\nclass D~ {}\n",
+    ),
+    "js": (
+        "x~.class(function () {});\n/*@export@*/export default [1, 2];\n",
+        "call('class No {}');\n/*@class C~@*/class C~ extends B {}\n",
+        "const o~ = { a: 1,\n  /*@method m~@*/m~() { if (a) { b(); } } };\n",
+        "/*@func f~@*/async function f~() {\n  /*@func g~@*/function g~() {}\n}\n",
+    ),
+    "go": (
+        "// func No() {}\n/*@func F~@*/func F~(a string) string {\n\treturn `\nfunc no() {}\n`\n}\n",
+        "var v~ = func(a int) int { return a }\n/*@method M~@*/func (s *S) M~() bool { return true }\n",
+        "/* type No struct {} */\n/*@type T~@*/type T~ struct {\n\ta int\n}\n",
+        "/*@import@*/import \"a/b~\"\n",
+    ),
+    "rs": (
+        "/* /* fn no() {} */ struct No; */\n#[test]\n/*@func f~@*/pub async fn f~<'a>(x: &'a str) -> impl Fn() { r#\"fn no() {} \" \"# }\n",
+        "make!{ struct No; fn no() {} }\n/*@struct S~@*/pub(crate) struct S~ { c: char }\n",
+        "/*@trait T~@*/trait T~ { fn no(&self); type No; }\n/*@impl S~@*/impl T~ for S~ {}\n",
+        "/*@enum E~@*/enum E~ { A = '{' as isize, B }\n/*@import@*/use a::b~;\n",
+        "const Q~: char = '\"';\n/*@mod m~@*/mod m~;\n",
+    ),
+}
+
+
+def _files_sql() -> str:
+    piece = lambda x: "'" + x.replace("'", "''") + "'"
+    turns = " ".join(f"WHEN {k} THEN ([{', '.join(map(piece, x))}])[i % {len(x)} + 1]" for k, x in enumerate(PIECES.values()))
+    return f"""files AS (
+  SELECT doc_id, array_to_string(list_transform(range(len(s)), lambda i: '// ' || s[i + 1] || chr(10) || replace(CASE doc_id % {len(PIECES)} {turns} END, '~', CAST(i AS VARCHAR))), '') AS body
+  FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '[\\n\\r]', ' ', 'g'), '. ') AS s FROM documents))"""
+
+
+@query(rf"""WITH {_files_sql()},
+m AS (SELECT doc_id, string_split_regex(body, '/\*@[^@]*@\*/') AS s, regexp_extract_all(body, '/\*@[^@]*@\*/') AS k FROM files),
+u AS (SELECT doc_id, unnest(s[1 : len(k)]) AS s, unnest(k) AS k, generate_subscripts(k, 1) AS i FROM m),
+p AS (SELECT *, sum(length(s) + length(k)) OVER w AS pos, sum(length(s) - length(replace(s, chr(10), ''))) OVER w AS n FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(n + 1 AS INTEGER) AS line, regexp_extract(k, '@([a-z]+)', 1) AS kind, nullif(regexp_extract(k, ' ([^@]+)@', 1), '') AS name,
+  CASE regexp_extract(k, '@([a-z]+)', 1) WHEN 'import' THEN 60 WHEN 'type' THEN 80 WHEN 'enum' THEN 80 WHEN 'func' THEN 90 WHEN 'method' THEN 90 WHEN 'export' THEN 90 ELSE 100 END AS score FROM p""")
+def code_symbols(spark, d):
+    """Constructs of source files in four languages, made of a document's sentences (as comments) and marked pieces by turns."""
+    text = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\n\r]", " "), r"\. ", -1)
+    turns = [F.array(*map(F.lit, x)) for x in PIECES.values()]
+    turn = lambda i: reduce(lambda out, k: F.when(F.col("doc_id") % len(PIECES) == k, F.get(turns[k], i % F.size(turns[k]))).otherwise(out), range(len(PIECES)), F.lit(""))
+    body = F.array_join(F.transform(text, lambda s, i: F.concat(F.lit("// "), s, F.lit("\n"), F.replace(turn(i), F.lit("~"), i.cast("string")))), "")
+    files = table(spark, d, "documents").select("doc_id", _one_of(*((f"x.{e}",) for e in PIECES)).alias("path"), body.alias("body"))
+    return code.symbols(files).drop("path")

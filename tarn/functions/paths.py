@@ -112,11 +112,14 @@ def valid_collection_name(x: Column) -> Column:
     return x.rlike("^[A-Za-z0-9_-]+$")
 
 
+#: Programming languages by extension (fixed values).
+LANGUAGES = {"ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "jsx": "tsx", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "go": "go", "rs": "rust"}
+
+
 def language_of(path: Column) -> Column:
     """Programming language by extension, null for others."""
     ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
-    known = {"ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "jsx": "tsx", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "go": "go", "rs": "rust"}
-    pairs = [F.lit(x) for kv in known.items() for x in kv]
+    pairs = [F.lit(x) for kv in LANGUAGES.items() for x in kv]
     return F.element_at(F.create_map(*pairs), ext)
 
 
