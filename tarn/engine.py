@@ -30,10 +30,12 @@ class EngineError(ValueError):
 
 
 class Engine:
-    """An index in ``root``. One application writes to it at a time; any number read it."""
+    """An index in ``root``. One application writes to it at a time; any number read it. With the strategy "auto" program files are cut into chunks at their constructs."""
 
-    def __init__(self, spark: SparkSession, root: str, config: dict | str | None = None, analyzer: str = "porter", models: plans.Models | None = None):
-        self.spark, self.tables, self.analyzer = spark, Warehouse(spark, root), analyzer
+    def __init__(self, spark: SparkSession, root: str, config: dict | str | None = None, analyzer: str = "porter", models: plans.Models | None = None, strategy: str = "regex"):
+        if strategy not in ("regex", "auto"):
+            raise EngineError(f"not a way to chunk: {strategy}")
+        self.spark, self.tables, self.analyzer, self.strategy = spark, Warehouse(spark, root), analyzer, strategy
         self.models = models or plans.Models(providers.HashEmbedder(), providers.PlainExpander(), providers.OverlapReranker())
         if config is not None:
             self.sync_config(files.load_config(config) if isinstance(config, str) else config)
@@ -145,6 +147,25 @@ class Engine:
         self.tables.drop_staged()
         return total
 
+    def apply(self, collection: str, events: DataFrame) -> dict[str, int]:
+        """Bring just these files of a collection up to date (events: path below its folder, modified_at as listed, change: added, changed or gone; one row a path); what changed. No other file is read, and what isn't changed by hash stays as it is, so the same events may come twice."""
+        c = self._collections()[collection]
+        docs, content = self.tables.read("documents"), self.tables.read("content")
+        events, now = self.tables.staged(events.select("path", "modified_at", "change")), F.lit(datetime.datetime.now(datetime.UTC).replace(tzinfo=None))
+        new = files.scan(self.spark, c["path"], c["pattern"] or files.PATTERN, c["ignore"], events.where("change <> 'gone'"))
+        new = self.tables.staged(new.withColumn("collection", F.lit(collection)))
+        named = (F.col("collection") == collection) & F.col("named").isNotNull()
+        marked = docs.join(events.select("path", F.lit(True).alias("named")), "path", "left")
+        own, rest = marked.where(named).drop("named"), marked.where(~named).drop("named")
+        counts = maintenance.change_counts(maintenance.changes(own, new)).first().asDict()
+        after = maintenance.refreshed(own, new, now) if not new.isEmpty() else own.withColumn("active", F.lit(False))
+        fresh = new.select("hash", "doc").dropDuplicates(["hash"]).join(content.select("hash"), "hash", "left_anti").withColumn("created_at", now)
+        if any(counts[k] for k in ("indexed", "updated", "removed")):
+            docs, content = self.tables.staged(rest.unionByName(after)), self.tables.staged(content.unionByName(fresh))
+            self.tables.commit(cache=self._frame("cache", []), documents=docs, content=content, **self._terms(docs, content))
+        self.tables.drop_staged()
+        return counts
+
     def _terms(self, docs: DataFrame, content: DataFrame) -> dict[str, list]:
         """The keyword index' segments for these documents and bodies: one more, of what changed, and perhaps one in the place of several. Nothing of an unchanged document is read."""
         keyed = lambda x: maintenance.active(x).select(F.xxhash64("collection", "path").alias("doc_id"), "collection", "path", "title", "hash")
@@ -176,15 +197,19 @@ class Engine:
         e = self.models.embedder
         return maintenance.pending(self.tables.read("documents"), self.tables.read("content"), self.tables.read("chunks"), e.name, providers.fingerprint(e.name))
 
+    def _chunks(self, of: DataFrame) -> DataFrame:
+        """Chunks, with titles, of the active bodies whose hash ``of`` has."""
+        named = maintenance.active(self.tables.read("documents")).join(of.select("hash"), "hash", "left_semi").groupBy("hash").agg(F.min("title").alias("title"), F.min("path").alias("path"))
+        bodies = self.tables.read("content").select("hash", "doc").join(named.select("hash", "path"), "hash")
+        return chunk_rows(bodies, self.strategy).join(named.select("hash", "title"), "hash")
+
     def embed(self, force: bool = False, collection: str | None = None) -> dict[str, int]:
         """Chunk and embed the bodies that lack vectors. A body with a chunk that can't be embedded is left for the next time."""
         if force:
             self.clear_embeddings(collection)
         e, print_ = self.models.embedder, providers.fingerprint(self.models.embedder.name)
         todo = self.pending()
-        rows = chunk_rows(self.tables.read("content").join(todo.select("hash"), "hash", "left_semi").select("hash", "doc"))
-        titles = maintenance.active(self.tables.read("documents")).groupBy("hash").agg(F.min("title").alias("title"))
-        rows = rows.join(titles, "hash")
+        rows = self._chunks(todo)
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in frames:
@@ -270,9 +295,7 @@ class Engine:
     def check_embeddings(self, n: int = 20, of: DataFrame | None = None) -> DataFrame:
         """A sample of stored vectors (or of those given) against vectors made anew."""
         some = vectors.sample(self.tables.read("vectors") if of is None else of, n)
-        chunks = chunk_rows(self.tables.read("content").join(some.select("hash").distinct(), "hash", "left_semi").select("hash", "doc"))
-        titles = maintenance.active(self.tables.read("documents")).groupBy("hash").agg(F.min("title").alias("title"))
-        rows = chunks.join(some.select("hash", "seq"), ["hash", "seq"]).join(titles, "hash").collect()  # n at most
+        rows = self._chunks(some).join(some.select("hash", "seq"), ["hash", "seq"]).collect()  # n at most
         e = self.models.embedder
         again = e.embed([providers.document_prompt(r["text"], r["title"], e.name) for r in rows])
         fresh = self.spark.createDataFrame([(r["hash"], r["seq"], v) for r, v in zip(rows, again)], "hash string, seq int, embedding array<double>")

@@ -14,22 +14,44 @@ from tarn.functions.text import title
 PATTERN = "**/*.md"
 
 
-def scan(spark: SparkSession, root: str, mask: str = PATTERN, ignore: list[str] | None = None) -> DataFrame:
+#: So many moments of change are asked for one by one; of more, all after the first.
+MOMENTS = 200
+
+
+def _matching(spark: SparkSession, root: str, mask: str, ignore: list[str] | None) -> DataFrame:
+    """at (path below the root), modificationTime, length, content of a folder's files that match. What isn't selected of them isn't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(root)
+    bare = F.regexp_replace("path", r"^[a-z]+:/*", "/")
+    base = "/" + root.split(":", 1)[-1].strip("/") + "/"
+    found = files.withColumn("at", F.url_decode(F.replace(bare, F.lit("+"), F.lit("%2B")))).where(F.col("at").startswith(base))
+    found = found.withColumn("at", F.col("at").substr(F.lit(len(base) + 1), F.length("at")))
+    found = found.where(P.matches_globs(F.col("at"), P.split_globs(mask)) & ~P.excluded(F.col("at")))
+    return found.where(~P.matches_globs(F.col("at"), ignore, dots=True)) if ignore else found
+
+
+def listing(spark: SparkSession, root: str, mask: str = PATTERN, ignore: list[str] | None = None) -> DataFrame:
+    """path (below root), modified_at, length of the files that ``scan`` would look at; none is opened."""
+    return _matching(spark, root, mask, ignore).select(F.col("at").alias("path"), F.col("modificationTime").alias("modified_at"), "length")
+
+
+def scan(spark: SparkSession, root: str, mask: str = PATTERN, ignore: list[str] | None = None, only: DataFrame | None = None) -> DataFrame:
     """path (below root), title, hash, doc, modified_at of a folder's files that match; blank ones don't count.
 
     Files outside the root (by links) and in excluded folders are left out. Spark lists and reads them in parallel; unreadable ones are
-    skipped (see ``unreadable``).
+    skipped. With ``only`` (path, modified_at, as listed) just these files: by their moments of change, which Spark tests before it opens
+    a file, and later ones, for files that have changed again since.
     """
-    spark.conf.set("spark.sql.files.ignoreMissingFiles", "true")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
-    bare = F.regexp_replace("path", r"^[a-z]+:/*", "/")
-    base = "/" + root.split(":", 1)[-1].strip("/") + "/"
-    found = files.select(F.url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))).alias("at"), "content", F.col("modificationTime").alias("modified_at"))
-    found = found.where(F.col("at").startswith(base)).withColumn("path", F.col("at").substr(F.lit(len(base) + 1), F.length("at")))
-    found = found.where(P.matches_globs(F.col("path"), P.split_globs(mask)) & ~P.excluded(F.col("path")))
-    if ignore:
-        found = found.where(~P.matches_globs(F.col("path"), ignore, dots=True))
-    text = found.select("path", F.decode("content", "UTF-8").alias("doc"), "modified_at").where(F.trim(F.regexp_replace("doc", r"\s+", " ")) != "")
+    found = _matching(spark, root, mask, ignore)
+    if only is not None:
+        moments = [r[0] for r in only.select("modified_at").distinct().limit(MOMENTS + 1).collect()]
+        first, last = only.agg(F.min("modified_at"), F.max("modified_at")).first()
+        then, one_by_one = F.col("modificationTime"), F.lit(False)
+        for m in moments:
+            one_by_one |= then == F.lit(m)
+        found = found.where(F.lit(False) if first is None else then >= F.lit(first) if len(moments) > MOMENTS else one_by_one | (then > F.lit(last)))
+        found = found.join(only.select(F.col("path").alias("at")).distinct(), "at", "left_semi")
+    text = found.select(F.col("at").alias("path"), F.decode("content", "UTF-8").alias("doc"), F.col("modificationTime").alias("modified_at"))
+    text = text.where(F.trim(F.regexp_replace("doc", r"\s+", " ")) != "")
     return text.select("path", title(F.col("doc"), F.col("path")).alias("title"), P.content_hash(F.col("doc")).alias("hash"), "doc", "modified_at")
 
 
