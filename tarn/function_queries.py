@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tarn.functions import paths as P
 from tarn.functions import text as T
-from tarn.operators import batching, code, expansion, formatters, fusion, lookup, maintenance
+from tarn.operators import batching, code, evaluation, expansion, formatters, fusion, lookup, maintenance
+from tarn.plans import lexquery
 from tarn.retrieval_queries import DOCS, documents, query, table
 from tarn.sources.snapshots import Warehouse
 
@@ -217,6 +218,67 @@ def embedding_batches_in_order(spark, d):
     return batching.greedy_batches(bodies, ["hash", "doc_id"], 8, 20_000, kept.staged).select("doc_id", "batch")
 
 
+@query(rf"""WITH {DOCS}, t AS (SELECT doc_id, list_transform(string_split_regex(lower(body), '\s+'), lambda x: regexp_replace(x, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')) AS t FROM docs),
+k AS (SELECT doc_id, list_filter(t, lambda x: length(x) > 1 AND NOT list_contains([{", ".join(f"'{w}'" for w in T.INTENT_STOP_WORDS)}], x)) AS t FROM t)
+SELECT doc_id, CAST(len(t) AS INTEGER) AS n, sha256(array_to_string(t, ' ')) AS digest FROM k""")
+def intent_words(spark, d):
+    """The words of texts that say something of an intent, in order."""
+    words = T.intent_words(F.col("body"))
+    return documents(spark, d).select("doc_id", F.size(words).alias("n"), F.sha2(F.array_join(words, " "), 256).alias("digest"))
+
+
+@query(rf"""WITH {DOCS}, t AS (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}_]+')), lambda x: length(x) > 1 AND NOT list_contains([{", ".join(f"'{w}'" for w in evaluation.STOP_WORDS)}], x)) AS t FROM docs)
+SELECT doc_id, CAST(len(t) AS INTEGER) AS n, sha256(array_to_string(list_sort(t), ' ')) AS digest FROM t""")
+def word_sets(spark, d):
+    """Distinct words of texts without stop words."""
+    words = evaluation.word_set(F.col("body"))
+    return documents(spark, d).select("doc_id", F.size(words).alias("n"), F.sha2(F.array_join(F.array_sort(words), " "), 256).alias("digest"))
+
+
+ADDRESSES = (("tarn://", "$lang", "/sub/", "$n", ".md"), ("//", "$lang", "/", "$n", ".md?index=other"), ("tarn:", "$lang", "/", "$n", ".md"), ("$lang", "/", "$n", ".md"), ("tarn:///", "$lang", "/a b-", "$n", ".md"), ("tarn://", "$lang"))
+
+
+@query(f"""WITH {ROWS} SELECT doc_id, CASE WHEN doc_id % 6 <> 3 THEN lang END AS collection,
+  CASE doc_id % 6 WHEN 0 THEN 'sub/' || n || '.md' WHEN 4 THEN 'a b-' || n || '.md' WHEN 5 THEN '' WHEN 3 THEN NULL ELSE n || '.md' END AS path FROM r""")
+def virtual_parts(spark, d):
+    """Collection and path of virtual paths in their spellings."""
+    parts = P.virtual_parts(_one_of(*ADDRESSES))
+    return rows(spark, d).select("doc_id", parts["collection"].alias("collection"), parts["path"].alias("path"))
+
+
+RANGES = (("$n", ".md"), ("$n", ".md:3"), ("$n", ".md:2:2"), ("a:b/", "$n", ".md:0:0"), ("$n", ":900:1"))
+
+
+@query(f"""WITH {DOCS}, l AS (SELECT doc_id, string_split(replace(body, '. ', chr(10)), chr(10)) AS l, CASE doc_id % 5 WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 3 THEN 1 WHEN 4 THEN 900 END AS a, CASE doc_id % 5 WHEN 2 THEN 2 WHEN 3 THEN 1 WHEN 4 THEN 1 END AS c FROM docs)
+SELECT doc_id, CASE doc_id % 5 WHEN 3 THEN 'a:b/' ELSE '' END || doc_id || CASE doc_id % 5 WHEN 4 THEN '' ELSE '.md' END AS name, a AS first, c AS count,
+  sha256(coalesce(array_to_string(l[coalesce(a, 1) : coalesce(a, 1) + coalesce(c, len(l)) - 1], chr(10)), '')) AS digest FROM l""")
+def line_ranges(spark, d):
+    """Names with a range of lines after them, and these lines of the documents (a sentence ends a line too)."""
+    docs = documents(spark, d).withColumns({"n": F.col("doc_id").cast("string"), "lines": F.regexp_replace("body", r"\. ", "\n")})
+    range_ = lookup.line_range_of(_one_of(*RANGES))
+    return docs.select("doc_id", range_["name"].alias("name"), range_["first"].alias("first"), range_["count"].alias("count"), F.sha2(T.line_range(F.col("lines"), range_["first"], range_["count"]), 256).alias("digest"))
+
+
+ASKED = (("$lang", " plans -", "$n"), ("say \"", "$n", "\""), ("say \"", "$n"), ("$lang", "-", "$n"), ("two\nlines ", "$n"), ("no -\"", "$n", " x\""), ("- ", "$n"))
+
+
+@query(f"""WITH {ROWS}, q AS (SELECT doc_id, {_one_of_sql(*ASKED)} AS q FROM r)
+SELECT doc_id, position(chr(10) IN q) = 0 AND (len(string_split(q, '"')) - 1) % 2 = 0 AS lex, doc_id % 7 NOT IN (0, 5) AS semantic FROM q""")
+def valid_queries(spark, d):
+    """Which queries their languages allow: single lines with paired quotes, and no exclusion by meaning."""
+    q = _one_of(*ASKED)
+    return rows(spark, d).select("doc_id", lexquery.valid_lex(q).alias("lex"), lexquery.valid_semantic(q).alias("semantic"))
+
+
+@query("""SELECT count(*) AS n_rows, count(DISTINCT lower(trim(text))) AS n_texts, CAST(0 AS BIGINT) AS n_in_both, count(*) >= 200 AS large, true AS near_share FROM benchmark""")
+def training_split(spark, d):
+    """Examples parted by a hash of their text: equal texts go to one side, whose share is near what was asked."""
+    rows_ = evaluation.train_eval_split(table(spark, d, "benchmark").select(F.lower(F.trim("text")).alias("query")), 0.2)
+    each = rows_.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "eval").alias("held"))
+    n, held = F.sum("n"), F.sum("held")
+    return each.agg(n.alias("n_rows"), F.count("query").alias("n_texts"), F.count_if((F.col("held") > 0) & (F.col("held") < F.col("n"))).alias("n_in_both"), (n >= 200).alias("large"), ((n < 200) | F.abs(held / n - 0.2).between(0, 0.1)).alias("near_share"))
+
+
 # source files
 
 #: Pieces of source files by turns, ~ being the piece's number. A mark /*@kind name@*/ is before each construct; texts, comments, macros and values hold words that would be constructs elsewhere.

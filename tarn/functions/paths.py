@@ -62,6 +62,12 @@ def parse_virtual_path(x: str) -> tuple[str, str] | None:
     return (m[1], m[2]) if m else None
 
 
+def virtual_parts(x: Column) -> Column:
+    """As ``parse_virtual_path``, for a column: struct(collection, path), null for what is no virtual path."""
+    rule = r"^\s*(?:(?:tarn:)?//+|tarn:/*)([^/?\s][^/?]*)/?([^?]*?)(?:\?.*)?\s*$"
+    return F.when(x.rlike(rule), F.struct(F.regexp_extract(x, rule, 1).alias("collection"), F.regexp_extract(x, rule, 2).alias("path")))
+
+
 def encoded_path(path: Column) -> Column:
     """Percent-encoded, segment by segment, but for letters, digits and ``-_.!~*'()``."""
     def part(x: Column) -> Column:

@@ -104,6 +104,18 @@ def intent_terms(intent: str | None) -> list[str]:
     return [t for t in stripped if len(t) > 1 and t not in INTENT_STOP_WORDS]
 
 
+def intent_words(intent: Column) -> Column:
+    """As ``intent_terms``, for a column."""
+    stripped = F.transform(F.split(F.lower(F.coalesce(intent, F.lit(""))), r"(?U)\s+"), lambda x: F.regexp_replace(x, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    return F.filter(stripped, lambda x: (F.length(x) > 1) & ~x.isin(INTENT_STOP_WORDS))
+
+
+def line_range(doc: Column, first: Column, count: Column) -> Column:
+    """As ``line_slice``, with a row's own first line and number of lines; null is from the start, and all there are."""
+    all_ = lines(doc)
+    return F.array_join(F.slice(all_, F.greatest(F.coalesce(first, F.lit(1)), F.lit(1)), F.greatest(F.coalesce(count, F.size(all_)), F.lit(1))), "\n")
+
+
 def byte_length(doc: Column) -> Column:
     return F.octet_length(doc)
 

@@ -21,6 +21,13 @@ def split_range(name: str) -> tuple[str, int | None, int | None]:
     return m[1], number(m[2]), number(m[3])
 
 
+def line_range_of(name: Column) -> Column:
+    """As ``split_range``, for a column: struct(name, first, count)."""
+    rule = r"(?s)^(.+?)(?::(\d+))?(?::(\d+))?$"
+    number = lambda k: F.greatest(F.nullif(F.regexp_extract(name, rule, k), F.lit("")).cast("int"), F.when(F.regexp_extract(name, rule, k) != "", 1))
+    return F.struct(F.regexp_extract(name, rule, 1).alias("name"), number(2).alias("first"), number(3).alias("count"))
+
+
 def by_docid(docs: DataFrame, given: str) -> DataFrame:
     """The first document (by collection and path) whose hash begins so; none where ``given`` is no document id."""
     digits = P.parse_docid(given)

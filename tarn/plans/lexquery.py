@@ -10,6 +10,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import regex
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from tarn.functions.analyzer import term
 
@@ -53,6 +55,16 @@ def validate_semantic(query: str) -> None:
         raise QueryError("exclusion (-term) is for lex queries only")
 
 
+def valid_lex(query: Column) -> Column:
+    """Whether ``validate_lex`` would let a column's queries pass."""
+    return ~query.rlike(r"[\n\r]") & (F.length(F.regexp_replace(query, '[^"]', "")) % 2 == 0)
+
+
+def valid_semantic(query: Column) -> Column:
+    """Whether ``validate_semantic`` would let a column's queries pass."""
+    return ~query.rlike(r'(?U)(^|\s)-[\w"]')
+
+
 def spaced(text: str) -> str:
     return _CJK.sub(r" \g<0> ", text)
 

@@ -109,3 +109,29 @@ def test_stems_are_those_of_another_implementation():
     other = dict(db.execute("select doc, term from v").fetchall())
     assert [stem(w) for w in words] == [other[k] for k in range(1, len(words) + 1)]
     assert folded("Über") == "Uber" and term("Naïve", "porter") == "naiv" and term("Über", "simple") == "über"
+
+
+def test_column_forms_agree(spark):
+    from tarn.operators import lookup
+    from tarn.plans import lexquery
+
+    def passes(check, x):
+        try:
+            check(x)
+        except lexquery.QueryError:
+            return False
+        return True
+
+    texts = ["", " ", "What is (the) API-key, für C++?", "a.md", "a.md:3", "a.md:3:4", "a:b:0", ":5", "tarn://c/p/q.md", "//c/p", "///c", "tarn:c/p?index=x", "tarn:", "//", " tarn://c/ ", "c/p", 'say "x', 'x -"y"', "a\n-b", "re-use", "　-é", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    t = F.col("t")
+    got = df.select("k", T.intent_words(t).alias("w"), P.virtual_parts(t).alias("v"), lookup.line_range_of(t).alias("r"), lexquery.valid_lex(t).alias("x"), lexquery.valid_semantic(t).alias("s"), T.line_range(t, F.lit(None).cast("int"), F.lit(None).cast("int")).alias("all"))
+    for row in got.collect():
+        x = texts[row.k]
+        assert row.w == T.intent_terms(x) and row["all"] == x
+        if x is None:
+            assert row.v is None and row.x is None and row.s is None
+            continue
+        assert (tuple(row.v) if row.v else None) == P.parse_virtual_path(x), x
+        assert not x or tuple(row.r) == lookup.split_range(x), x
+        assert row.x == passes(lexquery.validate_lex, x) and row.s == passes(lexquery.validate_semantic, x), x
