@@ -13,7 +13,9 @@ of text, each of them broadcast: what is broadcast at once doesn't grow with it.
 
 Null and empty texts have no words and are clean; null item texts have no
 windows. Items of equal text each count. Repeated documents are judged each.
-Empty tables give no rows, or clean documents. Extra columns are ignored.
+Empty tables give no rows, or clean documents. Extra columns are ignored. A row
+without a doc_id is judged like any other. A very long text is one shard, indexed and
+searched whole by one task.
 """
 
 from __future__ import annotations

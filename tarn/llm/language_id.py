@@ -15,8 +15,8 @@ labelled with, and its score their share.
 
 ``und`` with score 0 goes to null texts, to texts without a letter, and to all
 texts where nothing could be learned. Ties go to the language first in name
-order. Repeated rows are judged each; empty tables give no rows; extra columns
-are ignored.
+order. Repeated rows are judged each; rows without a doc_id are judged, and neither
+learned from nor held out; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,8 +13,8 @@ matches can't hold a phrase or be part of a chain, so nothing is lost.
 
 A very long text is streamed through word by word; kept of it are its word
 numbers and what matched. Null and empty texts have no words, no places, no labels and a score of 0.
-Repeated rows are scanned each; an empty table gives no rows; extra columns are
-ignored.
+Repeated rows and rows without a doc_id are scanned each; an empty table gives no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations

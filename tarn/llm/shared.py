@@ -51,13 +51,24 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where it is unset: on one machine a fresh temporary one, on a cluster a folder in the warehouse, which all executors reach."""
+    """The folder named in spark.checkpoint.dir. Where it is unset: on one machine a fresh temporary one, on a cluster a folder in the warehouse, unless that is on a machine's own disk, which is refused."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-        found = _OWN_DIRS.setdefault(sc.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="tarn-shared-")
-        _OWN_DIRS[sc.applicationId] = found
-    return (found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tarn-scratch").rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        if sc.applicationId not in _OWN_DIRS:
+            _OWN_DIRS[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="tarn-shared-")
+        return _OWN_DIRS[sc.applicationId]
+    return _reached_by_all(spark, f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tarn-scratch")
+
+
+def _reached_by_all(spark: SparkSession, folder: str) -> str:
+    """``folder``, if it isn't on a machine's own disk."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() == "file":
+        raise ValueError(f"spark.checkpoint.dir is unset and {folder} is on each machine's own disk: name a folder there that all executors share")
+    return folder
 
 
 class Scratch:

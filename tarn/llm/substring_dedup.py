@@ -16,7 +16,7 @@ first are removed.
 First is the smaller doc_id (null before any), then the earlier start; of rows
 with the same doc_id the one in the earlier block. Null and empty texts have no
 words. Texts of fewer words than a window keep all. Empty tables give no rows.
-Extra columns are ignored.
+Extra columns are ignored. A very long text is worked on whole, in a block of its own.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ The shortcut is for word-level files (``wordpieces.by_strings``); with any other
 tokenizer file the library counts whole texts. A very long text is counted whole.
 Null and empty texts have 0 bytes and 0 tokens. Special strings inside a text
 are handled as the library does by default. Extra columns are ignored; repeated
-rows give repeated results; an empty table gives none.
+rows give repeated results, rows without a doc_id theirs; an empty table gives none.
 """
 
 from __future__ import annotations

@@ -611,3 +611,41 @@ def test_rows_without_ids(spark, no_ids):
         lambda d: token_output.token_output(d, WORD_BPE, 2), lambda d: decontamination.leak_report(d, bench), lambda d: sentencepiece_codec.encode(d, PIECES),
     ):
         assert sorted(str(r.doc_id) for r in f(no_ids).collect()) == ["7", "None", "None"]
+
+
+def test_scratch_is_never_on_a_machine_of_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tarn.llm import shared
+
+    assert shared.shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    with pytest.raises(ValueError, match="own disk"):
+        shared._reached_by_all(spark, "file:/tmp/warehouse/tarn-scratch")
+
+    def session(master, **conf):
+        context = SimpleNamespace(getConf=lambda: conf, master=master, applicationId="an application")
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, *d: conf.get(k, *d)), _jvm=spark._jvm, _jsc=spark._jsc)
+
+    monkeypatch.setattr(shared, "_OWN_DIRS", {})
+    own = shared.shared_dir(session("local[2]"))
+    assert own.startswith("file:///") and shared.shared_dir(session("local[2]")) == own
+    with pytest.raises(ValueError, match="own disk"):
+        shared.shared_dir(session("spark://host:7077", **{"spark.sql.warehouse.dir": "file:/data/warehouse"}))
+    assert shared.shared_dir(session("spark://host:7077", **{"spark.checkpoint.dir": "file:/shared/", "spark.sql.warehouse.dir": "file:/data"})) == "file:/shared"
+
+
+def test_leaks_and_pieces_of_megabytes(spark):
+    """A text of some 3 MB: every occurrence is found, at its ends too; its pieces are the library's."""
+    import sentencepiece
+
+    words = [f"w{k % 9973}" for k in range(500_000)]
+    passage = [f"leak{k}" for k in range(12)]
+    for at in (0, 250_000, len(words) - 12):
+        words[at:at + 12] = passage
+    rows, items = [(1, " ".join(words)), (2, "a short one"), (3, None), (4, " ".join(passage[:10]))], [(7, " ".join(passage)), (8, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w11")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_row(decontamination.leak_report(docs, spark.createDataFrame(items, "item_id long, text string")), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert got == sorted(leaks(rows, items), key=repr) and got[0][2] == 36
+    ids = sentencepiece.SentencePieceProcessor(model_file=PIECES).encode(rows[0][1])
+    pieces = sentencepiece_codec.encode(docs.where("doc_id = 1"), PIECES).first()
+    assert (pieces.n_tokens, pieces.ids_crc32, pieces.decoded) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True)

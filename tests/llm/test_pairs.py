@@ -149,3 +149,16 @@ def test_a_group_of_many_components(spark, monkeypatch):
     assert len({c for _, c in want.values()}) > 1
     got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_texts_of_megabytes(spark):
+    """Two long texts that differ in a few words, and a passage of one of them elsewhere."""
+    a = [f"w{k * k % 99991}" for k in range(300_000)]
+    b = list(a)
+    b[150_000:150_003] = ["other", "words", "here"]
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(a[200_000:200_025])), (4, None), (5, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == brute_components(rows)
+    want = {d: sorted(v) for d, v in brute_passages(rows).items()}
+    assert {r.doc_id: [(r.n_words, r.n_removed, r.kept_sha256)] for r in substring_dedup.repeated_passages(docs).collect()} == want
