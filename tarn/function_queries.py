@@ -132,7 +132,7 @@ def readable_numbers(spark, d):
     """Ages, days, sizes, durations and what is left of them as people read them."""
     now, id_ = F.timestamp_seconds(F.lit(1704067200 + 60 * 86400)), F.col("doc_id")
     return documents(spark, d).select(
-        "doc_id", T.time_ago(F.col("modified_at"), now).alias("age"), T.days_since(F.col("modified_at"), now).alias("days"),
+        "doc_id", T.time_ago(F.col("modified_at"), now).alias("age"), T.whole_days_since(F.col("modified_at"), now).alias("days"),
         T.readable_bytes(id_ * id_ * 1031).alias("size"), T.readable_ms(id_).alias("took"), T.readable_eta(id_ * 7.5).alias("left_over"),
     )
 

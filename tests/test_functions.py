@@ -87,6 +87,13 @@ def test_readable(one):
     assert one(T.csv_field(F.lit('a"b'))) == '"a""b"' and one(T.csv_field(F.lit(None))) == "" and one(T.xml_text(F.lit("<a & 'b'>"))) == "&lt;a &amp; &apos;b&apos;&gt;"
 
 
+def test_days_of_moments_ahead(one):
+    at = lambda s: F.timestamp_seconds(F.lit(s))
+    day = 86400
+    assert [one(T.whole_days_since(at(10 * day), at(s))) for s in (10 * day, 10 * day - 1, 9 * day + 1, 9 * day, 8 * day + 5, 11 * day, 12 * day - 1)] == [0, 0, 0, -1, -1, 1, 1]
+    assert one(T.days_since(at(10 * day), at(10 * day - 1))) == -1
+
+
 def test_cjk(one):
     assert one(T.spaced_cjk(F.lit("a検b"))) == "a 検 b"
     assert one(T.tokens(F.lit("検索ABC テスト"))) == ["検", "索", "abc", "テ", "ス", "ト"]
