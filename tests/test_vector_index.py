@@ -36,6 +36,34 @@ def test_recall_and_how_little_is_looked_at(spark):
     assert all(round(r.distance, 9) == exact[r.query_id, r.vec_id] for r in found.collect())
 
 
+def test_recall_of_vectors_that_do_not_cluster(spark):
+    """Codes of four numbers a byte lose every tenth neighbour here."""
+    v = np.random.default_rng(5).normal(size=(12_000, 64)).astype(np.float32)
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], SCHEMA).repartition(6)
+    fitted, q = vector_index.fit(rows, lists=4), asked(rows, "vec_id % 200 = 0")
+    found = vector_index.nearest(vector_index.coded(rows, fitted), rows, fitted, q, 10, probes=4)
+    assert vector_index.recall(found, vectors.nearest(rows, q, 10)).first().recall >= 0.97
+
+
+def test_copies_and_many_blocks(spark, monkeypatch):
+    """Groups of copies larger than the candidates, more queries than a block, more rows than a block."""
+    monkeypatch.setattr(vectors, "QUERIES", 7)
+    monkeypatch.setattr(vectors, "ROWS", 50)
+    monkeypatch.setattr(vector_index, "CODES", 100)
+    v = np.random.default_rng(2).normal(size=(60, 8)).astype(np.float32)
+    v[1] = v[0] * 2  # another vector of the same direction
+    which = [k % 60 if k % 3 else 5 for k in range(900)]
+    rows = spark.createDataFrame([(k, v[x].tolist()) for k, x in enumerate(which)], SCHEMA).repartition(3)
+    q = asked(rows, "vec_id % 20 = 0")
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    d = np.round(1 - unit @ unit.T, 12)
+    want = {(k, x) for k in range(0, 900, 20) for x in sorted(range(900), key=lambda x: (d[which[k], which[x]], x))[:4]}
+    assert {(r.query_id, r.vec_id) for r in vectors.nearest(rows, q, 4).collect()} == want
+    fitted = vector_index.fit(rows)
+    got = vector_index.nearest(vector_index.coded(rows, fitted), rows, fitted, q, 4, probes=len(fitted.centroids)).collect()
+    assert {(r.query_id, r.vec_id) for r in got} == want
+
+
 def test_queries_without_direction_find_nothing(spark):
     rows = clustered(spark, 300)
     fitted = vector_index.fit(rows)
