@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import astuple, dataclass
+from dataclasses import asdict, dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tarn.functions.pieces import by_pieces
 from tarn.functions.text import intent_terms
 from tarn.operators.chunking import CHARS, CHUNK_TOKENS
 
@@ -15,6 +16,7 @@ from tarn.operators.chunking import CHARS, CHUNK_TOKENS
 INTENT_WEIGHT, AROUND = 0.3, 100
 
 SNIPPET_TYPE = "line int, snippet string, lines_before int, lines_after int, snippet_lines int"
+SNIPPET_ARROW = pa.struct([("line", pa.int32()), ("snippet", pa.string()), ("lines_before", pa.int32()), ("lines_after", pa.int32()), ("snippet_lines", pa.int32())])
 
 
 @dataclass
@@ -58,11 +60,9 @@ def snippet(body: str, query: str, most: int = 500, chunk_pos: int | None = None
 
 
 def snippets(body: Column, query: Column, chunk_pos: Column | None = None, most: int = 500, intent: str | None = None) -> Column:
-    """The snippet of each row as a struct, in Arrow batches."""
+    """The snippet of each row as a struct, some rows at a time."""
 
-    @F.pandas_udf(SNIPPET_TYPE)
-    def run(bodies: pd.Series, queries: pd.Series, places: pd.Series) -> pd.DataFrame:
-        found = [astuple(snippet(b or "", q or "", most, None if pd.isna(p) else int(p), intent=intent)) for b, q, p in zip(bodies, queries, places)]
-        return pd.DataFrame(found, columns=["line", "snippet", "lines_before", "lines_after", "snippet_lines"])
+    def run(bodies: list, queries: list, places: list) -> list:
+        return [asdict(snippet(b or "", q or "", most, p, intent=intent)) for b, q, p in zip(bodies, queries, places)]
 
-    return run(body, query, chunk_pos if chunk_pos is not None else F.lit(None).cast("int"))
+    return by_pieces(SNIPPET_TYPE, SNIPPET_ARROW, run)(body, query, chunk_pos if chunk_pos is not None else F.lit(None).cast("int"))
