@@ -38,8 +38,10 @@ from tarn.functions.analyzer import terms
 from tarn.operators.bm25 import B, FIELD, K1, LEAST_IDF, WEIGHTS, Statistics, _all, _any, _texts, moved
 from tarn.plans.lexquery import LexPlan, Phrase
 
-#: Documents of a block. Words in this share of documents get pairs (PAIRED at most), judged by one document in SAMPLED; frequent words are dealt to so many tasks.
-BLOCK, SHARE, PAIRED, SAMPLED, SALTS = 512, 0.25, 64, 16, 16
+#: Documents of a block. Words in this share of documents get pairs (PAIRED at most), judged by one document in SAMPLED.
+BLOCK, SHARE, PAIRED, SAMPLED = 512, 0.25, 64, 16
+#: Places that are in Python at once; terms in this share of a task's documents are dealt to so many tasks.
+PIECE, OFTEN, SALTS = 1 << 19, 1 / 16, 64
 #: So many segments of a tier are merged; a tier's segments are at most so many times as large as the smallest.
 FAN, TIER = 4, 4
 #: Blocks of each word that are scored for a threshold, and from how many blocks on it pays.
@@ -51,6 +53,7 @@ SCHEMAS = {
     "totals": "n long, tokens long, paired array<string>, segment int",
     "marks": "doc_id long, segment int",
 }
+_INVERTED_DDL = "term string, salt int, docs array<long>, dls array<int>, counts array<int>, places array<long>"
 _BLOCK_DDL = "term string, n int, cf long, top double, mean double, doc_ids array<long>, dls array<int>, fs array<double>, places array<array<long>>"
 
 
@@ -62,91 +65,115 @@ def paired_words(docs: DataFrame, analyzer: str) -> list[str]:
     return sorted(r["w"] for r in rows if r["count"] >= SHARE * n)
 
 
-def _occurrences(docs: DataFrame, analyzer: str, paired: list[str]) -> DataFrame:
-    """term, doc_id, dl, place of every term and every pair of paired words."""
-    arrays = docs.select("doc_id", *(terms(x, analyzer).alias(f) for f, x in _texts().items()))
-    often, dl = F.array(*map(F.lit, paired)), sum((F.size(f) for f in WEIGHTS), F.lit(0))
-
-    def placed(k: int, f: str) -> Column:
-        return F.transform(F.col(f), lambda x, i: F.struct(x.alias("term"), (F.lit(k * FIELD) + i).alias("place")))
-
-    def pairs(k: int, f: str) -> Column:
-        both = F.transform(F.col(f), lambda x, i: F.struct(F.when(F.array_contains(often, x) & F.array_contains(often, F.get(F.col(f), i + 1)), F.concat_ws(" ", x, F.get(F.col(f), i + 1))).alias("term"), (F.lit(k * FIELD) + i).alias("place")))
-        return F.filter(both, lambda x: x["term"].isNotNull())
-
-    every = [g(k, f) for k, f in enumerate(WEIGHTS) for g in ((placed, pairs) if paired else (placed,))]
-    return arrays.select("doc_id", dl.alias("dl"), F.explode(F.concat(*every)).alias("x")).select("x.term", "doc_id", "dl", "x.place")
-
-
-def _cut(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of occurrences that are sorted by term, document and place."""
-    schema = pa.schema([("term", pa.string()), ("n", pa.int32()), ("cf", pa.int64()), ("top", pa.float64()), ("mean", pa.float64()), ("doc_ids", pa.list_(pa.int64())), ("dls", pa.list_(pa.int32())), ("fs", pa.list_(pa.float64())), ("places", pa.list_(pa.list_(pa.int64())))])
-    weights, out, held = np.array([*WEIGHTS.values()]), {n: [] for n in schema.names}, None
-
-    def cut(t: pa.Table) -> None:
-        """The blocks of whole terms."""
-        names, doc, dl, place = t["term"].combine_chunks(), *(t[c].to_numpy() for c in ("doc_id", "dl", "place"))
-        new_term = np.concatenate(([True], pc.not_equal(names.slice(1), names.slice(0, len(names) - 1)).to_numpy(zero_copy_only=False)))
-        new_doc = new_term | np.concatenate(([True], doc[1:] != doc[:-1]))
-        first = np.flatnonzero(new_doc)
-        ends = np.append(first[1:], len(doc))
-        f = np.add.reduceat(weights[place // FIELD], first)
-        length = dl[first]
-        mean = max(1.0, float(length.mean()))
-        impact = f / (f + K1 * (1 - B + B * length / mean))
-        at = np.append(np.flatnonzero(new_term[first]), len(first))
-        words = names.take(pa.array(first[at[:-1]])).to_pylist()
-        for word, a, b in zip(words, at[:-1].tolist(), at[1:].tolist()):
-            order = np.arange(a, b) if b - a <= block else a + np.argsort(-impact[a:b], kind="stable")
-            for s in range(0, b - a, block):
-                own = np.sort(order[s:s + block])
-                out["term"].append(word)
-                out["n"].append(len(own))
-                out["cf"].append(int((ends[own] - first[own]).sum()))
-                out["top"].append(float(impact[own].max()))
-                out["mean"].append(mean)
-                out["doc_ids"].append(doc[first[own]])
-                out["dls"].append(length[own])
-                out["fs"].append(f[own])
-                out["places"].append([place[first[k]:ends[k]] for k in own.tolist()])
-
-    def flush() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_pydict(out, schema=schema)
-        for v in out.values():
-            v.clear()
-        return made
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-        names = t["term"].combine_chunks()
-        last = pc.index(names, names[-1]).as_py()  # the last term may go on
-        held = t.slice(last)
-        if last:
-            cut(t.slice(0, last))
-        if len(out["term"]) >= 5000:
-            yield flush()
-    if held is not None and held.num_rows:
-        cut(held)
-    if out["term"]:
-        yield flush()
+def _sorted_terms(doc_ids: np.ndarray, fields: list[pa.ListArray], paired: list[str]) -> pa.RecordBatch:
+    """The terms of some documents (``fields``: a list of words of each document, by field), and pairs of paired words: a row a term."""
+    sizes = [f.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for f in fields]
+    flat = pa.concat_arrays([f.flatten() for f in fields]).dictionary_encode()
+    n, n_words = len(doc_ids), len(flat.dictionary)
+    code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    doc = np.concatenate([np.repeat(np.arange(n), x) for x in sizes])
+    place = np.concatenate([k * FIELD + np.arange(x.sum()) - np.repeat(np.cumsum(x) - x, x) for k, x in enumerate(sizes)])
+    dl = sum(sizes).astype(np.int32)
+    if paired and len(code) > 1:
+        own = pc.fill_null(pc.index_in(flat.dictionary, pa.array(paired, pa.string())), -1).to_numpy(zero_copy_only=False).astype(np.int64)[code]
+        at = np.flatnonzero((own[:-1] >= 0) & (own[1:] >= 0) & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1] + 1))
+        code = np.concatenate([code, n_words + own[at] * len(paired) + own[at + 1]])
+        doc, place = np.concatenate([doc, doc[at]]), np.concatenate([place, place[at]])
+    # by term, document and place: within a term and a document places are in order as they stand
+    size = max(1, len(code))
+    order = np.sort((code * n + doc) * size + np.arange(len(code))) % size
+    code, doc, place = code[order], doc[order], place[order]
+    new_term = np.append(True, code[1:] != code[:-1])[: len(code)]
+    first = np.flatnonzero(new_term | np.append(True, doc[1:] != doc[:-1])[: len(code)])  # of a document's places of a term
+    heads = np.flatnonzero(new_term[first])  # of a term's documents
+    term = code[first[heads]]
+    pairs = [f"{paired[a]} {paired[b]}" for a, b in zip(*(x.tolist() for x in np.divmod(term[term >= n_words] - n_words, max(1, len(paired)))))]
+    names = pa.concat_arrays([flat.dictionary.take(pa.array(term[term < n_words])), pa.array(pairs, pa.string())])
+    by_doc, by_place = (pa.array(np.append(x, m), pa.int32()) for x, m in ((heads, len(first)), (first[heads], len(code))))
+    lists = lambda offsets, values: pa.ListArray.from_arrays(offsets, pa.array(values))
+    often = np.diff(np.append(heads, len(first))) >= OFTEN * n
+    salt = np.where(often, (int(doc_ids[0]) * 0x9E3779B97F4A7C15 % (1 << 64)) % SALTS if n else 0, 0).astype(np.int32)
+    counts = np.diff(np.append(first, len(code))).astype(np.int32)
+    return pa.RecordBatch.from_arrays([names, pa.array(salt), lists(by_doc, doc_ids[doc[first]]), lists(by_doc, dl[doc[first]]), lists(by_doc, counts), lists(by_place, place)], names=["term", "salt", "docs", "dls", "counts", "places"])
+
+
+def inverted(docs: DataFrame, analyzer: str, paired: list[str]) -> DataFrame:
+    """term, salt, docs, dls, counts, places: the documents of a term among some thousands that a task reads one after the other, their lengths, how many places each has, and all the places. What frequent terms have is dealt out by its salt."""
+    arrays, piece = docs.select("doc_id", *(terms(x, analyzer).alias(f) for f, x in _texts().items())), PIECE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fields = [b.column(f) for f in WEIGHTS]
+            ends = np.cumsum(sum(f.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for f in fields))
+            at = 0
+            while at < b.num_rows:  # a document is always whole
+                to = max(at + 1, int(np.searchsorted(ends, piece + (ends[at - 1] if at else 0), "right")))
+                yield _sorted_terms(b.column("doc_id")[at:to].to_numpy(), [f[at:to] for f in fields], paired)
+                at = to
+
+    return arrays.mapInArrow(run, _INVERTED_DDL)
+
+
+def _cut(rows: pa.Table, block: int) -> pa.RecordBatch:
+    """Blocks of rows that are sorted by term."""
+    names = rows["term"].combine_chunks()
+    flat = lambda c: pc.list_flatten(rows[c]).to_numpy()
+    doc, dl, count, place = flat("docs"), flat("dls"), flat("counts").astype(np.int64), flat("places")
+    new = pc.not_equal(names.slice(1), names.slice(0, len(names) - 1)).to_numpy(zero_copy_only=False)
+    term = np.repeat(np.append(0, np.cumsum(new)), pc.list_value_length(rows["docs"]).to_numpy())
+    first = np.cumsum(count) - count
+    f = np.add.reduceat(np.array([*WEIGHTS.values()])[place // FIELD], first)
+    size = np.bincount(term)
+    mean = np.maximum(1.0, np.bincount(term, dl) / size)
+    impact = f / (f + K1 * (1 - B + B * dl / mean[term]))
+    order = np.lexsort((-impact, term))
+    of = np.empty(len(doc), np.int64)  # a document's block among its term's
+    of[order] = (np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)) // block
+    order = np.lexsort((doc, of, term))
+    term, of, count = term[order], of[order], count[order]
+    heads = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (of[1:] != of[:-1])))
+    edges = pa.array(np.append(heads, len(doc)), pa.int32())
+    ends = np.cumsum(count)
+    moved_places = place[np.repeat(first[order] - (ends - count), count) + np.arange(len(place))]
+    lists = lambda values: pa.ListArray.from_arrays(edges, values)
+    places = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(moved_places))
+    words = names.take(pa.array(np.flatnonzero(np.append(True, new))[term[heads]]))
+    return pa.RecordBatch.from_arrays(
+        [words, pa.array(np.diff(np.append(heads, len(doc))), pa.int32()), pa.array(np.add.reduceat(count, heads)), pa.array(np.maximum.reduceat(impact[order], heads)), pa.array(mean[term[heads]]), lists(pa.array(doc[order])), lists(pa.array(dl[order], pa.int32())), lists(pa.array(f[order])), lists(places)],
+        names=["term", "n", "cf", "top", "mean", "doc_ids", "dls", "fs", "places"],
+    )
 
 
 def _blocks(sorted_rows: DataFrame) -> DataFrame:
-    block = BLOCK
-    return sorted_rows.select("term", "doc_id", "dl", "place").mapInArrow(lambda batches: _cut(batches, block), _BLOCK_DDL)
+    """Blocks of ``inverted`` rows that are sorted by term; some PIECE places are looked at together, so a term with more has the best ones of each such part together."""
+    block, piece = BLOCK, PIECE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            ends = np.cumsum(b.column("places").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < b.num_rows:
+                before = int(ends[at - 1]) if at else 0
+                to = min(b.num_rows, int(np.searchsorted(ends, before + piece - n)) + 1)
+                held.append(b.slice(at, to - at))
+                n, at = n + int(ends[to - 1]) - before, to
+                if n >= piece:
+                    yield _cut(pa.Table.from_batches(held), block)
+                    held, n = [], 0
+        if held:
+            yield _cut(pa.Table.from_batches(held), block)
+
+    return sorted_rows.select("term", "docs", "dls", "counts", "places").mapInArrow(run, _BLOCK_DDL)
 
 
 def made(docs: DataFrame, gone: DataFrame | None, analyzer: str, number: int, paired: list[str], marks: DataFrame) -> dict[str, DataFrame]:
-    """A segment's tables: ``docs`` (doc_id, collection, path, title, body) came, ``gone`` (the same columns, as they were) went, ``marks`` (doc_id) are not to be found in earlier segments. One shuffle, one sort."""
-    rows, often = _occurrences(docs, analyzer, paired), F.array(*map(F.lit, paired))
-    salt = F.when(F.array_contains(often, F.substring_index("term", " ", 1)), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0) if paired else F.lit(0)
-    blocks = _blocks(rows.withColumn("salt", salt).repartition("term", "salt").sortWithinPartitions("term", "doc_id", "place"))
-    size = lambda d: d.select("doc_id", sum((F.size(terms(x, analyzer)) for x in _texts().values()), F.lit(0)).alias("dl"))
+    """A segment's tables: ``docs`` (doc_id, collection, path, title, body) came, ``gone`` (the same columns, as they were) went, ``marks`` (doc_id) are not to be found in earlier segments. One shuffle and one sort, of a row for each term and some thousands of documents."""
+    blocks = _blocks(inverted(docs, analyzer, paired).repartition("term", "salt").sortWithinPartitions("term"))
+    size = lambda d: d.select("doc_id", sum((F.size(terms(x)) for x in _texts().values()), F.lit(0)).alias("dl"))  # noqa: E731  whatever the analyzer, a word is a term
     counted, lengths = blocks.limit(0).select("term", F.lit(0).cast("long").alias("df"), "cf", "top", "mean"), size(docs).withColumn("sign", F.lit(1))
     if gone is not None:
-        less = _occurrences(gone, analyzer, paired).groupBy("term").agg((-F.count_distinct("doc_id")).alias("df"), (-F.count(F.lit(1))).alias("cf"))
+        less = inverted(gone, analyzer, paired).groupBy("term").agg((-F.sum(F.size("docs"))).alias("df"), (-F.sum(F.size("places"))).alias("cf"))
         counted = less.select("term", "df", "cf", F.lit(0.0).alias("top"), F.lit(float("inf")).alias("mean"))
         lengths = lengths.unionByName(size(gone).withColumn("sign", F.lit(-1)))
     totals = lengths.agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("sign") * F.col("dl")), F.lit(0)).alias("tokens"))
@@ -166,8 +193,8 @@ def merged(tables: dict[str, DataFrame], numbers: list[int], oldest: bool) -> di
     number, own = numbers[-1], F.col("segment").isin(numbers)
     some = {k: t.where(own) for k, t in tables.items()}
     rows = live(_exploded(some["postings"], ["places"]), some["marks"])
-    flat = rows.select("term", "doc_id", "dl", F.explode("places").alias("place"))
-    blocks = _blocks(flat.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id", "place"))
+    each = rows.select("term", "doc_id", F.array("doc_id").alias("docs"), F.array("dl").alias("dls"), F.array(F.size("places")).alias("counts"), "places")
+    blocks = _blocks(each.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"))
     words = some["dictionary"].groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.max("top").alias("top"), F.min("mean").alias("mean"))
     totals = some["totals"].agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"), F.first("paired").alias("paired"))
     number_, marks = F.lit(number).alias("segment"), some["marks"].select("doc_id").distinct()

@@ -59,6 +59,21 @@ def test_a_phrase_of_frequent_words_reads_pairs(spark, tmp_path):
     assert [s[1] for s in index.slots(parse('"w40 w0 w1"').positive[0], paired)] == ["w40", "w0 w1"]
 
 
+def test_a_row_is_sorted_for_a_term_and_many_documents(spark, tmp_path, monkeypatch):
+    docs = documents(spark)
+    rows = segments.inverted(docs, "simple", ["w0", "w1"]).collect()
+    places = {r.term: sum(len(x.places) for x in rows if x.term == r.term) for r in rows}
+    assert len(rows) <= len(places) * docs.rdd.getNumPartitions() < sum(places.values()) / 10  # it was a row a place
+    assert {t: n for t, n in places.items() if " " not in t} == {r.term: r.cf for r in bm25.Postings.build(docs).dictionary().collect()}
+    assert all(len(r.docs) == len(r.dls) == len(r.counts) and sum(r.counts) == len(r.places) for r in rows)
+    # a term's places are more than what is looked at together
+    monkeypatch.setattr(segments, "PIECE", 200)
+    index = written(spark, tmp_path / "i", docs).keyword_index()
+    assert max(r.cf for r in index.postings.select("cf").collect()) <= 200 + 120 < places["w0"]
+    for q in ('"w0 w1"', "w2 w3", 'w1 -"w0 w1"', '"w0" "w1"'):
+        assert answers(bm25.search(index, docs, parse(q), 10)) == answers(bm25.search(bm25.Scan(docs), docs, parse(q), 10)), q
+
+
 def test_updates_and_merges_equal_a_rebuild(spark, tmp_path):
     rng, w = random.Random(4), Warehouse(spark, str(tmp_path / "i"))
     state: dict[int, str] = {}
