@@ -92,7 +92,7 @@ def _sorted_terms(doc_ids: np.ndarray, fields: list[pa.ListArray], paired: list[
     by_doc, by_place = (pa.array(np.append(x, m), pa.int32()) for x, m in ((heads, len(first)), (first[heads], len(code))))
     lists = lambda offsets, values: pa.ListArray.from_arrays(offsets, pa.array(values))
     often = np.diff(np.append(heads, len(first))) >= OFTEN * n
-    salt = np.where(often, (int(doc_ids[0]) * 0x9E3779B97F4A7C15 % (1 << 64)) % SALTS if n else 0, 0).astype(np.int32)
+    salt = np.where(often, (int(doc_ids[0]) * 0x9E3779B97F4A7C15 % (1 << 64)) * SALTS >> 64 if n else 0, 0).astype(np.int32)
     counts = np.diff(np.append(first, len(code))).astype(np.int32)
     return pa.RecordBatch.from_arrays([names, pa.array(salt), lists(by_doc, doc_ids[doc[first]]), lists(by_doc, dl[doc[first]]), lists(by_doc, counts), lists(by_place, place)], names=["term", "salt", "docs", "dls", "counts", "places"])
 
