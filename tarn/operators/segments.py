@@ -41,7 +41,9 @@ from tarn.plans.lexquery import LexPlan, Phrase
 #: Documents of a block. Words in this share of documents get pairs (PAIRED at most), judged by one document in SAMPLED.
 BLOCK, SHARE, PAIRED, SAMPLED = 512, 0.25, 64, 16
 #: Places that are in Python at once; terms in this share of a task's documents are dealt to so many tasks.
-PIECE, OFTEN, SALTS = 1 << 19, 1 / 16, 64
+PIECE, OFTEN, SALTS = 1 << 20, 1 / 16, 64
+#: What a shuffled row has of a document; a place there is its number in the field times 4, plus the field's.
+_DOCUMENT = np.dtype([("doc", "<i8"), ("dl", "<i4"), ("count", "<i4")])
 #: So many segments of a tier are merged; a tier's segments are at most so many times as large as the smallest.
 FAN, TIER = 4, 4
 #: Blocks of each word that are scored for a threshold, and from how many blocks on it pays.
@@ -53,7 +55,7 @@ SCHEMAS = {
     "totals": "n long, tokens long, paired array<string>, segment int",
     "marks": "doc_id long, segment int",
 }
-_INVERTED_DDL = "term string, salt int, docs array<long>, dls array<int>, counts array<int>, places array<long>"
+_INVERTED_DDL = "term string, salt int, docs binary, places binary"
 _BLOCK_DDL = "term string, n int, cf long, top double, mean double, doc_ids array<long>, dls array<int>, fs array<double>, places array<array<long>>"
 
 
@@ -65,6 +67,30 @@ def paired_words(docs: DataFrame, analyzer: str) -> list[str]:
     return sorted(r["w"] for r in rows if r["count"] >= SHARE * n)
 
 
+def _binary(values: np.ndarray, heads: np.ndarray) -> pa.Array:
+    """Values in rows that begin at ``heads``."""
+    edges = (np.append(heads, len(values)) * values.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(values).view(np.uint8))])
+
+
+def _values(rows: pa.ChunkedArray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all rows of a binary column, and how many each row has."""
+    x = rows.combine_chunks()
+    edges = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1]
+    return np.frombuffer(x.buffers()[2], np.uint8)[edges[0] : edges[-1]].view(kind), np.diff(edges) // kind.itemsize
+
+
+def _documents(doc: np.ndarray, dl: np.ndarray, count: np.ndarray) -> np.ndarray:
+    out = np.empty(len(doc), _DOCUMENT)
+    out["doc"], out["dl"], out["count"] = doc, dl, count
+    return out
+
+
+def _salts(doc_ids: np.ndarray) -> np.ndarray:
+    """The upper bits of a hash: numbers in a row get several."""
+    return ((doc_ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) * SALTS >> 32
+
+
 def _sorted_terms(doc_ids: np.ndarray, fields: list[pa.ListArray], paired: list[str]) -> pa.RecordBatch:
     """The terms of some documents (``fields``: a list of words of each document, by field), and pairs of paired words: a row a term."""
     sizes = [f.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for f in fields]
@@ -72,11 +98,11 @@ def _sorted_terms(doc_ids: np.ndarray, fields: list[pa.ListArray], paired: list[
     n, n_words = len(doc_ids), len(flat.dictionary)
     code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     doc = np.concatenate([np.repeat(np.arange(n), x) for x in sizes])
-    place = np.concatenate([k * FIELD + np.arange(x.sum()) - np.repeat(np.cumsum(x) - x, x) for k, x in enumerate(sizes)])
+    place = np.concatenate([k + 4 * (np.arange(x.sum()) - np.repeat(np.cumsum(x) - x, x)) for k, x in enumerate(sizes)])
     dl = sum(sizes).astype(np.int32)
     if paired and len(code) > 1:
         own = pc.fill_null(pc.index_in(flat.dictionary, pa.array(paired, pa.string())), -1).to_numpy(zero_copy_only=False).astype(np.int64)[code]
-        at = np.flatnonzero((own[:-1] >= 0) & (own[1:] >= 0) & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1] + 1))
+        at = np.flatnonzero((own[:-1] >= 0) & (own[1:] >= 0) & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1] + 4))
         code = np.concatenate([code, n_words + own[at] * len(paired) + own[at + 1]])
         doc, place = np.concatenate([doc, doc[at]]), np.concatenate([place, place[at]])
     # by term, document and place: within a term and a document places are in order as they stand
@@ -89,16 +115,14 @@ def _sorted_terms(doc_ids: np.ndarray, fields: list[pa.ListArray], paired: list[
     term = code[first[heads]]
     pairs = [f"{paired[a]} {paired[b]}" for a, b in zip(*(x.tolist() for x in np.divmod(term[term >= n_words] - n_words, max(1, len(paired)))))]
     names = pa.concat_arrays([flat.dictionary.take(pa.array(term[term < n_words])), pa.array(pairs, pa.string())])
-    by_doc, by_place = (pa.array(np.append(x, m), pa.int32()) for x, m in ((heads, len(first)), (first[heads], len(code))))
-    lists = lambda offsets, values: pa.ListArray.from_arrays(offsets, pa.array(values))
     often = np.diff(np.append(heads, len(first))) >= OFTEN * n
-    salt = np.where(often, (int(doc_ids[0]) * 0x9E3779B97F4A7C15 % (1 << 64)) * SALTS >> 64 if n else 0, 0).astype(np.int32)
-    counts = np.diff(np.append(first, len(code))).astype(np.int32)
-    return pa.RecordBatch.from_arrays([names, pa.array(salt), lists(by_doc, doc_ids[doc[first]]), lists(by_doc, dl[doc[first]]), lists(by_doc, counts), lists(by_place, place)], names=["term", "salt", "docs", "dls", "counts", "places"])
+    salt = np.where(often, _salts(doc_ids[:1]), 0).astype(np.int32)
+    found = _documents(doc_ids[doc[first]], dl[doc[first]], np.diff(np.append(first, len(code))))
+    return pa.RecordBatch.from_arrays([names, pa.array(salt), _binary(found, heads), _binary(place.astype(np.int32), first[heads])], names=["term", "salt", "docs", "places"])
 
 
 def inverted(docs: DataFrame, analyzer: str, paired: list[str]) -> DataFrame:
-    """term, salt, docs, dls, counts, places: the documents of a term among some thousands that a task reads one after the other, their lengths, how many places each has, and all the places. What frequent terms have is dealt out by its salt."""
+    """term, salt, docs, places: the documents of a term among some thousands that a task reads one after the other, with their lengths and how many places each has, and all the places. What frequent terms have is dealt out by its salt."""
     arrays, piece = docs.select("doc_id", *(terms(x, analyzer).alias(f) for f, x in _texts().items())), PIECE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,13 +138,27 @@ def inverted(docs: DataFrame, analyzer: str, paired: list[str]) -> DataFrame:
     return arrays.mapInArrow(run, _INVERTED_DDL)
 
 
+def _repacked(rows: DataFrame) -> DataFrame:
+    """Rows of a term and a document (term, doc_id, dl, places) as ``inverted`` has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, dl = (b.column(c).to_numpy() for c in ("doc_id", "dl"))
+            count, place = b.column("places").value_lengths().to_numpy(), b.column("places").flatten().to_numpy()
+            found, code = _documents(doc, dl, count), (place % FIELD * 4 + place // FIELD).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("term"), pa.array(_salts(doc), pa.int32()), _binary(found, np.arange(len(doc))), _binary(code, np.cumsum(count) - count)], names=["term", "salt", "docs", "places"])
+
+    return rows.select("term", "doc_id", "dl", "places").mapInArrow(run, _INVERTED_DDL)
+
+
 def _cut(rows: pa.Table, block: int) -> pa.RecordBatch:
     """Blocks of rows that are sorted by term."""
     names = rows["term"].combine_chunks()
-    flat = lambda c: pc.list_flatten(rows[c]).to_numpy()
-    doc, dl, count, place = flat("docs"), flat("dls"), flat("counts").astype(np.int64), flat("places")
+    (found, size), (code, _) = _values(rows["docs"], _DOCUMENT), _values(rows["places"], np.dtype("<i4"))
+    doc, dl, count = found["doc"], found["dl"], found["count"].astype(np.int64)
+    place = (code & 3).astype(np.int64) * FIELD + (code >> 2)
     new = pc.not_equal(names.slice(1), names.slice(0, len(names) - 1)).to_numpy(zero_copy_only=False)
-    term = np.repeat(np.append(0, np.cumsum(new)), pc.list_value_length(rows["docs"]).to_numpy())
+    term = np.repeat(np.append(0, np.cumsum(new)), size)
     first = np.cumsum(count) - count
     f = np.add.reduceat(np.array([*WEIGHTS.values()])[place // FIELD], first)
     size = np.bincount(term)
@@ -151,7 +189,7 @@ def _blocks(sorted_rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for b in batches:
-            ends = np.cumsum(b.column("places").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            ends = np.cumsum(pc.binary_length(b.column("places")).to_numpy(zero_copy_only=False).astype(np.int64) // 4)
             at = 0
             while at < b.num_rows:
                 before = int(ends[at - 1]) if at else 0
@@ -164,7 +202,7 @@ def _blocks(sorted_rows: DataFrame) -> DataFrame:
         if held:
             yield _cut(pa.Table.from_batches(held), block)
 
-    return sorted_rows.select("term", "docs", "dls", "counts", "places").mapInArrow(run, _BLOCK_DDL)
+    return sorted_rows.select("term", "docs", "places").mapInArrow(run, _BLOCK_DDL)
 
 
 def made(docs: DataFrame, gone: DataFrame | None, analyzer: str, number: int, paired: list[str], marks: DataFrame) -> dict[str, DataFrame]:
@@ -173,7 +211,7 @@ def made(docs: DataFrame, gone: DataFrame | None, analyzer: str, number: int, pa
     size = lambda d: d.select("doc_id", sum((F.size(terms(x)) for x in _texts().values()), F.lit(0)).alias("dl"))  # noqa: E731  whatever the analyzer, a word is a term
     counted, lengths = blocks.limit(0).select("term", F.lit(0).cast("long").alias("df"), "cf", "top", "mean"), size(docs).withColumn("sign", F.lit(1))
     if gone is not None:
-        less = inverted(gone, analyzer, paired).groupBy("term").agg((-F.sum(F.size("docs"))).alias("df"), (-F.sum(F.size("places"))).alias("cf"))
+        less = inverted(gone, analyzer, paired).groupBy("term").agg((-F.sum(F.octet_length("docs")) / _DOCUMENT.itemsize).cast("long").alias("df"), (-F.sum(F.octet_length("places")) / 4).cast("long").alias("cf"))
         counted = less.select("term", "df", "cf", F.lit(0.0).alias("top"), F.lit(float("inf")).alias("mean"))
         lengths = lengths.unionByName(size(gone).withColumn("sign", F.lit(-1)))
     totals = lengths.agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("sign") * F.col("dl")), F.lit(0)).alias("tokens"))
@@ -193,8 +231,7 @@ def merged(tables: dict[str, DataFrame], numbers: list[int], oldest: bool) -> di
     number, own = numbers[-1], F.col("segment").isin(numbers)
     some = {k: t.where(own) for k, t in tables.items()}
     rows = live(_exploded(some["postings"], ["places"]), some["marks"])
-    each = rows.select("term", "doc_id", F.array("doc_id").alias("docs"), F.array("dl").alias("dls"), F.array(F.size("places")).alias("counts"), "places")
-    blocks = _blocks(each.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"))
+    blocks = _blocks(_repacked(rows).repartitionByRange("term", "salt").sortWithinPartitions("term"))
     words = some["dictionary"].groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.max("top").alias("top"), F.min("mean").alias("mean"))
     totals = some["totals"].agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"), F.first("paired").alias("paired"))
     number_, marks = F.lit(number).alias("segment"), some["marks"].select("doc_id").distinct()
